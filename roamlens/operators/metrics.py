@@ -27,12 +27,25 @@ FACULTY_TYPES = ("office", "conference room", "meeting room")
 STAFF_TYPES = ("office", "meeting room")
 LAB = "student lab"
 
-_N = {"n": F.count(F.lit(1))}
-_US = {"us": F.sum("us")}
-_SUM_N = {"n": F.sum("n")}
-_SUM_US = {"us": F.sum("us")}
-_DAYS = {"days": F.count_distinct("day")}
-_DAY_ROWS = {"day_rows": F.count(F.lit(1))}
+
+def _n() -> dict[str, Column]:
+    return {"n": F.count(F.lit(1))}
+
+
+def _us() -> dict[str, Column]:
+    return {"us": F.sum("us")}
+
+
+def _sum_n() -> dict[str, Column]:
+    return {"n": F.sum("n")}
+
+
+def _days() -> dict[str, Column]:
+    return {"days": F.count_distinct("day")}
+
+
+def _day_rows() -> dict[str, Column]:
+    return {"day_rows": F.count(F.lit(1))}
 
 
 def _hours_per_session() -> Column:
@@ -46,16 +59,16 @@ def _weighted(n: str, *types: str) -> Column:
 
 def always_on() -> Metric:
     return Metric(
-        "always_on", {**_N, **_US}, keys=("day", "sensor_id"),
-        entity={**_SUM_N, **_SUM_US, **_DAYS, "aps": F.count_distinct("sensor_id")},
+        "always_on", {**_n(), **_us()}, keys=("day", "sensor_id"),
+        entity={**_sum_n(), **_us(), **_days(), "aps": F.count_distinct("sensor_id")},
         output={"avg_hours": _hours_per_session(), "distinct_date": F.col("days"), "distinct_ap": F.col("aps")},
     )
 
 
 def many_connections() -> Metric:
     return Metric(
-        "many_connections", {**_N}, keys=("sensor_id",),
-        entity={**_SUM_N, "aps": F.count_distinct("sensor_id")},
+        "many_connections", {**_n()}, keys=("sensor_id",),
+        entity={**_sum_n(), "aps": F.count_distinct("sensor_id")},
         output={"record_count": F.col("n"), "distinct_ap": F.col("aps")},
     )
 
@@ -64,8 +77,8 @@ def short_sessions_share(max_hours: float = 2, place: str = "space_id") -> Metri
     p = "short_sessions_share"
     short = F.col("us") <= F.lit(int(max_hours * 3_600_000_000))
     return Metric(
-        p, {**_N, f"{p}_m": F.count_if(short)}, keys=(place,),
-        entity={**_SUM_N, f"{p}_short": F.sum(f"{p}_m"), f"{p}_places": F.count_distinct(place)},
+        p, {**_n(), f"{p}_m": F.count_if(short)}, keys=(place,),
+        entity={**_sum_n(), f"{p}_short": F.sum(f"{p}_m"), f"{p}_places": F.count_distinct(place)},
         output={"connection_count": ratio(f"{p}_short", "n"), "distinct_ap": F.col(f"{p}_places")},
     )
 
@@ -75,7 +88,7 @@ def late_nights(start: str = "22:00", end: str = "05:00") -> Metric:
     night = at_or_after("end_time", start) | at_or_before("start_time", end)
     return Metric(
         p, {f"{p}_m": F.count_if(night)}, keys=("day",),
-        entity={**_DAYS, f"{p}_nights": distinct_where(F.col(f"{p}_m") > 0, "day")},
+        entity={**_days(), f"{p}_nights": distinct_where(F.col(f"{p}_m") > 0, "day")},
         output={"total_days": F.col("days"), "night_days": F.col(f"{p}_nights")},
         present=F.col(f"{p}_nights") > 0,
     )
@@ -85,7 +98,7 @@ def single_room_type(max_spaces: int = 2) -> Metric:
     p = "single_room_type"
     known = F.col(f"{p}_meta") > 0
     return Metric(
-        p, {**_N}, keys=("day", "space_id"), rooms=True,
+        p, {**_n()}, keys=("day", "space_id"), rooms=True,
         room={f"{p}_meta": F.max("meta_rows"), f"{p}_lo": F.min("type_lo"), f"{p}_hi": F.max("type_hi")},
         day={
             f"{p}_spaces": F.count(F.when(known, F.col("space_id"))),
@@ -107,9 +120,9 @@ def off_hours(start: str = "22:00", end: str = "05:00") -> Metric:
     p = "off_hours"
     off = at_or_after("start_time", start) | at_or_before("end_time", end)
     return Metric(
-        p, {**_N, f"{p}_m": F.count_if(off)}, keys=("day",),
+        p, {**_n(), f"{p}_m": F.count_if(off)}, keys=("day",),
         entity={
-            **_SUM_N, f"{p}_match": F.sum(f"{p}_m"),
+            **_sum_n(), f"{p}_match": F.sum(f"{p}_m"),
             f"{p}_days": distinct_where(F.col(f"{p}_m") > 0, "day"),
         },
         output={"matched_count": F.col(f"{p}_match"), "distinct_date": F.col(f"{p}_days"), "total_count": F.col("n")},
@@ -124,8 +137,8 @@ def daily_avg_hours(lo: float | None = 1.5, hi: float | None = 5, name: str = "d
     if hi is not None:
         ok = ok & (avg <= F.lit(float(hi)))
     return Metric(
-        name, {**_N, **_US}, keys=("day",), day={**_SUM_N, **_SUM_US},
-        entity={**_DAY_ROWS, f"{name}_ok": F.count_if(ok)},
+        name, {**_n(), **_us()}, keys=("day",), day={**_sum_n(), **_us()},
+        entity={**_day_rows(), f"{name}_ok": F.count_if(ok)},
         output={
             "total_days": F.col("day_rows"), "qualifying_days": F.col(f"{name}_ok"),
             "qualifying_ratio": ratio(f"{name}_ok", "day_rows"),
@@ -135,8 +148,8 @@ def daily_avg_hours(lo: float | None = 1.5, hi: float | None = 5, name: str = "d
 
 def room_type_share(types=WORK_TYPES, keep_zero: bool = True, column: str = "percentage", name: str = "room_type_share") -> Metric:
     return Metric(
-        name, {**_N}, keys=("space_id",), rooms=True,
-        entity={**_SUM_N, f"{name}_hit": _weighted("n", *types)},
+        name, {**_n()}, keys=("space_id",), rooms=True,
+        entity={**_sum_n(), f"{name}_hit": _weighted("n", *types)},
         output={column: ratio(f"{name}_hit", "n")},
         present=None if keep_zero else F.col(f"{name}_hit") > 0,
     )
@@ -153,9 +166,9 @@ def meeting_share(types=MEETING_TYPES) -> Metric:
 def common_vs_work_rooms(common=COMMON_TYPES, work=DESK_TYPES) -> Metric:
     p = "common_vs_work_rooms"
     return Metric(
-        p, {**_N}, keys=("space_id",), rooms=True,
+        p, {**_n()}, keys=("space_id",), rooms=True,
         entity={
-            **_SUM_N, f"{p}_common": _weighted("n", *common), f"{p}_work": _weighted("n", *work),
+            **_sum_n(), f"{p}_common": _weighted("n", *common), f"{p}_work": _weighted("n", *work),
             f"{p}_known": F.sum(F.col("n") * F.coalesce("meta_rows", F.lit(0))),
         },
         output={"common_pct": ratio(f"{p}_common", "n"), "work_pct": ratio(f"{p}_work", "n")},
@@ -167,8 +180,8 @@ def rooms_per_day_share(lo: int = 2, hi: int = 6) -> Metric:
     """Share of days with lo <= rooms < hi."""
     p = "rooms_per_day_share"
     return Metric(
-        p, {**_N}, keys=("day", "space_id"), room={**_SUM_N}, day={"day_rooms": F.count("space_id")},
-        entity={**_DAY_ROWS, f"{p}_ok": F.count_if((F.col("day_rooms") >= lo) & (F.col("day_rooms") < hi))},
+        p, {**_n()}, keys=("day", "space_id"), room={**_sum_n()}, day={"day_rooms": F.count("space_id")},
+        entity={**_day_rows(), f"{p}_ok": F.count_if((F.col("day_rooms") >= lo) & (F.col("day_rooms") < hi))},
         output={"percentage": ratio(f"{p}_ok", "day_rows"), "day_count": F.col("day_rows")},
         present=F.col(f"{p}_ok") > 0,
     )
@@ -185,8 +198,8 @@ def schedule_share(
     else:
         inside = at_or_after("start_time", start) & at_or_before("end_time", end)
     return Metric(
-        name, {**_N, f"{name}_m": F.count_if(on_days("start_time", days) & inside)},
-        entity={**_SUM_N, f"{name}_ok": F.sum(f"{name}_m")},
+        name, {**_n(), f"{name}_m": F.count_if(on_days("start_time", days) & inside)},
+        entity={**_sum_n(), f"{name}_ok": F.sum(f"{name}_m")},
         output={"percentage": ratio(f"{name}_ok", "n")},
         present=None if keep_zero else F.col(f"{name}_ok") > 0,
     )
@@ -200,9 +213,9 @@ def many_rooms(min_rooms: int = 6, min_minutes: float = 2) -> Metric:
     p = "many_rooms"
     long_enough = us_to("min", F.col("us")) >= F.lit(float(min_minutes))
     return Metric(
-        p, {**_US}, keys=("day", "space_id"), room={**_SUM_US},
+        p, {**_us()}, keys=("day", "space_id"), room={**_us()},
         day={f"{p}_rooms": F.count(F.when(long_enough, F.col("space_id")))},
-        entity={**_DAY_ROWS, f"{p}_ok": F.count_if(F.col(f"{p}_rooms") >= min_rooms)},
+        entity={**_day_rows(), f"{p}_ok": F.count_if(F.col(f"{p}_rooms") >= min_rooms)},
         output={"total_day_count": F.col("day_rows"), "ratio": ratio(f"{p}_ok", "day_rows")},
     )
 
@@ -224,7 +237,7 @@ def span_and_rooms() -> Metric:
 
 def connected_days() -> Metric:
     return Metric(
-        "connected_days", {**_N}, keys=("day",), entity={**_DAYS},
+        "connected_days", {**_n()}, keys=("day",), entity={**_days()},
         output={"connected_days": F.col("days")},
     )
 
@@ -239,13 +252,13 @@ def lab_day_share(min_minutes: float = 10, types=(LAB,), per_room: bool = False,
         room = {f"{p}_min": F.sum(f"{p}_min"), f"{p}_rows": F.max(type_rows(*types))}
         day = {f"{p}_hit": F.max(F.when(hit, 1).otherwise(0))}
     else:
-        measures = {**_US}
+        measures = {**_us()}
         room = {f"{p}_us": F.sum(F.col("us") * type_rows(*types)), f"{p}_rows": F.max(type_rows(*types))}
         enough = us_to("min", F.sum(f"{p}_us")) >= F.lit(float(min_minutes))
         day = {f"{p}_hit": F.when(enough & (F.max(f"{p}_rows") > 0), 1).otherwise(0)}
     return Metric(
         p, measures, keys=("day", "space_id"), rooms=True, room=room, day=day,
-        entity={**_DAY_ROWS, f"{p}_ok": F.sum(f"{p}_hit")},
+        entity={**_day_rows(), f"{p}_ok": F.sum(f"{p}_hit")},
         output={"total_day_count": F.col("day_rows"), "lab_day_pct": ratio(f"{p}_ok", "day_rows")},
         present=None if keep_zero else F.col(f"{p}_ok") > 0,
     )
@@ -257,7 +270,7 @@ def schedule_variability(width: int = 2) -> Metric:
         "schedule_variability",
         {"first_start": F.min("start_time"), "last_end": F.max("end_time")}, keys=("day",),
         day={"first_start": F.min("first_start"), "last_end": F.max("last_end")},
-        entity={**_DAY_ROWS, "bin_pairs": F.count_distinct(pair)},
+        entity={**_day_rows(), "bin_pairs": F.count_distinct(pair)},
         output={"day_count": F.col("day_rows"), "bin_pair_count": F.col("bin_pairs")},
     )
 
@@ -265,10 +278,10 @@ def schedule_variability(width: int = 2) -> Metric:
 def room_diversity(max_share: float = 0.5) -> Metric:
     p = "room_diversity"
     return Metric(
-        p, {**_N}, keys=("day", "space_id"), room={**_SUM_N},
+        p, {**_n()}, keys=("day", "space_id"), room={**_sum_n()},
         day={"day_rooms": F.count("space_id"), f"{p}_top": ratio(F.max("n"), F.sum("n"))},
         entity={
-            **_DAY_ROWS, "day_rooms_sum": F.sum("day_rooms"),
+            **_day_rows(), "day_rooms_sum": F.sum("day_rooms"),
             f"{p}_ok": F.count_if(F.col(f"{p}_top") <= F.lit(float(max_share))),
         },
         output={
@@ -282,8 +295,8 @@ def within_hours_share(start: str = "09:00", end: str = "17:00") -> Metric:
     p = "within_hours_share"
     inside = in_clock("start_time", start, end) & in_clock("end_time", start, end)
     return Metric(
-        p, {**_N, f"{p}_m": F.count_if(inside)},
-        entity={**_SUM_N, f"{p}_ok": F.sum(f"{p}_m")},
+        p, {**_n(), f"{p}_m": F.count_if(inside)},
+        entity={**_sum_n(), f"{p}_ok": F.sum(f"{p}_m")},
         output={"scheduled_count": F.col(f"{p}_ok"), "total_count": F.col("n"), "schedule_pct": ratio(f"{p}_ok", "n")},
         present=F.col(f"{p}_ok") > 0,
     )
@@ -308,7 +321,7 @@ def _room_minutes(p: str, min_minutes: float, whole_minutes: bool) -> tuple[dict
     if whole_minutes:
         m = {"whole_min": F.sum(whole("MINUTE", "start_time", "end_time"))}
         return m, {"whole_min": F.sum("whole_min")}, F.col("whole_min") >= F.lit(min_minutes)
-    return {**_US}, {**_SUM_US}, us_to("min", F.col("us")) >= F.lit(float(min_minutes))
+    return {**_us()}, {**_us()}, us_to("min", F.col("us")) >= F.lit(float(min_minutes))
 
 
 def few_rooms_non_faculty(max_rooms: int = 2, min_minutes: float = 10, type_: str = "office", whole_minutes: bool = False) -> Metric:
@@ -327,7 +340,7 @@ def few_rooms_non_faculty(max_rooms: int = 2, min_minutes: float = 10, type_: st
             f"{p}_office": F.max(F.when(enough & office, 1).otherwise(0)),
         },
         entity={
-            **_DAY_ROWS,
+            **_day_rows(),
             f"{p}_ok": F.count_if(
                 (F.col(f"{p}_kept") > 0) & (F.col(f"{p}_rooms") <= max_rooms) & (F.col(f"{p}_office") == 1)
             ),
@@ -339,8 +352,8 @@ def few_rooms_non_faculty(max_rooms: int = 2, min_minutes: float = 10, type_: st
 def faculty_office_share() -> Metric:
     p = "faculty_office_share"
     return Metric(
-        p, {**_N}, keys=("space_id",), rooms=True,
-        entity={**_SUM_N, f"{p}_hit": F.sum(F.col("n") * F.coalesce("faculty_rows", F.lit(0)))},
+        p, {**_n()}, keys=("space_id",), rooms=True,
+        entity={**_sum_n(), f"{p}_hit": F.sum(F.col("n") * F.coalesce("faculty_rows", F.lit(0)))},
         output={"faculty_pct": ratio(f"{p}_hit", "n")},
     )
 
@@ -349,9 +362,9 @@ def long_time_share(types=FACULTY_TYPES, min_seconds: int = 7200) -> Metric:
     p = "long_time_share"
     long = F.col("us") >= F.lit(min_seconds * 1_000_000)
     return Metric(
-        p, {**_US, f"{p}_m": sum_where(long, "us"), f"{p}_c": F.count_if(long)},
+        p, {**_us(), f"{p}_m": sum_where(long, "us"), f"{p}_c": F.count_if(long)},
         keys=("space_id",), rooms=True,
-        entity={**_SUM_US, f"{p}_us": _weighted(f"{p}_m", *types), f"{p}_rows": _weighted(f"{p}_c", *types)},
+        entity={**_us(), f"{p}_us": _weighted(f"{p}_m", *types), f"{p}_rows": _weighted(f"{p}_c", *types)},
         output={
             "total_seconds": us_to("s", F.col("us")), "long_seconds": us_to("s", F.col(f"{p}_us")),
             "long_pct": ratio(f"{p}_us", "us"),
@@ -365,7 +378,7 @@ def evening_departure(start: str = "17:00", end: str = "20:00") -> Metric:
     inside = F.col("last_tod").between(F.lit(clock_us(start)), F.lit(clock_us(end)))
     return Metric(
         p, {"last_tod": F.max(tod_us("end_time"))}, keys=("day",), day={"last_tod": F.max("last_tod")},
-        entity={**_DAY_ROWS, f"{p}_ok": F.count_if(inside)},
+        entity={**_day_rows(), f"{p}_ok": F.count_if(inside)},
         output={"total_day_count": F.col("day_rows"), "evening_pct": ratio(f"{p}_ok", "day_rows")},
     )
 
@@ -381,7 +394,7 @@ def rooms_with_office_days(lo: int = 3, hi: int = 5, min_minutes: float = 10, wh
             f"{p}_office": F.max(F.when(enough & (F.col(f"{p}_fac") > 0), 1).otherwise(0)),
         },
         entity={
-            **_DAY_ROWS,
+            **_day_rows(),
             f"{p}_ok": F.count_if(F.col(f"{p}_rooms").between(lo, hi) & (F.col(f"{p}_office") == 1)),
         },
         output={"qualified_days": F.col(f"{p}_ok"), "total_day_count": F.col("day_rows")},
@@ -403,7 +416,7 @@ def max_weekday_share() -> Metric:
     p = "max_weekday_share"
     per_day = {f"{p}_{d}": F.sum(F.when(F.weekday("day") == d, F.col("n")).otherwise(0)) for d in range(7)}
     return Metric(
-        p, {**_N}, keys=("day",), entity={**_SUM_N, **per_day},
+        p, {**_n()}, keys=("day",), entity={**_sum_n(), **per_day},
         output={"max_day_pct": ratio(F.greatest(*per_day), "n")},
     )
 
@@ -429,7 +442,7 @@ def office_and_lab_days(lo: int = 3, hi: int = 5, min_minutes: float = 10, types
         p, measures, keys=("day", "space_id"), rooms=True, room={**room, **seen},
         day={f"{p}_rooms": F.count(F.when(enough, F.col("space_id"))), f"{p}_kinds": kinds},
         entity={
-            **_DAY_ROWS,
+            **_day_rows(),
             f"{p}_ok": F.count_if(F.col(f"{p}_rooms").between(lo, hi) & (F.col(f"{p}_kinds") >= min_types)),
         },
         output={"pct": ratio(f"{p}_ok", "day_rows")},
@@ -441,9 +454,9 @@ def faculty_visits(min_minutes: float = 10) -> Metric:
     fac = F.coalesce("faculty_rows", F.lit(0))
     long = us_to("min", F.col("us")) >= F.lit(float(min_minutes))
     return Metric(
-        p, {**_N, f"{p}_m": F.count_if(long)}, keys=("day", "space_id"), rooms=True,
+        p, {**_n(), f"{p}_m": F.count_if(long)}, keys=("day", "space_id"), rooms=True,
         entity={
-            **_SUM_N, f"{p}_hit": F.sum(F.col(f"{p}_m") * fac),
+            **_sum_n(), f"{p}_hit": F.sum(F.col(f"{p}_m") * fac),
             f"{p}_days": distinct_where((F.col(f"{p}_m") > 0) & (fac > 0), "day"),
         },
         output={"faculty_pct": ratio(f"{p}_hit", "n"), "faculty_days": F.col(f"{p}_days")},
@@ -456,7 +469,7 @@ def ends_in_window_days(start: str = "17:30", end: str = "19:30") -> Metric:
     return Metric(
         p, {f"{p}_m": F.count_if(in_clock("end_time", start, end))}, keys=("day",),
         day={f"{p}_m": F.sum(f"{p}_m")},
-        entity={**_DAY_ROWS, f"{p}_ok": F.count_if(F.col(f"{p}_m") > 0)},
+        entity={**_day_rows(), f"{p}_ok": F.count_if(F.col(f"{p}_m") > 0)},
         output={"percentage": ratio(f"{p}_ok", "day_rows")},
     )
 
@@ -466,9 +479,9 @@ def lab_avg_duration_days(lo: float = 0.5, hi: float = 1.5, types=(LAB,)) -> Met
     avg = F.col(f"{p}_us") / F.lit(1e6) / F.col(f"{p}_n") / F.lit(3600.0)
     inside = (F.col(f"{p}_n") > 0) & F.when(F.col(f"{p}_n") > 0, avg).between(F.lit(float(lo)), F.lit(float(hi)))
     return Metric(
-        p, {**_N, **_US}, keys=("day", "space_id"), rooms=True,
+        p, {**_n(), **_us()}, keys=("day", "space_id"), rooms=True,
         day={f"{p}_us": _weighted("us", *types), f"{p}_n": _weighted("n", *types)},
-        entity={**_DAY_ROWS, f"{p}_ok": F.count_if(inside)},
+        entity={**_day_rows(), f"{p}_ok": F.count_if(inside)},
         output={"percentage": ratio(f"{p}_ok", "day_rows")},
         present=F.col(f"{p}_ok") > 0,
     )
@@ -477,10 +490,10 @@ def lab_avg_duration_days(lo: float = 0.5, hi: float = 1.5, types=(LAB,)) -> Met
 def device_features() -> Metric:
     return Metric(
         "device_features",
-        {**_N, **_US, "first_start": F.min("start_time"), "last_end": F.max("end_time")},
+        {**_n(), **_us(), "first_start": F.min("start_time"), "last_end": F.max("end_time")},
         keys=("day", "sensor_id"),
         entity={
-            **_SUM_N, **_SUM_US, **_DAYS, "aps": F.count_distinct("sensor_id"),
+            **_sum_n(), **_us(), **_days(), "aps": F.count_distinct("sensor_id"),
             "first_start": F.min("first_start"), "last_end": F.max("last_end"),
         },
         output={

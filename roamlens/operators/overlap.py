@@ -77,3 +77,18 @@ def overlap_join(
     if extra is not None:
         test = test & extra
     return l.join(r, [*keys, "_salt"]).where(test).select("l", "r")
+
+
+def overlap_left_join(
+    left: DataFrame, right: DataFrame, place: str | list[str], key: list[str], inclusive: bool = True,
+    bucket_s: int = BUCKET_S, hot_points: int = HOT_POINTS,
+) -> DataFrame:
+    """As :func:`overlap_join`, and each left row without a partner once with a
+    NULL ``r``. ``key`` names left columns that are unique together."""
+    pairs = overlap_join(left, right, place, inclusive, bucket_s, hot_points)
+    matched = pairs.select(*[F.col(f"l.{c}").alias(c) for c in key]).distinct()
+    alone = left.join(matched, key, "left_anti").select(
+        F.struct(*[F.col(c).alias(c) for c in left.columns]).alias("l"),
+        F.lit(None).cast(pairs.schema["r"].dataType).alias("r"),
+    )
+    return pairs.unionByName(alone)
