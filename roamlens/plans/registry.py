@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from roamlens.operators.grains import metrics_bundle
-from roamlens.plans import lf_catalog, metric_queries, oracle_metrics
+from roamlens.plans import block_queries, lf_catalog, metric_queries, oracle_metrics
 from roamlens.sources import driver_tables as T
 
 
@@ -15,8 +15,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return dict(metric_queries.QUERIES)
+    return metric_queries.QUERIES | block_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: oracle_metrics.with_fixture(v) for k, v in oracle_metrics.METRIC_SQL.items()}
+    sql = oracle_metrics.METRIC_SQL | block_queries.SQL
+    return {k: oracle_metrics.with_fixture(v) for k, v in sql.items()}
