@@ -85,33 +85,33 @@ def votes_sql(rows: list[tuple[str, int, str]], name: str) -> str:
         cols.append(f"coalesce(l{j}.v, -1) AS v{j}")
         body = METRIC_SQL[metric]
         joins.append(f"LEFT JOIN (SELECT mac_address, CASE WHEN {predicate} THEN {label} ELSE -1 END AS v FROM ({body}) q{j}) l{j} ON l{j}.mac_address = e.mac_address")
-    return f"{name} AS MATERIALIZED (SELECT e.mac_address, {', '.join(cols)} FROM (SELECT DISTINCT mac_address FROM sessions) e {' '.join(joins)})"
+    return f"{name} AS (SELECT e.mac_address, {', '.join(cols)} FROM (SELECT DISTINCT mac_address FROM sessions) e {' '.join(joins)})"
 
 
 def long_sql(votes: str, m: int, name: str) -> str:
     parts = [f"SELECT mac_address, {j} AS j, v{j} AS v FROM {votes}" for j in range(m)]
-    return f"{name} AS MATERIALIZED ({' UNION ALL '.join(parts)})"
+    return f"{name} AS ({' UNION ALL '.join(parts)})"
 
 
 def em_sql(prefix: str, votes: str, m: int, k: int, epochs: int) -> str:
     """CTEs of the unrolled EM; ``<prefix>prob`` is (mac_address, c, p)."""
     vs = ", ".join(f"v{j}" for j in range(m))
     out = [
-        f"{prefix}pat AS MATERIALIZED (SELECT {vs}, count(*) AS n, row_number() OVER () AS pid FROM {votes} GROUP BY {vs})",
-        f"{prefix}pl AS MATERIALIZED ({' UNION ALL '.join(f'SELECT pid, n, {j} AS j, v{j} AS v FROM {prefix}pat' for j in range(m))})",
-        f"{prefix}grid AS MATERIALIZED (SELECT j, c, v FROM (SELECT unnest(range({m})) AS j), (SELECT unnest(range({k})) AS c), (SELECT unnest(range(-1, {k})) AS v))",
-        f"{prefix}th0 AS MATERIALIZED (SELECT j, c, v, ln(CASE WHEN v = c THEN CAST(0.7 AS DOUBLE) ELSE (CAST(1 AS DOUBLE) - CAST(0.7 AS DOUBLE)) / {k} END) AS lp FROM {prefix}grid)",
+        f"{prefix}pat AS (SELECT {vs}, count(*) AS n, row_number() OVER () AS pid FROM {votes} GROUP BY {vs})",
+        f"{prefix}pl AS ({' UNION ALL '.join(f'SELECT pid, n, {j} AS j, v{j} AS v FROM {prefix}pat' for j in range(m))})",
+        f"{prefix}grid AS (SELECT j, c, v FROM (SELECT unnest(range({m})) AS j), (SELECT unnest(range({k})) AS c), (SELECT unnest(range(-1, {k})) AS v))",
+        f"{prefix}th0 AS (SELECT j, c, v, ln(CASE WHEN v = c THEN CAST(0.7 AS DOUBLE) ELSE (CAST(1 AS DOUBLE) - CAST(0.7 AS DOUBLE)) / {k} END) AS lp FROM {prefix}grid)",
     ]
     for i in range(epochs + 1):
-        out.append(f"{prefix}sc{i} AS MATERIALIZED (SELECT pid, c, sum(lp) AS sc FROM {prefix}pl JOIN {prefix}th{i} USING (j, v) GROUP BY pid, c)")
-        out.append(f"{prefix}ex{i} AS MATERIALIZED (SELECT pid, c, exp(sc - max(sc) OVER (PARTITION BY pid)) AS e FROM {prefix}sc{i})")
-        out.append(f"{prefix}po{i} AS MATERIALIZED (SELECT pid, c, e / sum(e) OVER (PARTITION BY pid) AS p FROM {prefix}ex{i})")
+        out.append(f"{prefix}sc{i} AS (SELECT pid, c, sum(lp) AS sc FROM {prefix}pl JOIN {prefix}th{i} USING (j, v) GROUP BY pid, c)")
+        out.append(f"{prefix}ex{i} AS (SELECT pid, c, exp(sc - max(sc) OVER (PARTITION BY pid)) AS e FROM {prefix}sc{i})")
+        out.append(f"{prefix}po{i} AS (SELECT pid, c, e / sum(e) OVER (PARTITION BY pid) AS p FROM {prefix}ex{i})")
         if i < epochs:
-            out.append(f"""{prefix}th{i + 1} AS MATERIALIZED (SELECT j, c, v, ln(w / sum(w) OVER (PARTITION BY j, c)) AS lp FROM
-              (SELECT g.j, g.c, g.v, coalesce(x.w, 0) + 1 AS w FROM {prefix}grid g LEFT JOIN
-                (SELECT j, c, v, sum(n * p) AS w FROM {prefix}pl JOIN {prefix}po{i} USING (pid) GROUP BY j, c, v) x ON g.j = x.j AND g.c = x.c AND g.v = x.v))""")
+            out.append(f"""{prefix}th{i + 1} AS (SELECT j, c, v, ln(w / sum(w) OVER (PARTITION BY j, c)) AS lp FROM
+              (SELECT j, c, v, 1 + sum(w) AS w FROM (SELECT j, c, v, n * p AS w FROM {prefix}pl JOIN {prefix}po{i} USING (pid)
+                 UNION ALL SELECT j, c, v, CAST(0 AS DOUBLE) FROM {prefix}grid) GROUP BY j, c, v))""")
     on = " AND ".join(f"a.v{j} = b.v{j}" for j in range(m))
-    out.append(f"{prefix}prob AS MATERIALIZED (SELECT a.mac_address, po.c, po.p FROM {votes} a JOIN {prefix}pat b ON {on} JOIN {prefix}po{epochs} po ON po.pid = b.pid)")
+    out.append(f"{prefix}prob AS (SELECT a.mac_address, po.c, po.p FROM {votes} a JOIN {prefix}pat b ON {on} JOIN {prefix}po{epochs} po ON po.pid = b.pid)")
     return ", ".join(out)
 
 
@@ -188,12 +188,12 @@ SUMMARY = ", " + votes_sql(LEVEL_SQL[1], "votes") + ", " + long_sql("votes", 9,
 pairs AS (SELECT a.j, a.mac_address, a.v, count(b.j) FILTER (b.v <> -1) AS others, count(b.j) FILTER (b.v <> -1 AND b.v <> a.v) AS against
   FROM lng a JOIN lng b ON a.mac_address = b.mac_address AND a.j <> b.j GROUP BY ALL),
 summary AS (SELECT j AS lf_index, count(*) FILTER (v <> -1) AS n_votes, round(CAST(count(*) FILTER (v <> -1) AS DOUBLE) / any_value(total.n), 4) AS coverage,
-  round(CAST(count(*) FILTER (v <> -1 AND others > 0) AS DOUBLE) / any_value(total.n), 4) AS overlaps,
+  round(CAST(count(*) FILTER (v <> -1 AND others > 0) AS DOUBLE) / any_value(total.n), 4) AS "overlaps",
   round(CAST(sum(CASE WHEN v <> -1 THEN against ELSE 0 END) AS DOUBLE) / any_value(total.n), 4) AS conflicts,
   coalesce(array_to_string(list_sort(list(DISTINCT v) FILTER (v <> -1)), ','), '') AS polarity FROM pairs, total GROUP BY j)"""
 
 
-@query("l06_lf_summary", SUMMARY + " SELECT lf_index, polarity, coverage, overlaps, conflicts, n_votes FROM summary")
+@query("l06_lf_summary", SUMMARY + ' SELECT lf_index, polarity, coverage, "overlaps", conflicts, n_votes FROM summary')
 def _(spark, sf):
     votes, lfs, _ = level_votes(spark, sf, 1)
     out = V.lf_summary(V.patterns(votes), [lf.name for lf in lfs]).drop("name")
@@ -220,7 +220,7 @@ def _(spark, sf):
 
 @query("l08_overall_stats", SUMMARY + """, covered AS (SELECT count(*) AS c FROM (SELECT mac_address FROM lng GROUP BY mac_address HAVING max(v) > -1))
 SELECT any_value(total.n) AS n_samples, 9 AS n_lfs, 3 AS cardinality, round(CAST(any_value(c) AS DOUBLE) / any_value(total.n), 4) AS total_coverage,
-  round(avg(coverage), 4) AS mean_lf_coverage, round(avg(overlaps), 4) AS mean_lf_overlaps, round(avg(conflicts), 4) AS mean_lf_conflicts FROM summary, total, covered""")
+  round(avg(coverage), 4) AS mean_lf_coverage, round(avg("overlaps"), 4) AS mean_lf_overlaps, round(avg(conflicts), 4) AS mean_lf_conflicts FROM summary, total, covered""")
 def _(spark, sf):
     votes, lfs, k = level_votes(spark, sf, 1)
     return V.overall_stats(V.patterns(votes), [lf.name for lf in lfs], k)
@@ -294,12 +294,12 @@ def _hierarchy_sql() -> str:
         m, k = len(rows), len(CLASSES[level])
         out += [
             votes_sql(rows, f"all{level}"),
-            f"votes{level} AS MATERIALIZED (SELECT * FROM all{level} WHERE mac_address IN (SELECT mac_address FROM {ents} e))",
+            f"votes{level} AS (SELECT * FROM all{level} WHERE mac_address IN (SELECT mac_address FROM {ents} e))",
             em_sql(f"h{level}_", f"votes{level}", m, k, EPOCHS),
         ]
         pick = {1: None, 2: 1, 3: 0, 4: None}[level]
         if pick is not None:
-            out.append(f"next{level} AS MATERIALIZED (SELECT mac_address FROM h{level}_prob WHERE c = {pick} AND p >= 0.5)")
+            out.append(f"next{level} AS (SELECT mac_address FROM h{level}_prob WHERE c = {pick} AND p >= 0.5)")
             ents = f"next{level}"
     rows = " UNION ALL ".join(
         f"SELECT '{name}' AS subset, mac_address FROM h{level}_prob WHERE c = {c} AND p >= 0.5"
