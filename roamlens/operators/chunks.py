@@ -116,10 +116,15 @@ def bins_of_days(s: DataFrame, days: DataFrame, interval_s: int) -> DataFrame:
     return occupancy_bins(cut, interval_s)
 
 
-def write_bins(bins: DataFrame, path: str, interval_s: int) -> None:
-    """Replace exactly the (interval, day) partitions present in ``bins``."""
+def write_bins(bins: DataFrame, path: str, interval_s: int, files_per_day: int = 1) -> None:
+    """Replace exactly the (interval, day) partitions present in ``bins``.
+
+    A day holds at most spaces * bins rows, however many sessions there were.
+    """
+    part = F.pmod(F.xxhash64("space_id"), F.lit(files_per_day))
     (
         bins.withColumns({"interval_seconds": F.lit(interval_s), "day": F.to_date("interval_begin_time")})
+        .repartition(F.col("day"), part)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("interval_seconds", "day").parquet(path)
     )

@@ -81,8 +81,9 @@ def run_level(entities: DataFrame, level: Level, key: str = KEY) -> LevelResult:
     model = fit_label_model(patterns(votes), len(lfs), len(classes), level.epochs)
     preds = predict_proba(votes, model)
     result = LevelResult(entities, votes, model, preds, classes, lfs)
+    everyone = votes.select(key)  # cached, so the next level does not replan this one
     for name, rule in level.filters.items():
-        result.subsets[name] = derive_entities(entities, preds, rule, classes, level.mode, key)
+        result.subsets[name] = derive_entities(everyone, preds, rule, classes, level.mode, key)
     return result
 
 

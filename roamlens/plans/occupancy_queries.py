@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roamlens.operators import bins as B, chunks as K, tree as R
+from roamlens.session import durable
 from roamlens.sources import driver_tables as T
 from roamlens.streaming.occupancy_stream import read_session_stream, start_occupancy_stream
 
@@ -194,7 +195,7 @@ def _(spark, sf):
     s, tree, path = T.sessions(spark, sf), T.space(spark, sf), shared_folder(spark) + "/bins"
     known = spark.createDataFrame([], K.LEDGER_SCHEMA)
     spaces = R.classify_spaces(tree, s, 1, "2024-01-01", "2024-03-01").persist()
-    first = K.refresh_occupancy(s, tree, spaces, known, path, HOUR, "2024-01-01 00:00:00", "2024-01-17 13:00:00", "2024-03-01 00:00:00")
+    first = durable(K.refresh_occupancy(s, tree, spaces, known, path, HOUR, "2024-01-01 00:00:00", "2024-01-17 13:00:00", "2024-03-01 00:00:00"))
     K.refresh_occupancy(s, tree, spaces, known.unionByName(first), path, HOUR, "2024-01-01 00:00:00", "2024-02-06 00:00:00", "2024-03-01 00:00:00")
     return _stored(spark, path)
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+import threading
 
 import duckdb
 
+SQL_SECONDS = 60
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -35,9 +38,14 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
 
 def compare(df, con, sql: str) -> tuple[bool, str]:
     got = rows_of(df.columns, df.collect())
-    res = con.execute(sql)
-    names = [d[0] for d in res.description]
-    want = rows_of(names, res.fetchall())
+    stop = threading.Timer(SQL_SECONDS, con.interrupt)
+    stop.start()
+    try:
+        res = con.execute(sql)
+        names = [d[0] for d in res.description]
+        want = rows_of(names, res.fetchall())
+    finally:
+        stop.cancel()
     if sorted(names) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} vs {sorted(names)}"
     if len(got) != len(want):
