@@ -8,7 +8,7 @@ from roamlens.functions.times import align_down, day, slot_start, slot_before, t
 from roamlens.operators.bins import occupancy_bins
 from roamlens.operators.ordered import running_max
 from roamlens.operators.tree import closure, descendants, rollup_tree
-from roamlens.session import sized_broadcast
+from roamlens.session import durable, sized_broadcast
 
 DAY_S = 86400
 LEDGER_SCHEMA = (
@@ -140,7 +140,8 @@ def refresh_occupancy(
     all spaces and rolled up in one job, and replace their day partitions. All
     spaces have the same covered days afterwards.
     """
-    gaps = align_gaps(coverage_gaps(ledger, spaces, interval_s, start, end, force))
+    spaces = durable(spaces)
+    gaps = durable(align_gaps(coverage_gaps(ledger, spaces, interval_s, start, end, force)))
     days = _days_of(gaps)
     bins = rollup_tree(bins_of_days(s, days, interval_s), tree, sources=spaces.where("space_type = 'source'"))
     write_bins(bins, path, interval_s)

@@ -13,6 +13,7 @@ from roamlens.operators.label_model import LabelModel, argmax, fit_label_model,
 from roamlens.operators.scope import KEY
 from roamlens.operators.vote_stats import patterns
 from roamlens.operators.votes import LF, class_ids, label_matrix
+from roamlens.session import durable
 
 
 def derive_entities(
@@ -77,11 +78,11 @@ def run_level(entities: DataFrame, level: Level, key: str = KEY) -> LevelResult:
     sources = level.metrics(entities)
     lfs = [lf for _, group in sources for lf in group]
     classes = class_ids(lfs)
-    votes = label_matrix(entities, sources, key).persist()
+    votes = durable(label_matrix(entities, sources, key))
     model = fit_label_model(patterns(votes), len(lfs), len(classes), level.epochs)
     preds = predict_proba(votes, model)
     result = LevelResult(entities, votes, model, preds, classes, lfs)
-    everyone = votes.select(key)  # cached, so the next level does not replan this one
+    everyone = votes.select(key)  # stored, so the next level does not replan this one
     for name, rule in level.filters.items():
         result.subsets[name] = derive_entities(everyone, preds, rule, classes, level.mode, key)
     return result

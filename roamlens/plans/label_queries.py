@@ -10,6 +10,7 @@ from roamlens.operators.subsets import derive_entities, run_hierarchy
 from roamlens.operators.votes import LF, class_ids, label_matrix, lf_python, lf_regex, lf_template
 from roamlens.plans import lf_catalog as C
 from roamlens.plans.oracle_metrics import METRIC_SQL
+from roamlens.session import durable
 from roamlens.sources import driver_tables as T
 
 QUERIES: dict = {}
@@ -128,7 +129,7 @@ def spread(votes: DataFrame, m: int) -> DataFrame:
 
 def fitted(spark: SparkSession, sf: str, level: int) -> tuple[DataFrame, LM.LabelModel, list[LF]]:
     votes, lfs, k = level_votes(spark, sf, level)
-    votes = votes.persist()
+    votes = durable(votes)
     return votes, LM.fit_label_model(V.patterns(votes), len(lfs), k, EPOCHS), lfs
 
 

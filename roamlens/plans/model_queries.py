@@ -21,6 +21,11 @@ SQL: dict[str, str] = {}
 HOUR, HALF = 3600, 1800
 
 
+def _r(x: str, digits: int = 6) -> str:
+    """Rounded without a negative zero."""
+    return f"CASE WHEN round({x}, {digits}) = 0 THEN CAST(0 AS DOUBLE) ELSE round({x}, {digits}) END"
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
@@ -272,8 +277,12 @@ def _(spark, sf):
     return A.calendar_features(d).drop("ds")
 
 
-@query("h06_cyclic_features", """SELECT event_id, round(sin(2 * pi() * (hour(ts) + minute(ts) / 60.0) / 24.0), 6) AS hour_sin, round(cos(2 * pi() * (hour(ts) + minute(ts) / 60.0) / 24.0), 6) AS hour_cos,
-  round(sin(2 * pi() * (isodow(ts) - 1) / 7.0), 6) AS dow_sin, round(cos(2 * pi() * (isodow(ts) - 1) / 7.0), 6) AS dow_cos, 0 AS holiday FROM events""")
+_HOUR = "2 * pi() * (hour(ts) + minute(ts) / 60.0) / 24.0"
+_DOW = "2 * pi() * (isodow(ts) - 1) / 7.0"
+
+
+@query("h06_cyclic_features", f"""SELECT event_id, {_r(f'sin({_HOUR})')} AS hour_sin, {_r(f'cos({_HOUR})')} AS hour_cos,
+  {_r(f'sin({_DOW})')} AS dow_sin, {_r(f'cos({_DOW})')} AS dow_cos, 0 AS holiday FROM events""")
 def _(spark, sf):
     d = A.cyclic_features(T.table(spark, sf, "events").select("event_id", F.col("ts").alias("ds")))
     return d.select("event_id", *[F.round(c, 6).alias(c) for c in ("hour_sin", "hour_cos", "dow_sin", "dow_cos")], "holiday")
@@ -294,7 +303,8 @@ def _(spark, sf):
 
 
 @query("h08_fourier_features", "SELECT event_id, " + ", ".join(
-    f"round({f}(2 * pi() * {n} / 7 * (date_diff('microsecond', TIMESTAMP '1970-01-01', ts) / 86400e6)) * CAST(isodow(ts) >= 6 AS INTEGER), 6) AS {f}{n}" for n in (1, 2) for f in ("sin", "cos")) + " FROM events")
+    _r(f"CASE WHEN isodow(ts) >= 6 THEN {f}(2 * pi() * {n} / 7 * (date_diff('microsecond', TIMESTAMP '1970-01-01', ts) / 86400e6)) ELSE 0 END") + f" AS {f}{n}"
+    for n in (1, 2) for f in ("sin", "cos")) + " FROM events")
 def _(spark, sf):
     d = A.calendar_features(T.table(spark, sf, "events").select("event_id", F.col("ts").alias("ds")))
     d = A.fourier_features(d, 7, 2, "is_weekend")
@@ -336,8 +346,8 @@ def windows(spark, sf, k: int = 24) -> DataFrame:
     return L.sequences(A.cyclic_features(z), k, HOUR, WINDOW)
 
 
-@query("h11_sequences", _grid_sql(HOUR) + """, z AS (SELECT space_id, ds, coalesce(y, 0) AS y, round(sin(2 * pi() * (hour(ds) + minute(ds) / 60.0) / 24.0), 6) AS hs FROM q)
-SELECT space_id, ds, first AS first_y, last AS last_y, round(hs_sum, 4) AS hour_sin_sum, y AS target FROM (SELECT *, first_value(y) OVER w AS first, last_value(y) OVER w AS last, sum(hs) OVER w AS hs_sum, count(*) OVER w AS k
+@query("h11_sequences", _grid_sql(HOUR) + f""", z AS (SELECT space_id, ds, coalesce(y, 0) AS y, round(sin(2 * pi() * (hour(ds) + minute(ds) / 60.0) / 24.0), 6) AS hs FROM q)
+SELECT space_id, ds, first AS first_y, last AS last_y, {_r('hs_sum', 4)} AS hour_sin_sum, y AS target FROM (SELECT *, first_value(y) OVER w AS first, last_value(y) OVER w AS last, sum(hs) OVER w AS hs_sum, count(*) OVER w AS k
   FROM z WINDOW w AS (PARTITION BY space_id ORDER BY ds ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)) WHERE k = 24""")
 def _(spark, sf):
     w = windows(spark, sf)

@@ -194,7 +194,7 @@ def _(spark, sf):
     """Two halves of the range, refreshed one after the other, give the whole."""
     s, tree, path = T.sessions(spark, sf), T.space(spark, sf), shared_folder(spark) + "/bins"
     known = spark.createDataFrame([], K.LEDGER_SCHEMA)
-    spaces = R.classify_spaces(tree, s, 1, "2024-01-01", "2024-03-01").persist()
+    spaces = R.classify_spaces(tree, s, 1, "2024-01-01", "2024-03-01")
     first = durable(K.refresh_occupancy(s, tree, spaces, known, path, HOUR, "2024-01-01 00:00:00", "2024-01-17 13:00:00", "2024-03-01 00:00:00"))
     K.refresh_occupancy(s, tree, spaces, known.unionByName(first), path, HOUR, "2024-01-01 00:00:00", "2024-02-06 00:00:00", "2024-03-01 00:00:00")
     return _stored(spark, path)
