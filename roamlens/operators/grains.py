@@ -79,7 +79,7 @@ def _run_chain(chain: str, metrics: list[Metric], s: DataFrame, dims: Dims | Non
     df = agg(session_columns(s), base_keys, "measures")
     if any(m.rooms for m in metrics):
         df = df.join(dims.room_profile(), "space_id", "left")
-    if base_keys:
+    if chain != "entity":
         df = df.repartition(KEY)  # the levels below reuse this partitioning
     if chain == "room":
         df = agg(df, ["day", "space_id"], "room")
