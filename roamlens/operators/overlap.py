@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from roamlens.functions.times import slot
 from roamlens.functions.values import overlaps
+from roamlens.session import sized_broadcast
 
 BUCKET_S = 3600
 HOT_POINTS = 50_000
@@ -53,21 +54,29 @@ def overlap_join(
     rk = _sided(right, "r", 1, place, bucket_s)
     keys = [*place, "_dir", "_bucket"]
 
-    # salts of the hot (place, direction, bucket) groups, usually none
-    points = lk.where("_point").select(*keys).unionByName(rk.where("_point").select(*keys))
+    # the hot (place, direction, bucket) groups, usually none: found by a count
+    # of points only, so the common case joins without any salting step
+    point_keys = [*[F.col(c) for c in place], slot("start_time", bucket_s).alias("_bucket")]
+    points = left.select(*point_keys, F.lit(0).alias("_dir")).unionByName(
+        right.select(*point_keys, F.lit(1).alias("_dir"))
+    )
     hot = (
         points.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_points)
         .select(*keys, F.ceil(F.col("_n") / F.lit(hot_points)).cast("int").alias("_parts"))
     )
+    if hot.isEmpty():
+        l, r, on = lk.drop("_point"), rk.drop("_point"), keys
+    else:
+        hot = sized_broadcast(hot)
 
-    def salted(df: DataFrame, side: str) -> DataFrame:
-        parts = F.coalesce("_parts", F.lit(1))
-        salt = F.when(
-            F.col("_point"), F.array(F.pmod(F.xxhash64(side), parts).cast("int"))
-        ).otherwise(F.sequence(F.lit(0), parts - 1))
-        return df.join(hot, keys, "left").withColumn("_salt", F.explode(salt)).drop("_parts", "_point")
+        def salted(df: DataFrame, side: str) -> DataFrame:
+            parts = F.coalesce("_parts", F.lit(1))
+            salt = F.when(
+                F.col("_point"), F.array(F.pmod(F.xxhash64(side), parts).cast("int"))
+            ).otherwise(F.sequence(F.lit(0), parts - 1))
+            return df.join(hot, keys, "left").withColumn("_salt", F.explode(salt)).drop("_parts", "_point")
 
-    l, r = salted(lk, "l"), salted(rk, "r")
+        l, r, on = salted(lk, "l"), salted(rk, "r"), [*keys, "_salt"]
     # direction 0: the left start lies in the right interval; direction 1: the
     # right start lies in the left interval, strictly after the left start
     later = F.when(F.col("_dir") == 0, F.col("l.start_time") >= F.col("r.start_time")).otherwise(
@@ -76,7 +85,7 @@ def overlap_join(
     test = later & overlaps("l.start_time", "l.end_time", "r.start_time", "r.end_time", inclusive)
     if extra is not None:
         test = test & extra
-    return l.join(r, [*keys, "_salt"]).where(test).select("l", "r")
+    return l.join(r, on).where(test).select("l", "r")
 
 
 def overlap_left_join(
