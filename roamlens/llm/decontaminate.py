@@ -218,7 +218,8 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = GRAM, block_words: int = BLOCK_WORDS
+    docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = GRAM, block_words: int = BLOCK_WORDS,
+    carry: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, spans
     (array of {start, stop}, word positions of the maximal hit runs), item_ids.
@@ -234,18 +235,19 @@ def decontaminate(
     null item_id counts as an empty one; items with one id are one item in
     item_ids. Rows with equal doc_id keep rows of their own. An empty benchmark
     leaves all documents clean. The benchmark is read in blocks of bounded size,
-    each broadcast as an index and met by all documents.
+    each broadcast as an index and met by all documents. ``carry`` adds the
+    struct ``carried`` with all columns of ``docs``; else they are ignored.
     """
-    kind = docs.schema["doc_id"].dataType
     runs = ArrayType(LongType())
-    schema = StructType([
-        StructField("doc_id", kind), StructField("text", docs.select(text_bytes().alias("t")).schema["t"].dataType),
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried")] * carry
+    current = docs.select("doc_id", text_bytes().alias("text"), *carried)
+    found = [
         StructField("n_words", LongType()), StructField("first", runs), StructField("stop", runs),
         StructField("item_ids", ArrayType(StringType())),
-    ])
+    ]
+    schema = StructType([*current.schema, *found])
     narrow = StructType([f for f in schema if f.name != "text"])
     sc = docs.sparkSession.sparkContext
-    current = docs.select("doc_id", text_bytes().alias("text"))
     blocks = _blocks(benchmark, block_words)
     block = next(blocks)
     while block is not None:
@@ -259,6 +261,7 @@ def decontaminate(
         "doc_id", "n_words",
         F.arrays_zip(F.col("first").alias("start"), "stop").alias("spans"),
         F.array_sort("item_ids").alias("item_ids"),
+        *["carried"] * carry,
     )
 
 
@@ -276,21 +279,19 @@ def _searcher(shipped, span: int, k: int, more: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shipped.value
         for batch in batches:
-            found = [hits(t.as_py(), index, span, k) for t in batch.column(1)]
-            found = [(n, a, b, sorted(set(i))) for n, a, b, i in found]
-            if batch.num_columns > 2:  # what earlier blocks found
-                old = [c.to_pylist() for c in batch.columns[3:]]
-                found = [
-                    (n, *_union(a, b, oa, ob), sorted({*i, *oi})) for (n, a, b, i), oa, ob, oi in zip(found, *old)
-                ]
-            columns = [
-                pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64())),
-                pa.array([f[2] for f in found], pa.list_(pa.int64())), pa.array([f[3] for f in found], pa.list_(pa.string())),
-            ]
-            names = ["n_words", "first", "stop", "item_ids"]
-            if more:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text", *names])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
+            at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            found = [hits(t.as_py(), index, span, k) for t in at["text"]]
+            if "first" in at:  # what earlier blocks found
+                old = [at[name].to_pylist() for name in ("first", "stop", "item_ids")]
+                found = [(n, *_union(a, b, oa, ob), [*i, *oi]) for (n, a, b, i), oa, ob, oi in zip(found, *old)]
+            at |= {
+                "n_words": pa.array([f[0] for f in found], pa.int64()),
+                "first": pa.array([f[1] for f in found], pa.list_(pa.int64())),
+                "stop": pa.array([f[2] for f in found], pa.list_(pa.int64())),
+                "item_ids": pa.array([sorted(set(f[3])) for f in found], pa.list_(pa.string())),
+            }
+            if not more:
+                del at["text"]
+            yield pa.RecordBatch.from_arrays(list(at.values()), list(at))
 
     return run

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roamlens.llm import decontaminate as D, exact as E, simhash as S
+from roamlens.llm import (
+    decontaminate as D, exact as E, langid as L, preferences as P, sentencepieces as SP, simhash as S, surrogates as X,
+    toxicity as T,
+)
 from roamlens.llm.common import table
 
+# Keyed surrogates need a secret; this one is for the given tables only.
+SECRET = b"roamlens sample tables"
+
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.near_duplicates(table(spark, sf_dir, "documents"))
@@ -25,8 +31,51 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    training, held_out = L.split(docs)
+    found = L.identify(docs, L.fit(training))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every text and what comes back from them, as digests."""
+    vocabulary = SP.Vocabulary()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = SP.decode(SP.encode(docs, vocabulary, carry=True), vocabulary)
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("carried.text", F.lit(""))).alias("round_trip"),
+    )
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = T.fit(docs.filter(~T.held_out()), labels)
+    return T.score_toxicity(docs, model).select(
+        "doc_id", T.held_out().alias("held_out"), "score", (F.col("score") >= T.CUTOFF).cast("int").alias("predicted")
+    )
+
+
+def op7_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.format_preferences(P.preference_pairs(table(spark, sf_dir, "conversations")))
+
+
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = X.pseudonymize(table(spark, sf_dir, "documents"), SECRET)
+    return clean.select(
+        "doc_id", F.size("spans").cast("long").alias("n_entities"),
+        F.array_join(F.array_sort(F.array_distinct("spans.kind")), ",").alias("kinds"),
+        (F.size("spans") > 0).alias("changed"), "text",
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_exact_dedup, op9_benchmark_decontamination)
+    for f in (
+        op1_simhash_near_dedup, op2_exact_dedup, op3_language_id, op5_sentencepiece, op6_toxicity,
+        op7_preference_formatting, op9_benchmark_decontamination, op10_pii_surrogates,
+    )
 }
 SQL = {"op2_exact_dedup": E.EXACT_SQL.format(documents="documents")}
