@@ -129,8 +129,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     Document frequencies are counted over all rows. The centroids are clustered
     on about ``sample`` rows, in equal parts by language, picked by a hash of
     doc_id. The rejection needs no labels: a text is too far from every
-    centroid if its cosine is below half of what the lowest hundredth of the
-    sample of its length (log2 of letters) has.
+    centroid if its cosine is below a quarter of what the lowest hundredth of
+    the sample of its length (log2 of letters) has.
     """
     rows = labelled.select("doc_id", "text", "lang").dropna()
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(sample + 1).collect()}
@@ -173,7 +173,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     for b in range(LENGTHS):
         own = cosine[bins == b]
         if len(own) >= 20:
-            model.cutoff[b] = 0.5 * np.quantile(own, 0.01)
+            model.cutoff[b] = 0.25 * np.quantile(own, 0.01)
     return model
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,8 +27,9 @@ IDENTITY_TERMS = (
     ("mujeres", "hombres"), ("cristiano", "musulmán", "judío"),
 )
 SAMPLE = 12_000  # labelled texts that the classifier is fitted on
-VOCABULARY = 60_000  # words with a weight: the most frequent of the sample
-LEAST = 3  # texts of the sample that a word needs
+VOCABULARY = 80_000  # features with a weight: the most frequent of the sample
+LEAST = 3  # texts of the sample that a feature needs
+TELLING = 4.5  # standard errors by which a feature's share must differ between the labels
 CUTOFF = 0.3
 
 # lower-cased text as bytes: ASCII other than letters, digits and ' separates words
@@ -38,6 +40,11 @@ def words_of(text: str | None) -> set[bytes]:
     return set((text or "").lower().encode("utf-8", "surrogatepass").translate(_TABLE).split())
 
 
+def features(words: set[bytes]) -> set[bytes]:
+    """The words and, marked with -, their first 4 and 5 bytes, which word families share."""
+    return words | {w[:4] + b"-" for w in words} | {w[:5] + b"-" for w in words}
+
+
 def swapped(words: set[bytes], groups: tuple = IDENTITY_TERMS) -> list[set[bytes]]:
     """The counterfactual word sets of a text: each identity term replaced by
     every other term of its group in turn, one term at a time."""
@@ -57,24 +64,38 @@ class ToxicityModel:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         get = self.weights.get
-        z = np.array([sum(get(w, 0.0) for w in words_of(t)) for t in texts], float) + self.bias
+        z = np.array([sum(filter(None, map(get, features(words_of(t))))) for t in texts], float) + self.bias
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _sparse(rows: list[set[bytes]], column: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    r, c = [], []
-    for i, words in enumerate(rows):
-        found = [column[w] for w in words if w in column]
-        r += [i] * len(found)
-        c += found
+def _sparse(rows: Iterable[set[bytes]], column: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    r, c = array("i"), array("i")
+    for i, found in enumerate(rows):
+        known = [column[w] for w in found if w in column]
+        r.extend([i] * len(known))
+        c.extend(known)
     return np.array(r, np.int64), np.array(c, np.int64)
 
 
+def _telling(df: Counter, positive: Counter, n: int, n1: int) -> set[bytes]:
+    """Features in LEAST texts or more whose share differs between the labels by
+    over TELLING standard errors; the others would only be learned by heart."""
+    out = set()
+    for w, k in df.items():
+        if k >= LEAST:
+            p, p1 = k / n, positive[w] / n1
+            p0 = (k - positive[w]) / (n - n1)
+            if abs(p1 - p0) > TELLING * (max(p * (1 - p), 0.5 / n) * (1 / n1 + 1 / (n - n1))) ** 0.5:
+                out.add(w)
+    return out
+
+
 def train(
-    texts: list[set[bytes]], labels: list[int], groups: tuple = IDENTITY_TERMS, penalty: float = 1.0,
+    texts: list[bytes], labels: list[int], groups: tuple = IDENTITY_TERMS, penalty: float = 1.0,
     ridge: float = 2e-3, steps: int = 250,
 ) -> ToxicityModel:
-    """Logistic regression on word presence plus ``penalty`` times the mean
+    """Logistic regression on the presence of features in ``texts`` (their
+    distinct words, joined by spaces) plus ``penalty`` times the mean
     squared change of the log-odds between a text and its counterfactuals.
 
     Gradient steps with momentum from zero weights, so the result only depends
@@ -83,20 +104,27 @@ def train(
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(20.0 if len(y) and y[0] else -20.0)
-    pairs = [(i, s) for i, t in enumerate(texts) for s in swapped(t, groups)]
-    df = Counter(w for t in texts for w in t)
-    df.update({w: LEAST for _, s in pairs for w in s - set(df)})
-    kept = sorted((w for w in df if df[w] >= LEAST), key=lambda w: (-df[w], w))[:VOCABULARY]
+    sets = lambda: (set(t.split()) for t in texts)  # noqa: E731  one text's at a time
+    pairs = [(features(t), features(s)) for t in sets() for s in swapped(t, groups)]
+    df, positive = Counter(), Counter()
+    for t, label in zip(sets(), labels):
+        found = features(t)
+        df.update(found)
+        if label:
+            positive.update(found)
+    tells = _telling(df, positive, len(texts), int(y.sum()))
+    tells |= {w for t, s in pairs for w in t ^ s}
+    kept = sorted(tells, key=lambda w: (-df[w], w))[:VOCABULARY]
     column = {w: k for k, w in enumerate(kept)}
     n, m, width = len(texts), len(pairs), len(kept)
-    r, c = _sparse(texts, column)
-    # a counterfactual's change of log-odds is linear in the weights: +1 for words that came, -1 for words that went
-    came = _sparse([s - texts[i] for i, s in pairs], column)
-    went = _sparse([texts[i] - s for i, s in pairs], column)
+    r, c = _sparse(map(features, sets()), column)
+    # a counterfactual's change of log-odds is linear in the weights: +1 for features that came, -1 for those that went
+    came = _sparse((s - t for t, s in pairs), column)
+    went = _sparse((t - s for t, s in pairs), column)
     dr, dc = np.concatenate([came[0], went[0]]), np.concatenate([came[1], went[1]])
     dv = np.concatenate([np.ones(len(came[0])), -np.ones(len(went[0]))])
     seen = np.bincount(c, minlength=width) / n
-    scale = 1.0 / np.sqrt(seen * (1 - seen) + 0.01)  # rare words learn as fast as frequent ones
+    scale = 1.0 / np.sqrt(seen * (1 - seen) + 0.01)  # rare features learn as fast as frequent ones
     w, b = np.zeros(width), float(np.log(y.mean() / (1 - y.mean())))
     vw, vb = np.zeros(width), 0.0
     counts = np.maximum(np.bincount(r, minlength=n), 1)
@@ -139,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) ->
         .mapInArrow(_word_sets, "toxic INT, words BINARY").collect()
     )
     rows.sort(key=lambda r: (r.words, r.toxic))
-    return train([set(r.words.split()) for r in rows], [int(r.toxic > 0) for r in rows], **options)
+    return train([bytes(r.words) for r in rows], [int(r.toxic > 0) for r in rows], **options)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
