@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roamlens.llm import (
-    decontaminate as D, exact as E, langid as L, preferences as P, sentencepieces as SP, simhash as S, surrogates as X,
+    attention_lm as A, decontaminate as D, exact as E, langid as L, preferences as P, sentencepieces as SP, simhash as S, surrogates as X,
     toxicity as T,
 )
 from roamlens.llm.common import table
@@ -38,15 +38,24 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = A.score_texts(docs, docs.filter(~A.held_out()))
+    return scored.select(
+        "doc_id", A.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every text and what comes back from them, as digests."""
     vocabulary = SP.Vocabulary()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     back = SP.decode(SP.encode(docs, vocabulary, carry=True), vocabulary)
+    decoded = F.sha2("decoded", 256)
     return back.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.coalesce("carried.text", F.lit(""))).alias("round_trip"),
+        decoded.alias("decoded_sha256"), (decoded == F.col("carried.text_sha256")).alias("round_trip"),
     )
 
 
@@ -74,7 +83,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_simhash_near_dedup, op2_exact_dedup, op3_language_id, op5_sentencepiece, op6_toxicity,
+        op1_simhash_near_dedup, op2_exact_dedup, op3_language_id, op4_lm_scoring, op5_sentencepiece, op6_toxicity,
         op7_preference_formatting, op9_benchmark_decontamination, op10_pii_surrogates,
     )
 }
