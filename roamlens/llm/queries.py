@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roamlens.llm import (
-    attention_lm as A, decontaminate as D, exact as E, langid as L, preferences as P, sentencepieces as SP, simhash as S, surrogates as X,
-    toxicity as T,
+    attention_lm as A, decontaminate as D, exact as E, langid as L, preferences as P, sentencepieces as SP, simhash as S, suffix_dedup as U,
+    surrogates as X, toxicity as T,
 )
 from roamlens.llm.common import table
 
@@ -22,6 +22,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = U.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = D.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
@@ -84,7 +89,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_exact_dedup, op3_language_id, op4_lm_scoring, op5_sentencepiece, op6_toxicity,
-        op7_preference_formatting, op9_benchmark_decontamination, op10_pii_surrogates,
+        op7_preference_formatting, op8_suffix_array_dedup, op9_benchmark_decontamination, op10_pii_surrogates,
     )
 }
 SQL = {"op2_exact_dedup": E.EXACT_SQL.format(documents="documents")}
