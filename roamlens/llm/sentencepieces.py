@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
@@ -14,19 +15,17 @@ from roamlens.llm.common import staged
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-HOT = 1 << 18  # most frequent words whose pieces are broadcast
-FLUSH = 1 << 18  # distinct words that a task counts before it hands them on
+HOT = 1 << 19  # most frequent words whose pieces are broadcast
+FLUSH = 1 << 19  # distinct words that a task counts before it hands them on
+PAIR_BITS = 20  # of the table of neighbours; of numbers alike one stands for all
+PART = 1 << 18  # characters looked at at once
+BLOCK = 20_000  # distinct words of a partition while their lattices are built
 UNKNOWN_PENALTY = 10.0
-_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class Vocabulary:
-    """Pieces of a SentencePiece model file: ids, scores and byte fallbacks.
-
-    Words are cut before a space mark that follows another character, which is
-    exact only if no piece goes on over such a place; a model with such pieces
-    is refused.
-    """
+    """Pieces of a SentencePiece model file: ids, scores, byte fallbacks, and
+    which neighbouring characters some piece holds together."""
 
     def __init__(self, path: str = MODEL):
         import sentencepiece
@@ -42,10 +41,11 @@ class Vocabulary:
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
                 self.decoded.append(b"")
             else:
-                if re.search(f"[^{SPACE}]{SPACE}", piece):
-                    raise ValueError(f"piece {piece!r} spans words")
                 self.pieces.append((piece, i, float(sp.get_score(i))))
                 self.decoded.append(piece.replace(SPACE, " ").encode())
+        self.joined = np.zeros(1 << PAIR_BITS, bool)
+        for piece, _, _ in self.pieces:
+            self.joined[_pairs(np.frombuffer(piece.encode("utf-32-le"), np.uint32))] = True
         self.unknown_id = sp.unk_id()
         self.longest = max(len(p) for p, _, _ in self.pieces)
         self.unknown_score = min(s for _, _, s in self.pieces) - UNKNOWN_PENALTY
@@ -58,38 +58,55 @@ class Vocabulary:
         return [self.bytes.get(b, self.unknown_id) for b in range(256)]
 
 
-def words_of(text: str) -> list[str]:
-    """The words of a text, each without the space mark that all of them start
-    with. A mark stands for every space and for the start of the text; more
-    spaces belong to the word after them, or are one word at the end."""
+def _pairs(codes: np.ndarray) -> np.ndarray:
+    """A number of PAIR_BITS bits for every two neighbouring characters."""
+    c = codes.astype(np.uint64)
+    h = (c[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (h >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
+def words_of(text: str | None, joined: np.ndarray) -> list[str]:
+    """The words of a text: space marks for spaces and before the text, and cuts
+    wherever no piece holds the two neighbours together. The best path never
+    crosses a cut, so it is the words' best paths in turn. (Two pairs may share a
+    number in ``joined``; then a cut is left out, which changes no path.)"""
     if not text:
         return []
-    if SPACE in text:
-        text = text.replace(SPACE, " ")
-    if text[0] != " " and text[-1] != " " and "  " not in text:
-        return text.split(" ")
-    return [w[1:] for w in _WORD.findall(SPACE + text.replace(" ", SPACE))]
+    marked = SPACE + text.replace(" ", SPACE)
+    out, begin = [], 0
+    for at in range(0, len(marked), PART):  # neighbours are looked at in parts, for memory
+        part = marked[at : at + PART + 1]
+        codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        for cut in (np.flatnonzero(~joined[_pairs(codes)]) + (at + 1)).tolist():
+            out.append(marked[begin:cut])
+            begin = cut
+    out.append(marked[begin:])
+    return out
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out():
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"]
-        )
+def _counter(shipped):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"]
+            )
+
+        seen: Counter = Counter()
+        for batch in batches:
+            for t in batch.column(0):
+                seen.update(words_of(t.as_py(), shipped.value))
+                if len(seen) >= FLUSH:
+                    yield out()
+                    seen.clear()
+        yield out()
 
-    seen: Counter = Counter()
-    for batch in batches:
-        for t in batch.column(0):
-            seen.update(words_of(t.as_py() or ""))
-            if len(seen) >= FLUSH:
-                yield out()
-                seen.clear()
-    yield out()
+    return run
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): every distinct word of ``docs`` (text), counted task by task first."""
-    counted = docs.select("text").mapInArrow(_counted, "word STRING, n BIGINT")
+def word_counts(docs: DataFrame, joined) -> DataFrame:
+    """(word, n): every distinct word of ``docs`` (text), counted task by task
+    first. ``joined``: the broadcast table of the vocabulary."""
+    counted = docs.select("text").mapInArrow(_counter(joined), "word STRING, n BIGINT")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -127,17 +144,20 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     Substrings of bounded length are exploded and joined with the piece table,
     which is of fixed size and broadcast; the edges stay in their word's
-    partition, where they are grouped by end and folded. A character that is no
+    partition, of a bounded number of words, where they are grouped by end and
+    folded. A character that is no
     piece gets an edge with the unknown score and is spelled in bytes.
     """
     spark = words.sparkSession
-    marked = words.select("word", F.concat(F.lit(SPACE), "word").alias("marked"))
-    marked = marked.select("word", "marked", F.char_length("marked").alias("n"))
-    ends = marked.select("word", "marked", "n", F.explode(F.sequence(F.lit(1), "n")).alias("end"))
+    parts_of = max(1, -(-words.count() // BLOCK))
+    dealt = words.select("word").repartition(parts_of, "word")
+    ends = dealt.select("word", F.char_length("word").alias("n")).select(
+        "word", "n", F.explode(F.sequence(F.lit(1), "n")).alias("end")
+    )
     parts = ends.select(
-        "word", "n", "end", "marked",
+        "word", "n", "end",
         F.explode(F.sequence(F.greatest(F.col("end") - vocabulary.longest, F.lit(0)), F.col("end") - 1)).alias("begin"),
-    ).select("word", "n", "end", "begin", F.substring("marked", F.col("begin") + 1, F.col("end") - F.col("begin")).alias("piece"))
+    ).select("word", "n", "end", "begin", F.substring("word", F.col("begin") + 1, F.col("end") - F.col("begin")).alias("piece"))
     fallback = (F.col("id").isNull()) & (F.col("end") - F.col("begin") == 1)
     edges = parts.join(F.broadcast(vocabulary.table(spark)), "piece", "left").filter(
         F.col("id").isNotNull() | (F.col("end") - F.col("begin") == 1)
@@ -180,14 +200,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry: bool = False, hot: in
     Words are counted and every distinct one is encoded once. The pieces of the
     ``hot`` most frequent words are broadcast, a table of fixed size; the other
     words of a text are looked up by a join on the word and come back to all
-    rows with the same text. Null and empty texts have no ids. Rows with equal
-    doc_id are encoded one by one. ``carry`` adds the struct ``carried`` with
-    all columns of ``docs``; else they are ignored.
+    rows with the same text, which travel compressed. Null and empty texts have
+    no ids. Rows with equal doc_id are encoded one by one. ``carry`` adds the
+    struct ``carried`` with all columns of ``docs`` but the text; else they are
+    ignored.
     """
     spark = docs.sparkSession
-    counts = staged(word_counts(docs))
-    # distinct words keep their partitioning from the count's shuffle through explode and broadcast join
-    pieces = staged(encode_words(counts.select("word").repartition("word"), vocabulary))
+    joined = spark.sparkContext.broadcast(vocabulary.joined)
+    counts = staged(word_counts(docs, joined))
+    pieces = staged(encode_words(counts, vocabulary))
     top = counts.orderBy(F.desc("n"), "word").limit(hot).select("word")
     frequent = pieces.join(top, "word", "left_semi").toLocalIterator()
     shipped = spark.sparkContext.broadcast({r.word: _pack(r.ids) for r in frequent})
@@ -197,28 +218,36 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry: bool = False, hot: in
         for batch in batches:
             keys, words = [], []
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                others = set(words_of(t.as_py() or "")).difference(known)
+                others = set(words_of(t.as_py(), joined.value)).difference(known)
                 words += others
                 keys += [key] * len(others)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], ["key", "word"])
 
+    def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            packed = pa.array([squeeze((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(at)], pa.binary())
+            yield batch.set_column(at, "text", packed)
+
     keyed = docs.select(F.xxhash64("text").alias("key"), "text")
     wanted = keyed.mapInArrow(rare, "key BIGINT, word STRING").distinct()
     looked_up = wanted.join(pieces, "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("others"))
-    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried")] * carry
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("carried")] * carry
     source = docs.select(F.xxhash64("text").alias("key"), "doc_id", "text", *carried)
-    source = source.join(looked_up, "key", "left").drop("key")
+    packed = StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in source.schema])
+    source = source.mapInArrow(compressed, packed).join(looked_up, "key", "left").drop("key")
     names = [c for c in source.columns if c not in ("text", "others")]
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shipped.value
+        known, expand = shipped.value, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             data, lengths = [], []
             for t, others in zip(at["text"], at["others"]):
+                words = words_of(expand(t.as_py()).decode("utf-8", "surrogatepass"), joined.value)
                 own = {r["word"]: _pack(r["ids"]) for r in others.as_py() or ()}
-                get = lambda w: known.get(w) or own[w]
-                data.append(b"".join(map(get if own else known.__getitem__, words_of(t.as_py() or ""))))
+                data.append(b"".join([known.get(w) or own[w] for w in words]))
                 lengths.append(len(data[-1]) // 4)
             offsets = pa.array([0, *_running(lengths)], pa.int32())
             values = pa.Array.from_buffers(pa.int32(), sum(lengths), [None, pa.py_buffer(b"".join(data))])
