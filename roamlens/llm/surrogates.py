@@ -57,7 +57,7 @@ _SOME_PERSON = re.compile("|".join(t for ts in TITLES.values() for t in ts))
 
 
 def _luhn(digits: str) -> int:
-    return sum(int(d) if i % 2 == len(digits) % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(digits)) % 10
+    return sum(sum(divmod(2 * int(d), 10)) if i % 2 == len(digits) % 2 else int(d) for i, d in enumerate(digits)) % 10
 
 
 def _iban_ok(value: str) -> bool:

@@ -47,13 +47,13 @@ def features(words: set[bytes]) -> set[bytes]:
 
 def swapped(words: set[bytes], groups: tuple = IDENTITY_TERMS) -> list[set[bytes]]:
     """The counterfactual word sets of a text: each identity term replaced by
-    every other term of its group in turn, one term at a time."""
+    every other term of its group in turn, and by none, one term at a time."""
     out = []
     for group in groups:
         terms = [t.encode() for t in group]
         for t in terms:
             if t in words:
-                out += [(words - {t}) | {other} for other in terms if other != t]
+                out += [(words - {t}) | {other} for other in terms if other != t] + [words - {t}]
     return out
 
 
@@ -92,14 +92,14 @@ def _telling(df: Counter, positive: Counter, n: int, n1: int) -> set[bytes]:
 
 def train(
     texts: list[bytes], labels: list[int], groups: tuple = IDENTITY_TERMS, penalty: float = 1.0,
-    ridge: float = 2e-3, steps: int = 250,
+    ridge: float = 2e-3, steps: int = 300,
 ) -> ToxicityModel:
     """Logistic regression on the presence of features in ``texts`` (their
     distinct words, joined by spaces) plus ``penalty`` times the mean
     squared change of the log-odds between a text and its counterfactuals.
 
-    Gradient steps with momentum from zero weights, so the result only depends
-    on the rows. With one class only the score is that class for every text.
+    Gradient steps with momentum from zero weights, shortened where the loss would
+    rise, so the result only depends on the rows. With one class only the score is that class for every text.
     """
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
@@ -127,19 +127,25 @@ def train(
     scale = 1.0 / np.sqrt(seen * (1 - seen) + 0.01)  # rare features learn as fast as frequent ones
     w, b = np.zeros(width), float(np.log(y.mean() / (1 - y.mean())))
     vw, vb = np.zeros(width), 0.0
-    counts = np.maximum(np.bincount(r, minlength=n), 1)
-    rate = 4.0 / np.sqrt(counts.mean())
-    for step in range(steps):
-        z = np.bincount(r, w[c], minlength=n) + b
-        error = 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))) - y
-        grad = np.bincount(c, error[r], minlength=width) / n + ridge * w / n * 10
+    pace = 4.0 / np.sqrt(max(1.0, len(r) / n))
+    best, kept = np.inf, (w, b)
+    for _ in range(steps):
+        z = np.clip(np.bincount(r, w[c], minlength=n) + b, -40, 40)
+        change = np.bincount(dr, dv * w[dc], minlength=m) if m else np.zeros(1)
+        decay = 5 * ridge / n
+        loss = np.mean(np.logaddexp(0, z) - y * z) + decay * (w @ w) + penalty * np.mean(change**2)
+        if loss > best:  # too far: back to the best weights, with shorter steps from rest
+            (w, b), vw, vb, pace = kept, np.zeros(width), 0.0, pace / 2
+            continue
+        best, kept = loss, (w, b)
+        error = 1.0 / (1.0 + np.exp(-z)) - y
+        grad = np.bincount(c, error[r], minlength=width) / n + 2 * decay * w
         if m:
-            change = np.bincount(dr, dv * w[dc], minlength=m)
             grad += 2 * penalty / m * np.bincount(dc, dv * change[dr], minlength=width)
-        pace = rate / (1 + step / 60)
         vw = 0.9 * vw - pace * scale * grad
         vb = 0.9 * vb - pace * error.mean()
         w, b = w + vw, b + vb
+    w, b = kept
     return ToxicityModel(float(b), {k: float(w[j]) for k, j in column.items()})
 
 
