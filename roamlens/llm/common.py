@@ -47,6 +47,11 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(docs: DataFrame, *without: str) -> Column:
+    """All columns of a row as one struct, so that no name of theirs can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in without]).alias("carried")
+
+
 def crc_of(id_col: Column) -> Column:
     """crc32 of an id written as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")))

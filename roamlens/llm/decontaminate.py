@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from roamlens.llm.common import staged, text_bytes
+from roamlens.llm.common import carried, staged, text_bytes
 
 SPAN = 10  # words of a window
 GRAM = 5  # words of a fingerprinted k-gram
@@ -239,8 +239,7 @@ def decontaminate(
     struct ``carried`` with all columns of ``docs``; else they are ignored.
     """
     runs = ArrayType(LongType())
-    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried")] * carry
-    current = docs.select("doc_id", text_bytes().alias("text"), *carried)
+    current = docs.select("doc_id", text_bytes().alias("text"), *[carried(docs)] * carry)
     found = [
         StructField("n_words", LongType()), StructField("first", runs), StructField("stop", runs),
         StructField("item_ids", ArrayType(StringType())),

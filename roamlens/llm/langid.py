@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from roamlens.llm.common import crc_of
+from roamlens.llm.common import carried, crc_of
 
 UNKNOWN = "und"
 FEATURES = 4096  # hashed letter n-grams, n = 1 to 3
@@ -188,7 +188,7 @@ def identify(docs: DataFrame, model: LanguageModel, carry: bool = False) -> Data
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     columns = ["doc_id", "text"]
-    source = docs.select(F.col("doc_id"), F.col("text"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried")] * carry)
+    source = docs.select(F.col("doc_id"), F.col("text"), *[carried(docs)] * carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
