@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
-from roamlens.llm.common import staged
+from roamlens.llm.common import carried, staged
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -19,8 +20,12 @@ HOT = 1 << 19  # most frequent words whose pieces are broadcast
 FLUSH = 1 << 19  # distinct words that a task counts before it hands them on
 PAIR_BITS = 20  # of the table of neighbours; of numbers alike one stands for all
 PART = 1 << 18  # characters looked at at once
+REMEMBERED = 1 << 17  # chunks whose words or pieces a worker remembers
+SLICE = 500  # rows handed on at once
+SAMPLES = 400  # texts that the compressor's dictionary is made from
 BLOCK = 20_000  # distinct words of a partition while their lattices are built
 UNKNOWN_PENALTY = 10.0
+_CHUNK = re.compile(" +[^ ]*")
 
 
 class Vocabulary:
@@ -41,6 +46,8 @@ class Vocabulary:
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
                 self.decoded.append(b"")
             else:
+                if re.search(f"[^{SPACE}]{SPACE}", piece):
+                    raise ValueError(f"piece {piece!r} goes on after a space")
                 self.pieces.append((piece, i, float(sp.get_score(i))))
                 self.decoded.append(piece.replace(SPACE, " ").encode())
         self.joined = np.zeros(1 << PAIR_BITS, bool)
@@ -65,39 +72,69 @@ def _pairs(codes: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
-def words_of(text: str | None, joined: np.ndarray) -> list[str]:
-    """The words of a text: space marks for spaces and before the text, and cuts
-    wherever no piece holds the two neighbours together. The best path never
-    crosses a cut, so it is the words' best paths in turn. (Two pairs may share a
-    number in ``joined``; then a cut is left out, which changes no path.)"""
+def chunks_of(text: str | None) -> list[str]:
+    """A text cut before its spaces, each part without the one space that it
+    begins with (the first part begins with the mark of the text's start). More
+    spaces in a row belong to the part after them, or are one at the end."""
     if not text:
         return []
-    marked = SPACE + text.replace(" ", SPACE)
-    out, begin = [], 0
-    for at in range(0, len(marked), PART):  # neighbours are looked at in parts, for memory
-        part = marked[at : at + PART + 1]
-        codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-        for cut in (np.flatnonzero(~joined[_pairs(codes)]) + (at + 1)).tolist():
-            out.append(marked[begin:cut])
-            begin = cut
-    out.append(marked[begin:])
-    return out
+    if SPACE in text:
+        text = text.replace(SPACE, " ")
+    if text[0] != " " and text[-1] != " " and "  " not in text:
+        return text.split(" ")
+    return [c[1:] for c in _CHUNK.findall(" " + text)]
+
+
+def cut(chunks: list[str], joined: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The words of all chunks and the chunk that each is from: cuts wherever no
+    piece holds the two neighbours together. The best path never crosses a cut,
+    so it is the words' best paths in turn. (Two pairs may share a number in
+    ``joined``; then a cut is left out, which changes no path.)"""
+    words, owner = [], []
+    at = 0
+    while at < len(chunks):  # so many characters at once, for memory
+        size, stop = 0, at
+        while stop < len(chunks) and (stop == at or size + len(chunks[stop]) < PART):
+            size += len(chunks[stop]) + 1
+            stop += 1
+        marked = [SPACE + c.replace(" ", SPACE) if " " in c else SPACE + c for c in chunks[at:stop]]
+        whole = "".join(marked)
+        begin = np.cumsum([0, *map(len, marked)])
+        first = np.zeros(len(whole) + 1, bool)
+        first[begin] = True
+        first[1:-1] |= ~joined[_pairs(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32))]
+        bounds = np.flatnonzero(first)
+        owner.append(at + np.searchsorted(begin, bounds[:-1], "right") - 1)
+        bounds = bounds.tolist()
+        words += [whole[x:y] for x, y in zip(bounds, bounds[1:])]
+        at = stop
+    return words, np.concatenate(owner) if owner else np.zeros(0, np.int64)
+
+
+def words_of(text: str | None, joined: np.ndarray) -> list[str]:
+    return cut(chunks_of(text), joined)[0]
 
 
 def _counter(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
+            chunks = list(seen)
+            words, owner = cut(chunks, shipped.value)
+            counts = np.fromiter(seen.values(), np.int64, len(chunks))[owner].tolist() if chunks else []
+            total: dict[str, int] = {}
+            for w, n in zip(words, counts):
+                total[w] = total.get(w, 0) + n
+            seen.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"]
+                [pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"]
             )
 
         seen: Counter = Counter()
         for batch in batches:
             for t in batch.column(0):
-                seen.update(words_of(t.as_py(), shipped.value))
+                seen.update(chunks_of(t.as_py()))
                 if len(seen) >= FLUSH:
                     yield out()
-                    seen.clear()
         yield out()
 
     return run
@@ -214,17 +251,29 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry: bool = False, hot: in
     shipped = spark.sparkContext.broadcast({r.word: _pack(r.ids) for r in frequent})
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shipped.value
+        known, table, others_of = shipped.value, joined.value, {}
         for batch in batches:
             keys, words = [], []
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                others = set(words_of(t.as_py(), joined.value)).difference(known)
+                chunks = set(chunks_of(t.as_py()))
+                fresh = [c for c in chunks if c not in others_of]
+                if fresh:
+                    if len(others_of) > REMEMBERED:
+                        others_of.clear()
+                        fresh = list(chunks)
+                    others_of.update(dict.fromkeys(fresh, ()))
+                    for w, k in zip(*cut(fresh, table)):
+                        if w not in known:
+                            others_of[fresh[k]] += (w,)
+                others = {w for c in chunks for w in others_of[c]}
                 words += others
                 keys += [key] * len(others)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], ["key", "word"])
 
+    dictionary = _compression(docs)
+
     def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary)).compress
         for batch in batches:
             at = batch.schema.get_field_index("text")
             packed = pa.array([squeeze((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(at)], pa.binary())
@@ -233,38 +282,49 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry: bool = False, hot: in
     keyed = docs.select(F.xxhash64("text").alias("key"), "text")
     wanted = keyed.mapInArrow(rare, "key BIGINT, word STRING").distinct()
     looked_up = wanted.join(pieces, "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("others"))
-    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("carried")] * carry
-    source = docs.select(F.xxhash64("text").alias("key"), "doc_id", "text", *carried)
+    rest = [carried(docs, "text")] * carry
+    source = docs.select(F.xxhash64("text").alias("key"), "doc_id", "text", *rest)
     packed = StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in source.schema])
     source = source.mapInArrow(compressed, packed).join(looked_up, "key", "left").drop("key")
     names = [c for c in source.columns if c not in ("text", "others")]
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, expand = shipped.value, zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            data, lengths = [], []
-            for t, others in zip(at["text"], at["others"]):
-                words = words_of(expand(t.as_py()).decode("utf-8", "surrogatepass"), joined.value)
-                own = {r["word"]: _pack(r["ids"]) for r in others.as_py() or ()}
-                data.append(b"".join([known.get(w) or own[w] for w in words]))
-                lengths.append(len(data[-1]) // 4)
-            offsets = pa.array([0, *_running(lengths)], pa.int32())
-            values = pa.Array.from_buffers(pa.int32(), sum(lengths), [None, pa.py_buffer(b"".join(data))])
-            yield pa.RecordBatch.from_arrays(
-                [*(at[n] for n in names), pa.ListArray.from_arrays(offsets, values)], [*names, "ids"]
-            )
+        known, table, ids_of = shipped.value, joined.value, {}
+        expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).decompress
+        for whole in batches:
+            for part in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(part, SLICE)
+                at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+                data, lengths = [], []
+                for t, others in zip(at["text"], at["others"]):
+                    chunks = chunks_of(expand(t.as_py()).decode("utf-8", "surrogatepass"))
+                    fresh = [c for c in set(chunks) if c not in ids_of]
+                    if fresh:
+                        if len(ids_of) > REMEMBERED:
+                            ids_of.clear()
+                            fresh = list(set(chunks))
+                        own = {r["word"]: _pack(r["ids"]) for r in others.as_py() or ()}
+                        ids_of.update(dict.fromkeys(fresh, b""))
+                        for w, k in zip(*cut(fresh, table)):
+                            ids_of[fresh[k]] += known.get(w) or own[w]
+                    data.append(b"".join(map(ids_of.__getitem__, chunks)))
+                    lengths.append(len(data[-1]) // 4)
+                offsets = pa.array(np.cumsum([0, *lengths]), pa.int32())
+                values = pa.Array.from_buffers(pa.int32(), sum(lengths), [None, pa.py_buffer(b"".join(data))])
+                yield pa.RecordBatch.from_arrays(
+                    [*(at[n] for n in names), pa.ListArray.from_arrays(offsets, values)], [*names, "ids"]
+                )
 
     schema = StructType([source.schema[n] for n in names] + [StructField("ids", ArrayType(IntegerType()))])
     return source.mapInArrow(assemble, schema)
 
 
-def _running(lengths: list[int]) -> list[int]:
-    out, total = [], 0
-    for n in lengths:
-        total += n
-        out.append(total)
-    return out
+def _compression(docs: DataFrame) -> bytes:
+    """A dictionary for compressing single texts, made from a few of them."""
+    texts = [r.text.encode("utf-8", "surrogatepass")[:20_000] for r in docs.select("text").limit(SAMPLES).collect() if r.text]
+    if sum(map(len, texts)) < 1 << 19:
+        return (b" " * 64 + b"".join(texts))[: 1 << 16]  # too few to learn from: the texts themselves
+    return zstandard.train_dictionary(1 << 16, texts).as_bytes()
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
