@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
@@ -20,8 +21,8 @@ HOT = 1 << 19  # most frequent words whose pieces are broadcast
 FLUSH = 1 << 19  # distinct words that a task counts before it hands them on
 PAIR_BITS = 20  # of the table of neighbours; of numbers alike one stands for all
 PART = 1 << 18  # characters looked at at once
-REMEMBERED = 1 << 17  # chunks whose words or pieces a worker remembers
-SLICE = 500  # rows handed on at once
+REMEMBERED = 1 << 16  # chunks whose words or pieces a worker remembers
+SLICE = 1 << 22  # bytes of text looked at at once
 SAMPLES = 400  # texts that the compressor's dictionary is made from
 BLOCK = 20_000  # distinct words of a partition while their lattices are built
 UNKNOWN_PENALTY = 10.0
@@ -227,8 +228,38 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     )
 
 
-def _pack(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+
+
+def _bytes_of(ids: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Lists of ids as one row of bytes and the places where each list begins and ends."""
+    lengths = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+    return np.cumsum([0, *lengths]) * 4, ids.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+
+
+def _slices(batch: pa.RecordBatch, lengths: list[int]) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with up to SLICE bytes of text, or one longer row."""
+    total = np.cumsum(lengths, dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def _fresh(lists: list[list[str]], remembered: dict) -> list[str]:
+    """The chunks that are not remembered; forgets the others when they are too many."""
+    chunks = set().union(*lists)
+    if len(remembered) > REMEMBERED:
+        remembered.clear()
+    return [c for c in chunks if c not in remembered]
+
+
+def _places(words: list[str], known: pa.Array) -> np.ndarray:
+    """The place of each word in ``known``, -1 where it is none of them."""
+    return pc.fill_null(pc.index_in(pa.array(words, pa.string()), value_set=known), -1).to_numpy(zero_copy_only=False)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, carry: bool = False, hot: int = HOT) -> DataFrame:
@@ -247,28 +278,26 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry: bool = False, hot: in
     counts = staged(word_counts(docs, joined))
     pieces = staged(encode_words(counts, vocabulary))
     top = counts.orderBy(F.desc("n"), "word").limit(hot).select("word")
-    frequent = pieces.join(top, "word", "left_semi").toLocalIterator()
-    shipped = spark.sparkContext.broadcast({r.word: _pack(r.ids) for r in frequent})
+    frequent = pieces.join(top, "word", "left_semi").select("word", "ids").toArrow().combine_chunks()
+    shipped = spark.sparkContext.broadcast((_whole(frequent["word"]), *_bytes_of(_whole(frequent["ids"]))))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table, others_of = shipped.value, joined.value, {}
+        known, table, others_of = shipped.value[0], joined.value, {}
         for batch in batches:
-            keys, words = [], []
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                chunks = set(chunks_of(t.as_py()))
-                fresh = [c for c in chunks if c not in others_of]
-                if fresh:
-                    if len(others_of) > REMEMBERED:
-                        others_of.clear()
-                        fresh = list(chunks)
-                    others_of.update(dict.fromkeys(fresh, ()))
-                    for w, k in zip(*cut(fresh, table)):
-                        if w not in known:
-                            others_of[fresh[k]] += (w,)
-                others = {w for c in chunks for w in others_of[c]}
-                words += others
-                keys += [key] * len(others)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], ["key", "word"])
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0)
+            for rows in _slices(batch, lengths.to_pylist()):
+                keys, words = [], []
+                lists = [chunks_of(t) for t in rows.column("text").to_pylist()]
+                fresh = _fresh(lists, others_of)
+                cuts, owner = cut(fresh, table)
+                others_of.update(dict.fromkeys(fresh, ()))
+                for i in np.flatnonzero(_places(cuts, known) < 0).tolist():
+                    others_of[fresh[owner[i]]] += (cuts[i],)
+                for key, chunks in zip(rows.column("key").to_pylist(), lists):
+                    others = {w for c in set(chunks) for w in others_of[c]}
+                    words += others
+                    keys += [key] * len(others)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], ["key", "word"])
 
     dictionary = _compression(docs)
 
@@ -280,7 +309,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry: bool = False, hot: in
             yield batch.set_column(at, "text", packed)
 
     keyed = docs.select(F.xxhash64("text").alias("key"), "text")
-    wanted = keyed.mapInArrow(rare, "key BIGINT, word STRING").distinct()
+    # one shuffle by the word serves distinct and join; a word of many copies is frequent, so none is hot here
+    wanted = keyed.mapInArrow(rare, "key BIGINT, word STRING").repartition("word").distinct()
     looked_up = wanted.join(pieces, "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("others"))
     rest = [carried(docs, "text")] * carry
     source = docs.select(F.xxhash64("text").alias("key"), "doc_id", "text", *rest)
@@ -289,30 +319,25 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry: bool = False, hot: in
     names = [c for c in source.columns if c not in ("text", "others")]
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table, ids_of = shipped.value, joined.value, {}
+        (known, offsets, ids), table, ids_of = shipped.value, joined.value, {}
         expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).decompress
-        for whole in batches:
-            for part in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(part, SLICE)
-                at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-                data, lengths = [], []
-                for t, others in zip(at["text"], at["others"]):
-                    chunks = chunks_of(expand(t.as_py()).decode("utf-8", "surrogatepass"))
-                    fresh = [c for c in set(chunks) if c not in ids_of]
-                    if fresh:
-                        if len(ids_of) > REMEMBERED:
-                            ids_of.clear()
-                            fresh = list(set(chunks))
-                        own = {r["word"]: _pack(r["ids"]) for r in others.as_py() or ()}
-                        ids_of.update(dict.fromkeys(fresh, b""))
-                        for w, k in zip(*cut(fresh, table)):
-                            ids_of[fresh[k]] += known.get(w) or own[w]
-                    data.append(b"".join(map(ids_of.__getitem__, chunks)))
-                    lengths.append(len(data[-1]) // 4)
-                offsets = pa.array(np.cumsum([0, *lengths]), pa.int32())
-                values = pa.Array.from_buffers(pa.int32(), sum(lengths), [None, pa.py_buffer(b"".join(data))])
+        for batch in batches:
+            for rows in _slices(batch, [zstandard.frame_content_size(t) for t in batch.column("text").to_pylist()]):
+                lists = [chunks_of(expand(t).decode("utf-8", "surrogatepass")) for t in rows.column("text").to_pylist()]
+                others = pa.StructArray.flatten(rows.column("others").flatten())
+                bounds, packs = _bytes_of(others[1])
+                own = {w: packs[x:y] for w, x, y in zip(others[0].to_pylist(), bounds, bounds[1:])}
+                fresh = _fresh(lists, ids_of)
+                cuts, owner = cut(fresh, table)
+                parts: list[list[bytes]] = [[] for _ in fresh]
+                for w, k, i in zip(cuts, owner.tolist(), _places(cuts, known).tolist()):
+                    parts[k].append(own[w] if i < 0 else ids[offsets[i]:offsets[i + 1]])
+                ids_of.update(zip(fresh, map(b"".join, parts)))
+                data = [b"".join(map(ids_of.__getitem__, chunks)) for chunks in lists]
+                ends = pa.array(np.cumsum([0, *map(len, data)]) // 4, pa.int32())
+                values = pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(data))])
                 yield pa.RecordBatch.from_arrays(
-                    [*(at[n] for n in names), pa.ListArray.from_arrays(offsets, values)], [*names, "ids"]
+                    [*(rows.column(n) for n in names), pa.ListArray.from_arrays(ends, values)], [*names, "ids"]
                 )
 
     schema = StructType([source.schema[n] for n in names] + [StructField("ids", ArrayType(IntegerType()))])
