@@ -18,7 +18,7 @@ from roamlens.llm.common import carried, staged
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 HOT = 1 << 19  # most frequent words whose pieces are broadcast
-FLUSH = 1 << 19  # distinct words that a task counts before it hands them on
+FLUSH = 1 << 17  # distinct words that a task counts before it hands them on
 PAIR_BITS = 20  # of the table of neighbours; of numbers alike one stands for all
 PART = 1 << 18  # characters looked at at once
 REMEMBERED = 1 << 16  # chunks whose words or pieces a worker remembers
