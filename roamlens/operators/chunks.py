@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roamlens.functions.times import align_down, day, slot_start, slot_before, ts
 from roamlens.operators.bins import occupancy_bins
@@ -94,9 +96,14 @@ def _days_of(gaps: DataFrame) -> DataFrame:
 def bins_of_days(s: DataFrame, days: DataFrame, interval_s: int) -> DataFrame:
     """Occupancy bins of the given days only.
 
-    Sessions are cut to the (session, day) pairs in ``days`` by a join before
-    they are exploded into bins, so a refresh of one day reads one day's work.
+    The range of the days is a plain filter that reaches the scan; sessions are
+    then cut to the (session, day) pairs in ``days`` by a join before they are
+    exploded into bins.
     """
+    span = days.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
+    if span.lo is not None:
+        low, high = F.lit(span.lo).cast("timestamp_ntz"), F.lit(span.hi + timedelta(days=1)).cast("timestamp_ntz")
+        s = s.where((F.col("start_time") < high) & ((F.col("end_time") >= low) | (F.col("start_time") >= low)))
     point = F.col("end_time") <= F.col("start_time")
     last = F.when(point, F.to_date("start_time")).otherwise(F.to_date("end_time"))
     pieces = (
@@ -130,6 +137,25 @@ def write_bins(bins: DataFrame, path: str, interval_s: int, files_per_day: int =
     )
 
 
+def read_bins(spark: SparkSession, path: str) -> DataFrame:
+    """The stored bins, without the rows that mark a day as empty."""
+    return spark.read.parquet(path).where("space_id IS NOT NULL")
+
+
+def drop_stale(ledger: DataFrame, stale: DataFrame) -> DataFrame:
+    """The ledger without the chunks of ``stale``."""
+    return ledger.join(stale, ["space_id", "interval_seconds", "chunk_start", "chunk_end"], "left_anti")
+
+
+def _stored_of(spark: SparkSession, path: str, interval_s: int, days: DataFrame) -> DataFrame | None:
+    """The stored bins of the given days; None where nothing is stored yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    stored = spark.read.parquet(path).where(F.col("interval_seconds") == interval_s)
+    return stored.join(sized_broadcast(days.select("day")), "day", "left_semi")
+
+
 def refresh_occupancy(
     s: DataFrame, tree: DataFrame, spaces: DataFrame, ledger: DataFrame, path: str, interval_s: int,
     start, end, completed_at, force: bool = False,
@@ -137,13 +163,29 @@ def refresh_occupancy(
     """Fill the gaps of [start, end) in the store and return the new ledger rows.
 
     Gaps are widened to whole days; the bins of those days are recomputed for
-    all spaces and rolled up in one job, and replace their day partitions. All
-    spaces have the same covered days afterwards.
+    ``spaces`` and rolled up in one job. Stored rows of all other spaces stay as
+    they are, so subtrees can be refreshed one after the other; a day left
+    without bins is stored as empty. Late sessions need their chunks taken out
+    of the ledger first (``stale_chunks``, ``drop_stale``).
     """
+    spark = s.sparkSession
     spaces = durable(spaces)
     gaps = durable(align_gaps(coverage_gaps(ledger, spaces, interval_s, start, end, force)))
     days = _days_of(gaps)
+    own = spaces.select("space_id").distinct()
     bins = rollup_tree(bins_of_days(s, days, interval_s), tree, sources=spaces.where("space_type = 'source'"))
+    bins = bins.join(own, "space_id", "left_semi")
+    stored = _stored_of(spark, path, interval_s, days)
+    if stored is not None:
+        columns = ["space_id", "interval_begin_time", "number_connections"]
+        others = stored.where("space_id IS NOT NULL").join(own, "space_id", "left_anti").select(*columns)
+        bins = durable(bins.select(*columns).unionByName(others))  # the files read are replaced
+        filled = bins.select(F.to_date("interval_begin_time").alias("day")).distinct()
+        emptied = stored.select("day").distinct().join(filled, "day", "left_anti").select(
+            F.lit(None).cast("int").alias("space_id"), F.col("day").cast("timestamp_ntz").alias("interval_begin_time"),
+            F.lit(0).cast("long").alias("number_connections"),
+        )
+        bins = bins.unionByName(durable(emptied))
     write_bins(bins, path, interval_s)
     return gaps.join(spaces, "space_id").select(
         "space_id", F.lit(interval_s).alias("interval_seconds"),

@@ -33,7 +33,7 @@ class Dims:
         """
         if "rooms" not in self._cache:
             per_type = (
-                self.space_metadata.where("building_room IS NOT NULL")
+                self.space_metadata.where("building_room IS NOT NULL AND type IS NOT NULL")
                 .groupBy("building_room", "type")
                 .agg(F.count("*").alias("n"))
             )

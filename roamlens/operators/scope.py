@@ -55,13 +55,17 @@ def bind_query(
 
 
 def preview(df: DataFrame, order_by, n: int = 100, offset: int = 0, cap: int = MAX_PAGE) -> DataFrame:
-    """One page in an explicit order."""
+    """One page in an explicit order; a page longer than ``cap`` is an error."""
+    if n > cap:
+        raise ValueError(f"a page has at most {cap} rows, {n} asked for")
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    return df.orderBy(*keys).offset(offset).limit(min(n, cap))
+    return df.orderBy(*keys).offset(offset).limit(n)
 
 
-def find_spaces(space: DataFrame, pattern: str | None = None, skip: int = 0, limit: int = 100) -> DataFrame:
-    """Spaces whose name contains ``pattern``, ignoring case, by name."""
+def find_spaces(space: DataFrame, pattern: str | None = None, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """Spaces whose name contains ``pattern``, ignoring case, by name; all of
+    them unless ``limit`` is given."""
     if pattern:
         space = space.where(F.col("space_name").ilike(f"%{pattern}%"))
-    return space.orderBy("space_name", "space_id").offset(skip).limit(limit)
+    found = space.orderBy("space_name", "space_id").offset(skip)
+    return found if limit is None else found.limit(limit)

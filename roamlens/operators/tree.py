@@ -7,57 +7,55 @@ from pyspark.sql import DataFrame, functions as F
 from roamlens.functions.times import ts
 from roamlens.operators.bins import explode_bins
 from roamlens.functions.times import slot_start
-from roamlens.session import sized_broadcast
+from roamlens.session import durable, sized_broadcast
 
-MAX_DEPTH = 64
 
+def _reach(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(descendant, ancestor, depth) along ``edges`` (node, parent), from every node.
 
-def closure(tree: DataFrame, node: str = "space_id", parent: str = "parent_space_id", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(descendant, ancestor, depth) with every node its own ancestor at 0.
-
-    A recursive query over the edges; ``max_depth`` also ends cycles.
+    Steps double: pairs up to depth 2^k - 1 and a table of steps of 2^k give the
+    next pairs, so a tree of any depth takes a logarithm of joins. A step longer
+    than the number of edges means a cycle and is an error.
     """
-    edges = tree.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
-    return tree.sparkSession.sql(
-        f"""
-        WITH RECURSIVE up(descendant, ancestor, depth) MAX RECURSION LEVEL {max_depth + 2} AS (
-            SELECT node, node, 0 FROM {{edges}}
-            UNION ALL
-            SELECT u.descendant, e.parent, u.depth + 1
-            FROM up u JOIN {{edges}} e ON e.node = u.ancestor
-            WHERE e.parent IS NOT NULL AND u.depth < {max_depth}
+    step = durable(edges.where("node IS NOT NULL AND parent IS NOT NULL").select("node", "parent"))
+    n_edges, length, rounds = step.count(), 1, 0
+    pairs = nodes.select(F.col("node").alias("descendant"), F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
+    while not step.isEmpty():
+        if length > n_edges:
+            raise ValueError("the parents form a cycle")
+        further = pairs.join(step, F.col("ancestor") == F.col("node")).select(
+            "descendant", F.col("parent").alias("ancestor"), (F.col("depth") + length).alias("depth")
         )
-        SELECT descendant, ancestor, depth FROM up
-        """,
-        edges=edges,
-    )
+        pairs = pairs.unionByName(further)
+        rounds += 1
+        if rounds > 2:  # a short plan is planned faster than written
+            pairs = durable(pairs)
+        on = step.select(F.col("node").alias("parent"), F.col("parent").alias("_next"))
+        step = durable(step.join(on, "parent").select("node", F.col("_next").alias("parent")))
+        length *= 2
+    return pairs
+
+
+def closure(tree: DataFrame, node: str = "space_id", parent: str = "parent_space_id") -> DataFrame:
+    """(descendant, ancestor, depth) with every node its own ancestor at 0, at any depth."""
+    edges = tree.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
+    return _reach(edges, edges)
 
 
-def _walk(tree: DataFrame, start: int, down: bool, node: str, parent: str, max_depth: int) -> DataFrame:
-    edges = tree.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
-    step = "e.parent = w.node" if down else "e.node = w.parent"
-    return tree.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(node, parent, depth) MAX RECURSION LEVEL {max_depth + 2} AS (
-            SELECT node, parent, 0 FROM {{edges}} WHERE node = {int(start)}
-            UNION ALL
-            SELECT e.node, e.parent, w.depth + 1 FROM walk w JOIN {{edges}} e ON {step}
-            WHERE w.depth < {max_depth}
-        )
-        SELECT node, depth FROM walk
-        """,
-        edges=edges,
-    ).withColumnRenamed("node", node)
+def _inner(tree: DataFrame, node: str, parent: str) -> DataFrame:
+    """The closure over parents that are nodes themselves."""
+    edges = durable(tree.select(F.col(node).alias("node"), F.col(parent).alias("parent")))
+    return _reach(edges.join(edges.select(F.col("node").alias("parent")).distinct(), "parent", "left_semi"), edges)
 
 
-def descendants(tree: DataFrame, root: int, node: str = "space_id", parent: str = "parent_space_id", max_depth: int = MAX_DEPTH) -> DataFrame:
+def descendants(tree: DataFrame, root: int, node: str = "space_id", parent: str = "parent_space_id") -> DataFrame:
     """Nodes at or below ``root`` with their distance."""
-    return _walk(tree, root, True, node, parent, max_depth)
+    return _inner(tree, node, parent).where(F.col("ancestor") == int(root)).select(F.col("descendant").alias(node), "depth")
 
 
-def ancestors(tree: DataFrame, start: int, node: str = "space_id", parent: str = "parent_space_id", max_depth: int = MAX_DEPTH) -> DataFrame:
+def ancestors(tree: DataFrame, start: int, node: str = "space_id", parent: str = "parent_space_id") -> DataFrame:
     """Nodes at or above ``start`` with their distance."""
-    return _walk(tree, start, False, node, parent, max_depth)
+    return _inner(tree, node, parent).where(F.col("descendant") == int(start)).select(F.col("ancestor").alias(node), "depth")
 
 
 def children(tree: DataFrame, of: int, parent: str = "parent_space_id") -> DataFrame:

@@ -82,7 +82,7 @@ def _(spark, sf):
 @query("s09_find_spaces", """SELECT space_id, space_name, parent_space_id, building_room FROM space WHERE space_name ILIKE '%nation_1%'
 ORDER BY space_name, space_id LIMIT 100""")
 def _(spark, sf):
-    return find_spaces(T.space(spark, sf), "nation_1")
+    return find_spaces(T.space(spark, sf), "nation_1", limit=100)
 
 
 def _number(c: str, t: str) -> str:

@@ -13,6 +13,7 @@ from roamlens.operators.bins import occupancy_bins
 from roamlens.operators.grains import compute
 from roamlens.plans.occupancy_queries import bins_sql, shared_folder
 from roamlens.plans.oracle_metrics import METRIC_SQL
+from roamlens.session import durable
 from roamlens.sources import driver_tables as T
 from roamlens.sources.tables import read_csv_counts, write_asset
 
@@ -78,7 +79,7 @@ def features(spark, sf) -> list[DataFrame]:
 
 def train_test(spark, sf) -> tuple[DataFrame, DataFrame, list[str]]:
     frame, cols = R.training_frame(balanced(spark, sf), features(spark, sf))
-    both = R.stratified_split(frame, 0.25, 7).persist()
+    both = durable(R.stratified_split(frame, 0.25, 7))
     train, test = both.where("NOT is_test"), both.where("is_test")
     stats = R.scaler_stats(train, cols)
     return R.scale(train, stats), R.scale(test, stats), cols
@@ -357,7 +358,7 @@ def _(spark, sf):
 
 @query("h12_autoregressive_forecast")
 def _(spark, sf):
-    w = windows(spark, sf).persist()
+    w = durable(windows(spark, sf))
     cut = w.agg(F.max("ds").alias("hi")).select(F.timestamp_add("DAY", F.lit(-3), F.col("hi")).alias("t")).first().t
     model = H.fit_autoregressive(w.where(F.col("ds") <= F.lit(str(cut)).cast("timestamp_ntz")))
     return H.predict_autoregressive(w.where(F.col("ds") > F.lit(str(cut)).cast("timestamp_ntz")), model).select("space_id", "ds", "target", "yhat")

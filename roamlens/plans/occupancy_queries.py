@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roamlens.operators import bins as B, chunks as K, tree as R
+from roamlens import session
 from roamlens.session import durable
 from roamlens.sources import driver_tables as T
 from roamlens.streaming.occupancy_stream import read_session_stream, start_occupancy_stream
@@ -31,10 +31,8 @@ def query(name: str, sql: str | None = None):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder all executors see: beside the checkpoints on a cluster,
-    a temporary one in local runs."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base}/roamlens-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="roamlens-store-")
+    """A fresh folder that all executors see."""
+    return f"{session.shared_folder(spark)}/roamlens-{uuid.uuid4().hex}"
 
 
 def bins_sql(seconds: int, start: str | None = None, end: str | None = None) -> str:
@@ -186,7 +184,7 @@ def _(spark, sf):
 
 
 def _stored(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("space_id", "interval_begin_time", "number_connections")
+    return K.read_bins(spark, path).select("space_id", "interval_begin_time", "number_connections")
 
 
 @query("k07_refresh_occupancy", rollup_sql(bins_sql(HOUR)))

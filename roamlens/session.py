@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -27,19 +28,20 @@ def build_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``. Only a local session without the
+    setting gets a temporary folder; on a cluster one would be lost with its machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared is None and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return shared or tempfile.mkdtemp(prefix="roamlens-")
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where none is
-    configured (tests, local runs) is one made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-            "spark.checkpoint.dir"
-        )
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="roamlens-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

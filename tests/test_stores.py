@@ -37,3 +37,60 @@ def test_stream_with_late_files(spark, tmp_path):
         read_session_stream(spark, str(tmp_path / "in"), 1), T.space(spark, SF), str(tmp_path / "store"), str(tmp_path / "bins"), 3600, str(tmp_path / "ck"),
     ).awaitTermination()
     same(spark, str(tmp_path / "bins"), full(spark))
+
+
+def test_refresh_of_two_roots_and_an_emptied_day(spark, tmp_path):
+    from tests.conftest import sessions
+
+    tree = spark.createDataFrame(
+        [(1, None), (10, 1), (11, 1), (100, 10), (101, 11)], "space_id INT, parent_space_id INT"
+    )
+    s = sessions(spark, [("a", 100, "09:10", "09:50"), ("b", 101, "09:20", "09:40"), ("c", 101, "2024-01-03 09:20", "2024-01-03 09:40")])
+    window = ("2024-01-02 00:00:00", "2024-01-05 00:00:00")
+    path, none = str(tmp_path / "bins"), spark.createDataFrame([], K.LEDGER_SCHEMA)
+
+    def refresh(root, s, spaces_from=None):
+        spaces = R.classify_spaces(tree, spaces_from or s, root, *window)
+        return K.refresh_occupancy(s, tree, spaces, none, path, 3600, *window, "2024-02-01 00:00:00")
+
+    def stored():
+        rows = K.read_bins(spark, path).where("number_connections > 0").collect()
+        return {(r.space_id, r.interval_begin_time.day): r.number_connections for r in rows}
+
+    refresh(10, s)
+    refresh(11, s)
+    assert stored() == {(10, 2): 1, (100, 2): 1, (11, 2): 1, (101, 2): 1, (11, 3): 1, (101, 3): 1}
+    refresh(11, s.where("mac_address = 'b'"), spaces_from=s)
+    assert stored() == {(10, 2): 1, (100, 2): 1, (11, 2): 1, (101, 2): 1}
+
+
+def test_late_sessions_are_counted_after_their_chunks_are_dropped(spark, tmp_path):
+    from tests.conftest import sessions
+
+    tree = spark.createDataFrame([(1, None), (100, 1)], "space_id INT, parent_space_id INT")
+    early = sessions(spark, [("a", 100, "09:10", "09:50")])
+    late = early.unionByName(sessions(spark, [("b", 100, "09:20", "10:40")]))
+    window = ("2024-01-02 00:00:00", "2024-01-03 00:00:00")
+    path, ledger = str(tmp_path / "bins"), spark.createDataFrame([], K.LEDGER_SCHEMA)
+    spaces = R.classify_spaces(tree, early, 1, *window)
+    ledger = K.refresh_occupancy(early, tree, spaces, ledger, path, 3600, *window, "2024-01-02 10:00:00")
+    ledger = K.drop_stale(ledger, K.stale_chunks(ledger, late, tree, 1, 3600, *window))
+    assert ledger.count() == 0
+    K.refresh_occupancy(late, tree, spaces, ledger, path, 3600, *window, "2024-01-04 00:00:00")
+    same(spark, path, R.rollup_tree(occupancy_bins(late, 3600), tree))
+
+
+def test_deep_trees_cycles_and_pages(spark):
+    import pytest
+
+    from roamlens.operators.scope import preview
+
+    n = 200
+    chain = spark.range(1, n + 1).selectExpr("CAST(id AS INT) AS space_id", "CAST(nullif(id - 1, 0) AS INT) AS parent_space_id")
+    got = R.closure(chain)
+    assert got.count() == n * (n + 1) // 2 and got.where("depth <> descendant - ancestor").count() == 0
+    assert R.descendants(chain, 1).count() == n and R.ancestors(chain, n).count() == n
+    with pytest.raises(ValueError):
+        R.closure(spark.createDataFrame([(1, 2), (2, 1)], "space_id INT, parent_space_id INT"))
+    with pytest.raises(ValueError):
+        preview(chain, "space_id", 2000)
