@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roamlens.llm import (
-    attention_lm as A, decontaminate as D, exact as E, langid as L, preferences as P, sentencepieces as SP, simhash as S, suffix_dedup as U,
+    attention_lm as A, decontaminate as D, exact as E, hard_negatives as H, langid as L, preferences as P, sentencepieces as SP, simhash as S, suffix_dedup as U,
     surrogates as X, toxicity as T,
 )
 from roamlens.llm.common import table
@@ -85,11 +85,22 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    items = vectors.select("vec_id", label.alias("label"), F.col("embedding").alias("vector"))
+    return H.mine_hard_negatives(items, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_exact_dedup, op3_language_id, op4_lm_scoring, op5_sentencepiece, op6_toxicity,
         op7_preference_formatting, op8_suffix_array_dedup, op9_benchmark_decontamination, op10_pii_surrogates,
+        op12_hard_negatives,
     )
 }
-SQL = {"op2_exact_dedup": E.EXACT_SQL.format(documents="documents")}
+SQL = {
+    "op2_exact_dedup": E.EXACT_SQL.format(documents="documents"),
+    "op12_hard_negatives": H.MINING_SQL.format(embeddings="embeddings"),
+}
