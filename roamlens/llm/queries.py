@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roamlens.llm import (
-    attention_lm as A, decontaminate as D, exact as E, hard_negatives as H, langid as L, preferences as P, sentencepieces as SP, simhash as S, suffix_dedup as U,
+    attention_lm as A, decontaminate as D, exact as E, hard_negatives as H, langid as L, preferences as P, prefix_trie as R, sentencepieces as SP, simhash as S, suffix_dedup as U,
     surrogates as X, toxicity as T,
 )
 from roamlens.llm.common import table
@@ -85,6 +85,12 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.conversation_trie(table(spark, sf_dir, "conversations")).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -97,10 +103,11 @@ QUERIES = {
     for f in (
         op1_simhash_near_dedup, op2_exact_dedup, op3_language_id, op4_lm_scoring, op5_sentencepiece, op6_toxicity,
         op7_preference_formatting, op8_suffix_array_dedup, op9_benchmark_decontamination, op10_pii_surrogates,
-        op12_hard_negatives,
+        op11_conversation_trie, op12_hard_negatives,
     )
 }
 SQL = {
     "op2_exact_dedup": E.EXACT_SQL.format(documents="documents"),
+    "op11_conversation_trie": R.TRIE_SQL.format(conversations="conversations"),
     "op12_hard_negatives": H.MINING_SQL.format(embeddings="embeddings"),
 }
