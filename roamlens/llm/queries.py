@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roamlens.llm import (
-    attention_lm as A, decontaminate as D, exact as E, hard_negatives as H, langid as L, preferences as P, prefix_trie as R, sentencepieces as SP, simhash as S, suffix_dedup as U,
+    attention_lm as A, decontaminate as D, exact as E, hard_negatives as H, jaccard_join as J, langid as L, preferences as P, prefix_trie as R, sentencepieces as SP, simhash as S, suffix_dedup as U,
     surrogates as X, toxicity as T,
 )
 from roamlens.llm.common import table
@@ -98,16 +98,21 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.mine_hard_negatives(items, F.col("vec_id") % 100 == 0)
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.similar_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_exact_dedup, op3_language_id, op4_lm_scoring, op5_sentencepiece, op6_toxicity,
         op7_preference_formatting, op8_suffix_array_dedup, op9_benchmark_decontamination, op10_pii_surrogates,
-        op11_conversation_trie, op12_hard_negatives,
+        op11_conversation_trie, op12_hard_negatives, op13_ngram_jaccard_join,
     )
 }
 SQL = {
     "op2_exact_dedup": E.EXACT_SQL.format(documents="documents"),
     "op11_conversation_trie": R.TRIE_SQL.format(conversations="conversations"),
     "op12_hard_negatives": H.MINING_SQL.format(embeddings="embeddings"),
+    "op13_ngram_jaccard_join": J.JACCARD_SQL.format(documents="documents"),
 }
