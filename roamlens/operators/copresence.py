@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from roamlens.functions.values import overlap_us, ratio
 from roamlens.operators.dims import Dims
 from roamlens.operators.ordered import top_one
-from roamlens.operators.overlap import BUCKET_S, overlap_join
+from roamlens.operators.overlap import BUCKET_S, overlap_join, overlap_self_join
 from roamlens.operators.scope import KEY, scope_to
 
 # Coverage regions that are not a group's rooms (fixed values).
@@ -15,17 +15,32 @@ CLASSROOMS = ("NorthClassroom", "SouthClassroom", "InnerClassroom")
 
 
 def device_pairs(sessions: DataFrame, entities: DataFrame | None, place: str, bucket_s: int = BUCKET_S) -> DataFrame:
-    """(target, other, place) -> overlapping session pairs and overlap time."""
+    """(target, other, place) -> overlapping session pairs and overlap time.
+
+    Without ``entities`` each pair of sessions is found and added up once, and the
+    sums of two devices are mirrored at the end.
+    """
     cols = [KEY, place, "start_time", "end_time"]
-    own = scope_to(sessions, entities).select(*cols)
-    pairs = overlap_join(
-        own, sessions.select(*cols), place, bucket_s=bucket_s,
-        extra=F.col(f"l.{KEY}") != F.col(f"r.{KEY}"),
-    )
+    rows = sessions.select(*cols)
     shared = overlap_us("l.start_time", "l.end_time", "r.start_time", "r.end_time")
-    return pairs.groupBy(
-        F.col(f"l.{KEY}").alias("target"), F.col(f"r.{KEY}").alias("other"), F.col(f"l.{place}").alias(place)
-    ).agg(F.count("*").alias("pairs"), F.sum(shared).alias("us"))
+    target, other = F.col(f"l.{KEY}"), F.col(f"r.{KEY}")
+    if entities is None:
+        pairs = overlap_self_join(rows, place, KEY, bucket_s=bucket_s)
+        low, high = F.least(target, other), F.greatest(target, other)
+    else:
+        pairs = overlap_join(scope_to(sessions, entities).select(*cols), rows, place, bucket_s=bucket_s, extra=target != other)
+        low, high = target, other
+    sums = pairs.groupBy(low.alias("target"), high.alias("other"), F.col(f"l.{place}").alias(place)).agg(
+        F.count("*").alias("pairs"), F.sum(shared).alias("us")
+    )
+    return sums if entities is not None else _mirrored(sums)
+
+
+def _mirrored(sums: DataFrame) -> DataFrame:
+    """Rows of (target, other) and the same of (other, target)."""
+    ways = F.explode(F.array(F.struct("target", "other"), F.struct(F.col("other").alias("target"), F.col("target").alias("other"))))
+    rest = [c for c in sums.columns if c not in ("target", "other")]
+    return sums.select(ways.alias("_way"), *rest).select("_way.target", "_way.other", *rest)
 
 
 def _fewer(role: str) -> Column:

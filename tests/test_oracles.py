@@ -4,6 +4,7 @@ run with check_oracles.py."""
 import pytest
 
 import __spark_entry__ as entry
+from roamlens.plans import registry
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -29,7 +30,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_query_has_sql_or_is_a_model():
-    without = set(entry.queries()) - set(entry.oracle_sql())
+    without = set(registry.queries()) - set(registry.oracle_sql())
     assert without == {"c08_train_bank", "c11_batch_score", "h09_seasonal_forecast", "h12_autoregressive_forecast"}
     assert not set(entry.oracle_sql()) - set(entry.queries())
 

@@ -15,7 +15,7 @@ from roamlens.operators.dims import Dims
 from roamlens.operators.faculty import single_office_share
 from roamlens.operators.grains import compute, metrics_bundle
 from roamlens.operators.ordered import blocked_row_number, running_max
-from roamlens.operators.overlap import overlap_join
+from roamlens.operators.overlap import _Side, dyadic_cells, overlap_join, overlap_self_join
 from roamlens.operators.scope import entity_index
 from tests.conftest import sessions
 
@@ -122,6 +122,68 @@ def test_overlap_join_equals_nested_loop(spark, rows, inclusive, hot):
     assert got == want
 
 
+def timed(spark, rows):
+    """rows of (id, device, space, start and end in minutes)."""
+    return spark.createDataFrame(rows, "id INT, mac_address STRING, space_id INT, a LONG, b LONG").selectExpr(
+        "id", "mac_address", "space_id", "timestampadd(MINUTE, a, TIMESTAMP_NTZ '2024-01-01') AS start_time",
+        "timestampadd(MINUTE, b, TIMESTAMP_NTZ '2024-01-01') AS end_time")
+
+
+@FEW
+@given(rows=INTERVALS, inclusive=st.booleans(), hot=st.sampled_from([1, 3, 1000]))
+def test_overlap_self_join_finds_each_pair_once(spark, rows, inclusive, hot):
+    base = [(i, f"d{d}", p, a, a + n) for i, (d, p, a, n) in enumerate(rows)]
+    got = overlap_self_join(timed(spark, base), "space_id", "mac_address", inclusive, 1800, hot)
+    got = sorted(tuple(sorted((r.l.id, r.r.id))) for r in got.collect())
+    hit = (lambda x, y: x[3] <= y[4] and y[3] <= x[4]) if inclusive else (lambda x, y: x[3] < y[4] and y[3] < x[4])
+    want = sorted((x[0], y[0]) for x, y in itertools.combinations(base, 2) if x[1] != y[1] and x[2] == y[2] and hit(x, y))
+    assert got == want
+
+
+@pytest.mark.parametrize("base", [-2**20 - 3, -40, 0, 7, 2**30 + 5])
+def test_dyadic_cells_cover_exactly_their_slots(spark, base):
+    rows = [(base + a, base + a + n) for a in range(9) for n in (-2, -1, 0, 1, 2, 3, 4, 5, 8, 30, 31, 64, 1000, 2**18 + 1)]
+    df = spark.createDataFrame(rows, "a LONG, b LONG")
+    for a, b, cells in df.select("a", "b", dyadic_cells(F.col("a"), F.col("b"), 1)).collect():
+        blocks = sorted(((c >> 7) << (c & 63), 1 << (c & 63)) for c in cells)
+        assert all(c >> 6 & 1 for c in cells)
+        assert len(cells) <= max(4, 2 * (b - a + 1).bit_length())
+        at = a
+        for first, size in blocks:
+            assert first == at
+            at += size
+        assert at == max(a, b + 1)
+
+
+def test_a_session_of_thirty_years_stays_a_few_rows(spark):
+    years = 30 * 365 * 24 * 60
+    rows = [(0, "old", 1, -years, years), (1, "b", 1, 5, 20), (2, "c", 1, years - 5, years + 5), (3, "d", 2, 0, 10), (4, "bad", 1, 100, 50 - years)]
+    s = timed(spark, rows)
+    side = _Side(s, "l", ["space_id"], 3600)
+    sizes = spark.createDataFrame([(1, 19, 19), (2, 0, 0)], "space_id INT, _t0 INT, _t1 INT")
+    assert side.keyed(sizes, 19, None, 0).count() < 60 and side.keyed(sizes, 19, 0, None).count() <= 4 * 20 + 1
+    got = overlap_join(s, s, "space_id", extra=F.col("l.mac_address") != F.col("r.mac_address"))
+    assert sorted((r.l.id, r.r.id) for r in got.collect()) == [(0, 1), (0, 2), (0, 4), (1, 0), (2, 0), (4, 0)]
+
+
+def test_a_place_with_many_long_intervals_is_cut_on_both_sides(spark):
+    day = 24 * 60
+    rows = [(i, f"d{i % 7}", 1, i % 11 - 2 * day, 3 * day + i) for i in range(60)] + [(60 + i, f"p{i % 5}", 1, i, i + 1) for i in range(80)]
+    s = timed(spark, rows)
+    long, short = s.where("id < 60"), s.where("id >= 60")
+    want = sorted((x[0], y[0]) for x, y in itertools.product(rows[:60], rows[60:]) if x[3] < y[4] and y[3] < x[4])
+    for hot in (10, 25, 1000):
+        assert sorted((r.l.id, r.r.id) for r in overlap_join(long, short, "space_id", hot_rows=hot).collect()) == want
+    # a cell with 60 intervals and 80 points becomes 6 parts by 8
+    from roamlens.operators.overlap import _hot_cells
+
+    sizes = spark.createDataFrame([(1, 7, 7)], "space_id INT, _t0 INT, _t1 INT")
+    l = _Side(long, "l", ["space_id"], 3600).keyed(sizes, 7, None, 0)
+    r = _Side(short, "r", ["space_id"], 3600).keyed(sizes, 7, 0, None)
+    parts = {(h._l, h._r) for h in _hot_cells(l, r, ["space_id", "_cell"], 10).collect()}
+    assert any(a == 6 and b == 8 for a, b in parts)
+
+
 def test_touching_sessions(spark):
     s = sessions(spark, [("a", 1, "09:00", "10:00"), ("b", 1, "10:00", "11:00")])
     assert overlap_join(s, s, "space_id", extra=F.col("l.mac_address") != F.col("r.mac_address")).count() == 0
