@@ -1,16 +1,16 @@
-"""Chunk ledger of the occupancy store: staleness, coverage, refresh."""
+"""Chunk ledger of the occupancy store: staleness, coverage, bins of days."""
 
 from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from roamlens.functions.times import align_down, day, slot_start, slot_before, ts
 from roamlens.operators.bins import occupancy_bins
 from roamlens.operators.ordered import running_max
-from roamlens.operators.tree import closure, descendants, rollup_tree
-from roamlens.session import durable, sized_broadcast
+from roamlens.operators.tree import ancestors, closure, descendants
+from roamlens.session import sized_broadcast
 
 DAY_S = 86400
 LEDGER_SCHEMA = (
@@ -86,7 +86,7 @@ def align_gaps(gaps: DataFrame, width_s: int = DAY_S) -> DataFrame:
     )
 
 
-def _days_of(gaps: DataFrame) -> DataFrame:
+def days_of(gaps: DataFrame) -> DataFrame:
     last = F.to_date(slot_start(slot_before("gap_end", DAY_S), DAY_S))
     return gaps.select(
         F.explode(F.sequence(F.to_date("gap_start"), last)).alias("day")
@@ -123,77 +123,11 @@ def bins_of_days(s: DataFrame, days: DataFrame, interval_s: int) -> DataFrame:
     return occupancy_bins(cut, interval_s)
 
 
-def write_bins(bins: DataFrame, path: str, interval_s: int, files_per_day: int = 1) -> None:
-    """Replace exactly the (interval, day) partitions present in ``bins``.
-
-    A day holds at most spaces * bins rows, however many sessions there were.
-    """
-    part = F.pmod(F.xxhash64("space_id"), F.lit(files_per_day))
-    (
-        bins.withColumns({"interval_seconds": F.lit(interval_s), "day": F.to_date("interval_begin_time")})
-        .repartition(F.col("day"), part)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("interval_seconds", "day").parquet(path)
-    )
-
-
-def read_bins(spark: SparkSession, path: str) -> DataFrame:
-    """The stored bins, without the rows that mark a day as empty."""
-    return spark.read.parquet(path).where("space_id IS NOT NULL")
-
-
 def drop_stale(ledger: DataFrame, stale: DataFrame) -> DataFrame:
     """The ledger without the chunks of ``stale``."""
     return ledger.join(stale, ["space_id", "interval_seconds", "chunk_start", "chunk_end"], "left_anti")
 
 
-def _stored_of(spark: SparkSession, path: str, interval_s: int, days: DataFrame) -> DataFrame | None:
-    """The stored bins of the given days; None where nothing is stored yet."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    stored = spark.read.parquet(path).where(F.col("interval_seconds") == interval_s)
-    return stored.join(sized_broadcast(days.select("day")), "day", "left_semi")
-
-
-def refresh_occupancy(
-    s: DataFrame, tree: DataFrame, spaces: DataFrame, ledger: DataFrame, path: str, interval_s: int,
-    start, end, completed_at, force: bool = False,
-) -> DataFrame:
-    """Fill the gaps of [start, end) in the store and return the new ledger rows.
-
-    Gaps are widened to whole days; the bins of those days are recomputed for
-    ``spaces`` and rolled up in one job. Stored rows of all other spaces stay as
-    they are, so subtrees can be refreshed one after the other; a day left
-    without bins is stored as empty. Late sessions need their chunks taken out
-    of the ledger first (``stale_chunks``, ``drop_stale``).
-    """
-    spark = s.sparkSession
-    spaces = durable(spaces)
-    gaps = durable(align_gaps(coverage_gaps(ledger, spaces, interval_s, start, end, force)))
-    days = _days_of(gaps)
-    own = spaces.select("space_id").distinct()
-    bins = rollup_tree(bins_of_days(s, days, interval_s), tree, sources=spaces.where("space_type = 'source'"))
-    bins = bins.join(own, "space_id", "left_semi")
-    stored = _stored_of(spark, path, interval_s, days)
-    if stored is not None:
-        columns = ["space_id", "interval_begin_time", "number_connections"]
-        others = stored.where("space_id IS NOT NULL").join(own, "space_id", "left_anti").select(*columns)
-        bins = durable(bins.select(*columns).unionByName(others))  # the files read are replaced
-        filled = bins.select(F.to_date("interval_begin_time").alias("day")).distinct()
-        emptied = stored.select("day").distinct().join(filled, "day", "left_anti").select(
-            F.lit(None).cast("int").alias("space_id"), F.col("day").cast("timestamp_ntz").alias("interval_begin_time"),
-            F.lit(0).cast("long").alias("number_connections"),
-        )
-        bins = bins.unionByName(durable(emptied))
-    write_bins(bins, path, interval_s)
-    return gaps.join(spaces, "space_id").select(
-        "space_id", F.lit(interval_s).alias("interval_seconds"),
-        F.col("gap_start").alias("chunk_start"), F.col("gap_end").alias("chunk_end"),
-        "space_type", F.lit("COMPLETED").alias("status"), ts(completed_at).alias("completed_at"),
-    )
-
-
 def occupancy_series(bins: DataFrame, space_id: int, start=None, end=None) -> DataFrame:
     """Ordered series of one space, one row per bin."""
     df = bins.where(F.col("space_id") == F.lit(space_id))
@@ -210,7 +144,5 @@ def occupancy_series(bins: DataFrame, space_id: int, start=None, end=None) -> Da
 
 def covering_datasets(datasets: DataFrame, tree: DataFrame, space_id: int) -> DataFrame:
     """Datasets whose root is the space or one of its ancestors."""
-    from roamlens.operators.tree import ancestors
-
     up = ancestors(tree, space_id).select(F.col("space_id").alias("root_space_id"))
     return datasets.join(up, "root_space_id", "left_semi")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roamlens.operators import bins as B, chunks as K, tree as R
+from roamlens.operators import bin_store as S, bins as B, chunks as K, tree as R
 from roamlens import session
 from roamlens.session import durable
 from roamlens.sources import driver_tables as T
@@ -15,8 +15,10 @@ from roamlens.streaming.occupancy_stream import read_session_stream, start_occup
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-# A window around all test sessions, both ends off the bin edges.
+# The clipping queries cut the sessions at both ends, off the bin edges.
 START, END = "2024-01-01 00:20:00", "2024-02-03 21:50:00"
+# All other windows are those of the sessions at hand.
+FIRST, LAST = "(SELECT min(start_time) FROM sessions)", "(SELECT max(end_time) FROM sessions)"
 HOUR = 3600
 
 
@@ -35,7 +37,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{session.shared_folder(spark)}/roamlens-{uuid.uuid4().hex}"
 
 
-def bins_sql(seconds: int, start: str | None = None, end: str | None = None) -> str:
+def window(spark, sf):
+    found = R.time_bounds(T.sessions(spark, sf), T.space(spark, sf), 1).first()
+    return found["min_time"], found["max_time"]
+
+
+# Sessions of some devices are seen on the floor, not in a room: sources with sources below them.
+INNER = """, inner_s AS (SELECT mac_address, sensor_id, CASE WHEN CAST(mac_address AS INTEGER) % 11 = 0 THEN 10 + space_id % 5 ELSE space_id END AS space_id,
+  start_time, end_time FROM sessions)"""
+
+
+def inner_sessions(spark, sf) -> DataFrame:
+    floor = F.col("mac_address").cast("int") % 11 == 0
+    return T.sessions(spark, sf).withColumn("space_id", F.when(floor, 10 + F.col("space_id") % 5).otherwise(F.col("space_id")))
+
+
+def bins_sql(seconds: int, start: str | None = None, end: str | None = None, sessions: str = "sessions") -> str:
     """Bins by a join of a generated series with the sessions."""
     lo = f"TIMESTAMP '{start}'" if start else "(SELECT min(start_time) FROM sessions)"
     hi = f"TIMESTAMP '{end}'" if end else "(SELECT max(greatest(start_time, end_time)) + INTERVAL 2 DAY FROM sessions)"
@@ -43,7 +60,7 @@ def bins_sql(seconds: int, start: str | None = None, end: str | None = None) ->
     clip = f"AND x.start_time < {hi} AND x.end_time > {lo}" if start else ""
     return f"""SELECT x.space_id, b.t AS interval_begin_time, count(DISTINCT x.mac_address) AS number_connections
 FROM (SELECT unnest(generate_series(time_bucket({bucket}, {lo}, TIMESTAMP '1970-01-01'), time_bucket({bucket}, {hi}, TIMESTAMP '1970-01-01') - {bucket}, {bucket})) AS t) b
-JOIN sessions x ON x.start_time < b.t + {bucket} AND x.end_time > b.t {clip} GROUP BY x.space_id, b.t"""
+JOIN {sessions} x ON x.start_time < b.t + {bucket} AND x.end_time > b.t {clip} GROUP BY x.space_id, b.t"""
 
 
 CLOSURE = """up AS (SELECT space_id AS descendant, space_id AS ancestor, 0 AS depth FROM space UNION ALL
@@ -101,19 +118,20 @@ def _(spark, sf):
     return R.children(tree, 1).select(*cols, F.lit("child").alias("kind")).unionByName(R.roots(tree).select(*cols, F.lit("root").alias("kind")))
 
 
-CLASSIFY = f""", {CLOSURE}, busy AS (SELECT DISTINCT space_id FROM sessions WHERE start_time < TIMESTAMP '{END}' AND end_time > TIMESTAMP '{START}'),
+CLASSIFY = f""", {CLOSURE}, busy AS (SELECT DISTINCT space_id FROM sessions WHERE start_time < {LAST} AND end_time > {FIRST}),
 spaces AS (SELECT space_id, 'source' AS space_type FROM busy UNION ALL
   SELECT DISTINCT ancestor, 'derived' FROM up JOIN busy ON up.descendant = busy.space_id WHERE depth > 0 AND ancestor NOT IN (SELECT space_id FROM busy))"""
 
 
 @query("k02_classify_spaces", CLASSIFY + " SELECT * FROM spaces")
 def _(spark, sf):
-    return R.classify_spaces(T.space(spark, sf), T.sessions(spark, sf), 1, START, END)
+    return R.classify_spaces(T.space(spark, sf), T.sessions(spark, sf), 1, *window(spark, sf))
 
 
 @query("k03_rollup_tree", rollup_sql(bins_sql(HOUR)))
 def _(spark, sf):
-    return R.rollup_tree(B.occupancy_bins(T.sessions(spark, sf), HOUR), T.space(spark, sf))
+    s = T.sessions(spark, sf)
+    return R.rollup_tree(B.occupancy_bins(s, HOUR), T.space(spark, sf), s)
 
 
 @query("k04_distinct_rollup", f""", {CLOSURE} SELECT up.ancestor AS space_id, b AS interval_begin_time, count(DISTINCT mac_address) AS number_connections FROM
@@ -148,65 +166,136 @@ ledger AS (SELECT space_id, 3600 AS interval_seconds, CAST(d AS TIMESTAMP) AS ch
   CASE WHEN day(d) % 5 = 0 THEN 'PENDING' ELSE 'COMPLETED' END AS status, CAST(d AS TIMESTAMP) + to_days(CAST(space_id % 3 * 20 + 1 AS INTEGER)) AS completed_at FROM every)"""
 
 
-@query("k05_stale_chunks", LEDGER + f""", {CLOSURE}, latest AS (SELECT space_id, max(end_time) AS m FROM sessions WHERE start_time < TIMESTAMP '{END}' AND end_time > TIMESTAMP '{START}' GROUP BY space_id),
-src AS (SELECT l.* FROM ledger l JOIN latest USING (space_id) WHERE status = 'COMPLETED' AND chunk_start < m AND chunk_end > TIMESTAMP '{START}' AND completed_at < m)
-SELECT * FROM src UNION SELECT * FROM ledger WHERE status = 'COMPLETED' AND chunk_start < TIMESTAMP '{END}' AND chunk_end > TIMESTAMP '{START}'
+@query("k05_stale_chunks", LEDGER + f""", {CLOSURE}, latest AS (SELECT space_id, max(end_time) AS m FROM sessions WHERE start_time < {LAST} AND end_time > {FIRST} GROUP BY space_id),
+src AS (SELECT l.* FROM ledger l JOIN latest USING (space_id) WHERE status = 'COMPLETED' AND chunk_start < m AND chunk_end > {FIRST} AND completed_at < m)
+SELECT * FROM src UNION SELECT * FROM ledger WHERE status = 'COMPLETED' AND chunk_start < {LAST} AND chunk_end > {FIRST}
   AND space_id IN (SELECT ancestor FROM up WHERE depth > 0 AND descendant IN (SELECT space_id FROM src))""")
 def _(spark, sf):
-    return K.stale_chunks(ledger(spark, sf), T.sessions(spark, sf), T.space(spark, sf), 1, HOUR, START, END)
+    return K.stale_chunks(ledger(spark, sf), T.sessions(spark, sf), T.space(spark, sf), 1, HOUR, *window(spark, sf))
 
 
-GAPS = f""", done AS (SELECT space_id, chunk_start AS cs, chunk_end AS ce FROM ledger WHERE status = 'COMPLETED' AND chunk_start < TIMESTAMP '{END}' AND chunk_end > TIMESTAMP '{START}'
-  UNION ALL SELECT space_id, TIMESTAMP '{END}', TIMESTAMP '{END}' FROM spaces),
-gaps AS (SELECT space_id, greatest(TIMESTAMP '{START}', coalesce(max(ce) OVER (PARTITION BY space_id ORDER BY cs ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TIMESTAMP '{START}')) AS gap_start,
+GAPS = f""", done AS (SELECT space_id, chunk_start AS cs, chunk_end AS ce FROM ledger WHERE status = 'COMPLETED' AND chunk_start < {LAST} AND chunk_end > {FIRST}
+  UNION ALL SELECT space_id, {LAST}, {LAST} FROM spaces),
+gaps AS (SELECT space_id, greatest({FIRST}, coalesce(max(ce) OVER (PARTITION BY space_id ORDER BY cs ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {FIRST})) AS gap_start,
   cs AS gap_end FROM done WHERE space_id IN (SELECT space_id FROM spaces))"""
 
 
 def _spaces(spark, sf) -> DataFrame:
-    return R.classify_spaces(T.space(spark, sf), T.sessions(spark, sf), 1, START, END)
+    return R.classify_spaces(T.space(spark, sf), T.sessions(spark, sf), 1, *window(spark, sf))
 
 
 @query("k06_coverage_gaps", CLASSIFY + LEDGER + GAPS + " SELECT * FROM gaps WHERE gap_end > gap_start")
 def _(spark, sf):
-    return K.coverage_gaps(ledger(spark, sf), _spaces(spark, sf), HOUR, START, END)
+    return K.coverage_gaps(ledger(spark, sf), _spaces(spark, sf), HOUR, *window(spark, sf))
 
 
-@query("k06_coverage_gaps_forced", CLASSIFY + f" SELECT space_id, TIMESTAMP '{START}' AS gap_start, TIMESTAMP '{END}' AS gap_end FROM spaces")
+@query("k06_coverage_gaps_forced", CLASSIFY + f" SELECT space_id, {FIRST} AS gap_start, {LAST} AS gap_end FROM spaces")
 def _(spark, sf):
-    return K.coverage_gaps(ledger(spark, sf), _spaces(spark, sf), HOUR, START, END, force=True)
+    return K.coverage_gaps(ledger(spark, sf), _spaces(spark, sf), HOUR, *window(spark, sf), force=True)
 
 
 @query("w05_running_maximum_gaps", CLASSIFY + LEDGER + GAPS + """ SELECT space_id, count(*) AS gaps,
-  CAST(sum(date_diff('second', gap_start, gap_end)) AS BIGINT) AS seconds FROM gaps WHERE gap_end > gap_start GROUP BY space_id""")
+  CAST(sum(date_diff('microsecond', gap_start, gap_end)) AS DOUBLE) / 1e6 AS seconds FROM gaps WHERE gap_end > gap_start GROUP BY space_id""")
+def _(spark, sf):
+    g = K.coverage_gaps(ledger(spark, sf), _spaces(spark, sf), HOUR, *window(spark, sf))
+    return g.groupBy("space_id").agg(F.count("*").alias("gaps"), (F.sum(F.timestamp_diff("MICROSECOND", F.col("gap_start"), F.col("gap_end"))) / 1e6).alias("seconds"))
+
+
+@query("k03_rollup_inner_sources", INNER + rollup_sql(bins_sql(HOUR, sessions="inner_s")))
 def _(spark, sf):
-    g = K.coverage_gaps(ledger(spark, sf), _spaces(spark, sf), HOUR, START, END)
-    return g.groupBy("space_id").agg(F.count("*").alias("gaps"), F.sum(F.timestamp_diff("SECOND", F.col("gap_start"), F.col("gap_end"))).alias("seconds"))
+    s = inner_sessions(spark, sf)
+    return R.rollup_tree(B.occupancy_bins(s, HOUR), T.space(spark, sf), s)
+
+
+# Preorder by the path of ids from above; ranges by the number of nodes below.
+@query("k01_preorder_ranges", f""", {CLOSURE}, paths AS (SELECT descendant AS space_id, list(ancestor ORDER BY depth DESC) AS path, max(depth) AS depth FROM up GROUP BY descendant)
+SELECT p.space_id, p.depth, row_number() OVER (ORDER BY path) - 1 AS "first", row_number() OVER (ORDER BY path) - 2 + n AS "last"
+FROM paths p JOIN (SELECT ancestor AS space_id, count(*) AS n FROM up GROUP BY ancestor) USING (space_id)""")
+def _(spark, sf):
+    return R.preorder(T.space(spark, sf))
 
 
 def _stored(spark, path: str) -> DataFrame:
-    return K.read_bins(spark, path).select("space_id", "interval_begin_time", "number_connections")
+    return S.read_bins(spark, path).select("space_id", "interval_begin_time", "number_connections")
+
+
+@query("k07_delta_rollup", INNER + rollup_sql(bins_sql(HOUR, sessions="inner_s")))
+def _(spark, sf):
+    """What an hour of a first morning gave, plus the changes that all later sessions and sources make."""
+    s, tree = inner_sessions(spark, sf), T.space(spark, sf)
+    first = s.where(F.col("start_time") < F.lit("2024-01-01 08:00:00").cast("timestamp_ntz"))
+    old, new = durable(B.occupancy_bins(first, HOUR)), B.occupancy_bins(s, HOUR)
+    flows = R.source_flows(tree, old), R.source_flows(tree, s)
+    delta = R.delta_rollup(R.bin_changes(old, new), flows[1], R.flow_changes(*flows), old)
+    both = R.rollup_tree(old, tree, old).unionByName(delta.withColumnRenamed("change", "number_connections"))
+    return both.groupBy(*R.BIN).agg(F.sum("number_connections").alias("number_connections")).where("number_connections <> 0")
+
+
+def refreshed(spark, s: DataFrame, tree: DataFrame, *steps) -> DataFrame:
+    """A new store after some refreshes: (sessions or None for all, root, start, end, completed_at, force)."""
+    path = shared_folder(spark) + "/bins"
+    for some, root, start, end, completed_at, force in steps:
+        S.refresh_occupancy(s if some is None else some, tree, root, path, HOUR, start, end, completed_at, force)
+    return _stored(spark, path)
 
 
 @query("k07_refresh_occupancy", rollup_sql(bins_sql(HOUR)))
 def _(spark, sf):
     """Two halves of the range, refreshed one after the other, give the whole."""
-    s, tree, path = T.sessions(spark, sf), T.space(spark, sf), shared_folder(spark) + "/bins"
-    known = spark.createDataFrame([], K.LEDGER_SCHEMA)
-    spaces = R.classify_spaces(tree, s, 1, "2024-01-01", "2024-03-01")
-    first = durable(K.refresh_occupancy(s, tree, spaces, known, path, HOUR, "2024-01-01 00:00:00", "2024-01-17 13:00:00", "2024-03-01 00:00:00"))
-    K.refresh_occupancy(s, tree, spaces, known.unionByName(first), path, HOUR, "2024-01-01 00:00:00", "2024-02-06 00:00:00", "2024-03-01 00:00:00")
-    return _stored(spark, path)
+    (lo, hi), done = window(spark, sf), "2030-01-01 00:00:00"
+    return refreshed(spark, T.sessions(spark, sf), T.space(spark, sf), (None, 1, lo, lo + (hi - lo) / 2, done, False), (None, 1, lo, hi, done, False))
+
+
+BELOW = """, below AS (SELECT * FROM inner_s WHERE space_id IN (SELECT space_id FROM space WHERE space_id IN (10, 12) OR parent_space_id IN (10, 12)))"""
+
+
+@query("k07_refresh_two_roots", INNER + BELOW + rollup_sql(bins_sql(HOUR, sessions="below")))
+def _(spark, sf):
+    """Two floors refreshed by themselves: the campus above them gets the sums of both."""
+    (lo, hi), done = window(spark, sf), "2030-01-01 00:00:00"
+    s = inner_sessions(spark, sf)
+    return refreshed(spark, s, T.space(spark, sf), *[(None, root, lo, hi, done, False) for root in (10, 12)])
+
+
+@query("k07_refresh_late_sessions", INNER + rollup_sql(bins_sql(HOUR, sessions="inner_s")))
+def _(spark, sf):
+    """Sessions that end after the first refresh make its chunks stale; the second one counts them."""
+    lo, hi = window(spark, sf)
+    s, middle = inner_sessions(spark, sf), lo + (hi - lo) / 2
+    early = s.where(F.col("end_time") <= F.lit(middle))
+    return refreshed(spark, s, T.space(spark, sf), (early, 1, lo, hi, middle, False), (None, 1, lo, hi, "2030-01-01 00:00:00", False))
+
+
+GONE = "start_time < TIMESTAMP '2024-01-11 00:00:00' AND end_time > TIMESTAMP '2024-01-10 00:00:00'"
+
+
+@query("k07_refresh_removed_day", INNER + f", remaining AS (SELECT * FROM inner_s WHERE NOT ({GONE}))" + rollup_sql(bins_sql(HOUR, sessions="remaining")))
+def _(spark, sf):
+    """Sessions of one day are withdrawn; a forced refresh takes them out of all sums."""
+    (lo, hi), done = window(spark, sf), "2030-01-01 00:00:00"
+    s = inner_sessions(spark, sf)
+    remaining = s.where(f"NOT ({GONE.replace('TIMESTAMP ', 'TIMESTAMP_NTZ ')})")
+    return refreshed(spark, s, T.space(spark, sf), (None, 1, lo, hi, done, False), (remaining, 1, lo, hi, done, True))
 
 
 @query("k07_occupancy_stream", rollup_sql(bins_sql(HOUR)))
 def _(spark, sf):
+    return streamed(spark, T.sessions(spark, sf), T.space(spark, sf))
+
+
+@query("k07_occupancy_stream_inner", INNER + rollup_sql(bins_sql(HOUR, sessions="inner_s")))
+def _(spark, sf):
+    return streamed(spark, inner_sessions(spark, sf), T.space(spark, sf))
+
+
+def streamed(spark, s: DataFrame, tree: DataFrame) -> DataFrame:
     """Sessions arriving file by file, some of them a batch late."""
-    s, base = T.sessions(spark, sf), shared_folder(spark)
+    base = shared_folder(spark)
     late = F.pmod(F.xxhash64("mac_address", "start_time"), F.lit(10)) == 0
     (s.withColumn("arrival", F.weekofyear("start_time") + F.when(late, 1).otherwise(0))
      .repartition("arrival").drop("arrival").write.parquet(f"{base}/in"))
     start_occupancy_stream(
-        read_session_stream(spark, f"{base}/in", 2), T.space(spark, sf), f"{base}/sessions", f"{base}/bins", HOUR, f"{base}/checkpoint"
+        read_session_stream(spark, f"{base}/in", 2), tree, f"{base}/sessions", f"{base}/bins", HOUR, f"{base}/checkpoint"
     ).awaitTermination()
     return _stored(spark, f"{base}/bins")
 

@@ -1,9 +1,10 @@
 """Occupancy kept current from a stream of finished sessions.
 
-Exact distinct counts cannot live in a stateful aggregate, so each micro-batch
-is stored and the days it touches are recomputed from the store. Late sessions
-are not dropped: they simply touch an older day. A batch that is run again
-replaces what its first run wrote.
+Each micro-batch is stored and the days it touches are recomputed from the store;
+what changed runs along the flows of all sources seen so far, so the result does
+not depend on how sessions are cut into batches. Late sessions are not dropped:
+they simply touch an older day. A batch that is run again replaces what its first
+run wrote and changes no bin.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from roamlens.operators.chunks import bins_of_days, write_bins
-from roamlens.operators.tree import rollup_tree
+from roamlens.operators.bin_store import BinStore, update_days
+from roamlens.operators.chunks import bins_of_days
 from roamlens.sources.tables import SESSION_SCHEMA
 
 
@@ -48,14 +49,17 @@ def refresh_batch(tree: DataFrame, store: str, out: str, interval_s: int) -> Cal
         _store_batch(batch, batch_id, store)
         mine = spark.read.parquet(store).where(F.col("ingest_batch") == batch_id)
         days = touched_days(mine)
-        span = days.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
-        if span.lo is None:
+        found = sorted(r.day for r in days.collect())
+        if not found:
             return
         # prunes the store: partitions by start day, row groups by end time
         s = spark.read.parquet(store).where(
-            (F.col("day") <= F.lit(span.hi)) & (F.col("end_time") >= F.lit(span.lo).cast("timestamp_ntz"))
+            (F.col("day") <= F.lit(found[-1])) & (F.col("end_time") >= F.lit(found[0]).cast("timestamp_ntz"))
         )
-        write_bins(rollup_tree(bins_of_days(s, days, interval_s), tree), out, interval_s)
+        state = BinStore(spark, out).snapshot()
+        own = bins_of_days(s, days, interval_s)
+        written, registry = update_days(state, own, None, mine.where("end_time >= start_time"), tree, interval_s, found)
+        state.store.commit(state, written, sources=registry)
 
     return run
 

@@ -66,7 +66,7 @@ def test_rollup_masks_below_a_source(spark):
     tree = spark.createDataFrame(
         [(1, None), (2, 1), (3, 1), (4, 2), (5, 2), (6, 3)], "space_id INT, parent_space_id INT")
     s = sessions(spark, [("a", 4, "01:00", "01:10"), ("a", 5, "01:20", "01:30"), ("b", 2, "01:00", "01:10"), ("c", 6, "01:00", "01:10")])
-    got = bins_of(R.rollup_tree(occupancy_bins(s, 3600), tree))
+    got = bins_of(R.rollup_tree(occupancy_bins(s, 3600), tree, s))
     assert got == {(4, "01:00"): 1, (5, "01:00"): 1, (2, "01:00"): 1, (6, "01:00"): 1, (3, "01:00"): 1, (1, "01:00"): 2}
     distinct = bins_of(R.distinct_rollup(s, tree, 3600))
     assert distinct[(2, "01:00")] == 2 and distinct[(1, "01:00")] == 3
