@@ -38,9 +38,13 @@ SOURCES_SCHEMA = "space_id INT, interval_seconds INT"
 class Snapshot:
     """What one manifest names. ``parts`` is {"interval/day": id of the files}."""
 
-    def __init__(self, store: BinStore, version: int, parts: dict[str, str], ledger: str | None, sources: str | None):
+    def __init__(
+        self, store: BinStore, version: int, parts: dict[str, str], ledger: str | None, sources: str | None,
+        batches: dict[str, int] | None = None,
+    ):
         self.store, self.version, self.parts = store, version, parts
         self._ledger, self._sources = ledger, sources
+        self.batches = batches or {}  # the last batch of each stream that writes here
 
     def _table(self, kind: str, name: str | None, schema: str) -> DataFrame:
         spark = self.store.spark
@@ -103,7 +107,7 @@ class BinStore:
                     m = json.loads(text)
                 except ValueError:  # its writer has not come to the end
                     continue
-                return Snapshot(self, v, m["parts"], m["ledger"], m["sources"])
+                return Snapshot(self, v, m["parts"], m["ledger"], m["sources"], m["batches"])
         if version is not None:
             raise ValueError(f"no snapshot {version}")
         return Snapshot(self, 0, {}, None, None)
@@ -127,10 +131,14 @@ class BinStore:
             written[f"{interval_s}/{d.isoformat()}"] = name if fs.exists(folder) else None
         return written
 
-    def commit(self, base: Snapshot, written: dict[str, str | None], ledger: str | None = None, sources: str | None = None) -> Snapshot:
+    def commit(
+        self, base: Snapshot, written: dict[str, str | None], ledger: str | None = None, sources: str | None = None,
+        batch: tuple[str, int] | None = None,
+    ) -> Snapshot:
         """Make what was written the newest snapshot; an error if another has come in since ``base``."""
         parts = {k: v for k, v in (base.parts | written).items() if v is not None}
-        manifest = {"parts": parts, "ledger": ledger or base._ledger, "sources": sources or base._sources}
+        batches = base.batches | dict([batch] if batch else [])
+        manifest = {"parts": parts, "ledger": ledger or base._ledger, "sources": sources or base._sources, "batches": batches}
         version = max([0, *self._versions()]) + 1
         if self.snapshot().version != base.version:
             raise RuntimeError("the store has changed since it was read: refresh again")
@@ -141,7 +149,7 @@ class BinStore:
             raise RuntimeError("another refresh was faster: refresh again") from e
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        return Snapshot(self, version, parts, manifest["ledger"], manifest["sources"])
+        return Snapshot(self, version, parts, manifest["ledger"], manifest["sources"], batches)
 
     def vacuum(self, keep: int = 1) -> int:
         """Delete the files that none of the newest ``keep`` snapshots names; returns how many folders."""
@@ -178,26 +186,38 @@ def update_days(
 
     ``own`` are the recomputed bins of source spaces on ``days``, for ``spaces``
     (None: all); ``busy`` the spaces with sessions. The stored bins of these days
-    are compared, the differences run along the flows of the registered sources
-    into every space above, also above the refreshed subtree. New sources change
-    flows: bins of the spaces concerned move on all their stored days. Files of
-    other days are neither read nor written.
+    are compared with them; see ``apply_changes``.
     """
-    store = state.store
-    old = state.bins(interval_s, days).where("own_connections > 0").select(*BIN, F.col("own_connections").alias("number_connections"))
+    old = _own(state, interval_s, days)
     if spaces is not None:
         inside = spaces.select("space_id").distinct()
         old, own = old.join(inside, "space_id", "left_semi"), own.join(inside, "space_id", "left_semi")
-    changes = durable(bin_changes(old, own))
+    return apply_changes(state, durable(bin_changes(old, own)), busy, tree, interval_s)
+
+
+def _own(state: Snapshot, interval_s: int, days: Iterable[date] | None = None) -> DataFrame:
+    return state.bins(interval_s, days).where("own_connections > 0").select(*BIN, F.col("own_connections").alias("number_connections"))
+
+
+def apply_changes(
+    state: Snapshot, changes: DataFrame, busy: DataFrame, tree: DataFrame, interval_s: int,
+) -> tuple[dict[str, str | None], str | None]:
+    """Carry changes of source bins (space_id, interval_begin_time, change) through the store.
+
+    They run along the flows of the registered sources into every space above, also
+    above the refreshed subtree. New sources change flows: bins of the spaces
+    concerned move on all their stored days. Files of other days are neither read
+    nor written.
+    """
+    store = state.store
     known = durable(state.sources(interval_s))
     fresh = durable(busy.select("space_id").where("space_id IS NOT NULL").distinct().join(known, "space_id", "left_anti"))
     grown = known.unionByName(fresh)
     flows = durable(source_flows(tree, grown))
-    moved = stored = None
-    registry = None
+    moved = stored = registry = None
     if not fresh.isEmpty():
         moved = durable(flow_changes(source_flows(tree, known), flows))
-        stored = state.bins(interval_s).where("own_connections > 0").select(*BIN, F.col("own_connections").alias("number_connections"))
+        stored = _own(state, interval_s)
         others = state._table("sources", state._sources, SOURCES_SCHEMA).where(F.col("interval_seconds") != interval_s)
         registry = store.write_table(grown.withColumn("interval_seconds", F.lit(interval_s)).unionByName(others).coalesce(1), "sources")
     delta = durable(delta_rollup(changes, flows, moved, stored))

@@ -10,6 +10,7 @@ from roamlens.operators import bin_store as S, bins as B, chunks as K, tree as R
 from roamlens import session
 from roamlens.session import durable
 from roamlens.sources import driver_tables as T
+from roamlens.streaming.occupancy_state import start_stateful_occupancy
 from roamlens.streaming.occupancy_stream import read_session_stream, start_occupancy_stream
 
 QUERIES: dict = {}
@@ -288,12 +289,27 @@ def _(spark, sf):
     return streamed(spark, inner_sessions(spark, sf), T.space(spark, sf))
 
 
-def streamed(spark, s: DataFrame, tree: DataFrame) -> DataFrame:
-    """Sessions arriving file by file, some of them a batch late."""
+@query("k07_occupancy_stateful", INNER + rollup_sql(bins_sql(HOUR, sessions="inner_s")))
+def _(spark, sf):
+    """Distinct devices kept as state of the stream."""
+    base = arriving(spark, inner_sessions(spark, sf))
+    start_stateful_occupancy(
+        read_session_stream(spark, f"{base}/in", 3), T.space(spark, sf), f"{base}/bins", HOUR, f"{base}/checkpoint", parts=2
+    ).awaitTermination()
+    return _stored(spark, f"{base}/bins")
+
+
+def arriving(spark, s: DataFrame) -> str:
+    """A folder with sessions file by file, some of them a batch late."""
     base = shared_folder(spark)
     late = F.pmod(F.xxhash64("mac_address", "start_time"), F.lit(10)) == 0
     (s.withColumn("arrival", F.weekofyear("start_time") + F.when(late, 1).otherwise(0))
      .repartition("arrival").drop("arrival").write.parquet(f"{base}/in"))
+    return base
+
+
+def streamed(spark, s: DataFrame, tree: DataFrame) -> DataFrame:
+    base = arriving(spark, s)
     start_occupancy_stream(
         read_session_stream(spark, f"{base}/in", 2), tree, f"{base}/sessions", f"{base}/bins", HOUR, f"{base}/checkpoint"
     ).awaitTermination()
