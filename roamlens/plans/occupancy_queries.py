@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roamlens.operators import bin_store as S, bins as B, chunks as K, tree as R
+from roamlens.operators import bin_store as S, bins as B, bitmaps as M, chunks as K, tree as R
 from roamlens import session
 from roamlens.session import durable
 from roamlens.sources import driver_tables as T
@@ -135,14 +135,28 @@ def _(spark, sf):
     return R.rollup_tree(B.occupancy_bins(s, HOUR), T.space(spark, sf), s)
 
 
-@query("k04_distinct_rollup", f""", {CLOSURE} SELECT up.ancestor AS space_id, b AS interval_begin_time, count(DISTINCT mac_address) AS number_connections FROM
+DISTINCT_ROLLUP = f""", {CLOSURE} SELECT up.ancestor AS space_id, b AS interval_begin_time, count(DISTINCT mac_address) AS number_connections FROM
   (SELECT space_id, mac_address, unnest(generate_series(time_bucket(INTERVAL 3600 SECOND, start_time, TIMESTAMP '1970-01-01'),
      time_bucket(INTERVAL 3600 SECOND, end_time - INTERVAL 1 MICROSECOND, TIMESTAMP '1970-01-01'), INTERVAL 3600 SECOND)) AS b FROM sessions) x
-  JOIN up ON up.descendant = x.space_id GROUP BY ALL""")
+  JOIN up ON up.descendant = x.space_id GROUP BY ALL"""
+
+
+@query("k04_distinct_rollup", DISTINCT_ROLLUP)
 def _(spark, sf):
     return R.distinct_rollup(T.sessions(spark, sf), T.space(spark, sf), HOUR)
 
 
+@query("k04_distinct_bitmaps", DISTINCT_ROLLUP)
+def _(spark, sf):
+    return M.distinct_rollup_bitmaps(T.sessions(spark, sf), T.space(spark, sf), HOUR)
+
+
+@query("a02_distinct_by_bitmaps", "SELECT sensor_id, CAST(start_time AS DATE) AS day, count(DISTINCT mac_address) AS n FROM sessions GROUP BY ALL")
+def _(spark, sf):
+    s = T.sessions(spark, sf)
+    return M.distinct_by(s.withColumn("day", F.to_date("start_time")), ["sensor_id", "day"], M.dense_numbers(s))
+
+
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of whole days as an earlier run may have left them: most days of
     each room done, some pending, some missing, and the same for the floors."""
