@@ -4,7 +4,9 @@ P(vote of LF j | class) is a table over {abstain, class 0..k-1}; LFs are
 independent given the class and classes are equally likely beforehand. Each
 iteration is one Spark job over the pattern table that returns the expected
 counts, m * k * (k + 1) numbers, so the cost of fitting does not depend on the
-number of entities and only model parameters visit the driver.
+number of entities and only model parameters visit the driver. ``fit_converged``
+speeds the iteration up by squared extrapolation (SQUAREM) until a step of EM
+moves nothing any more.
 """
 
 from __future__ import annotations
@@ -45,8 +47,9 @@ def _initial(m: int, k: int) -> list[list[list[float]]]:
     return [[[hit if v == c else rest for v in range(-1, k)] for c in range(k)] for _ in range(m)]
 
 
-def posterior(votes: str, log_p: list[list[list[float]]], k: int) -> Column:
-    """P(class | votes) as ARRAY<DOUBLE>; a row expression, no join.
+def posterior(votes: str, log_p: list[list[list[float]]], k: int, with_evidence: bool = False) -> Column:
+    """P(class | votes) as ARRAY<DOUBLE>; a row expression, no join. ``with_evidence``
+    adds the log of the sum over classes as a last element.
 
     The parameters go in as one array literal, so the plan stays small and the
     same in every iteration.
@@ -59,39 +62,114 @@ def posterior(votes: str, log_p: list[list[list[float]]], k: int) -> Column:
     )
     # one-element arrays bind the scores and their exponentials once each
     shares = "transform(array(transform(s, x -> exp(x - array_max(s)))), e -> transform(e, x -> x / aggregate(e, 0D, (t, y) -> t + y)))[0]"
+    if with_evidence:
+        shares = f"concat({shares}, array(array_max(s) + ln(aggregate(s, 0D, (t, x) -> t + exp(x - array_max(s))))))"
     return F.expr(f"transform(array({scores}), s -> {shares})[0]")
 
 
-def fit_label_model(pats: DataFrame, m: int, k: int, epochs: int = 100, tolerance: float = 0.0) -> LabelModel:
-    """EM for ``epochs`` iterations (``tolerance`` > 0 may stop earlier).
+Tables = list[list[list[float]]]
+# Patterns that one task handles in an iteration.
+TASK_PATTERNS = 5_000
+
 
-    The M step adds one to every (LF, class, vote) count.
+def _em_step(pats: DataFrame, log_p: Tables, k: int) -> tuple[Tables, float]:
+    """One E and M step: (new tables, objective of the old ones).
+
+    The M step adds one to every (LF, class, vote) count; the objective is the log
+    likelihood plus the log of the prior that this stands for, which EM never lowers.
     """
-    pats = pats.select("votes", "n").persist()
-    log_p = _initial(m, k)
-    done = 0
+    m = len(log_p)
+    scored = pats.select("n", "votes", posterior("votes", log_p, k, with_evidence=True).alias("p"))
+    # the evidence of a pattern rides on its first LF
+    expected = (
+        scored.select("n", "p", F.posexplode("votes").alias("j", "v")).groupBy("j", "v").agg(
+            *[F.sum(F.col("p")[c] * F.col("n")).alias(f"w{c}") for c in range(k)],
+            F.sum(F.when(F.col("j") == 0, F.col("p")[k] * F.col("n")).otherwise(0.0)).alias("evidence"),
+        )
+    )
+    counts = [[[1.0] * (k + 1) for _ in range(k)] for _ in range(m)]
+    objective = sum(x for table in log_p for row in table for x in row)
+    for row in expected.collect():  # at most m * (k + 1) rows
+        objective += row.evidence
+        for c in range(k):
+            counts[row.j][c][row.v + 1] += row[f"w{c}"]
+    return [[[math.log(x / sum(r)) for x in r] for r in table] for table in counts], objective
+
+
+def _moved(a: Tables, b: Tables) -> float:
+    return max(abs(x - y) for s, t in zip(a, b) for q, r in zip(s, t) for x, y in zip(q, r))
+
+
+def _stored(pats: DataFrame) -> DataFrame:
+    stored = pats.select("votes", "n").persist()
+    return stored.coalesce(max(1, -(-stored.count() // TASK_PATTERNS)))
+
+
+def fit_label_model(pats: DataFrame, m: int, k: int, epochs: int = 100, tolerance: float = 0.0) -> LabelModel:
+    """Plain EM for ``epochs`` iterations (``tolerance`` > 0 may stop earlier)."""
+    stored, log_p, done = _stored(pats), _initial(m, k), 0
     try:
         for done in range(1, epochs + 1):
-            expected = (
-                pats.select("n", "votes", posterior("votes", log_p, k).alias("p"))
-                .select("n", "p", F.posexplode("votes").alias("j", "v"))
-                .groupBy("j", "v")
-                .agg(*[F.sum(F.col("p")[c] * F.col("n")).alias(f"w{c}") for c in range(k)])
-            )
-            counts = [[[1.0] * (k + 1) for _ in range(k)] for _ in range(m)]
-            for row in expected.collect():  # at most m * (k + 1) rows
-                for c in range(k):
-                    counts[row.j][c][row.v + 1] += row[f"w{c}"]
-            new = [[[math.log(x / sum(r)) for x in r] for r in table] for table in counts]
-            moved = max(abs(a - b) for x, y in zip(new, log_p) for r, q in zip(x, y) for a, b in zip(r, q))
-            log_p = new
+            new, _ = _em_step(stored, log_p, k)
+            moved, log_p = _moved(new, log_p), new
             if moved < tolerance:
                 break
     finally:
-        pats.unpersist()
+        stored.unpersist()
     return LabelModel(log_p, k, done)
 
 
+def _extrapolated(a: Tables, b: Tables, c: Tables) -> Tables:
+    """From three points of the iteration to where their differences shrink to nothing."""
+    flat = lambda t: [x for table in t for row in table for x in row]
+    r = [y - x for x, y in zip(flat(a), flat(b))]
+    v = [z - y - d for y, z, d in zip(flat(b), flat(c), r)]
+    length = math.sqrt(sum(x * x for x in r)) / max(math.sqrt(sum(x * x for x in v)), 1e-300)
+    alpha = max(length, 1.0)  # at least two plain steps
+    far = iter([x + 2 * alpha * d + alpha * alpha * w for x, d, w in zip(flat(a), r, v)])
+    out = []
+    for table in a:
+        rows = []
+        for row in table:
+            new = [max(next(far), -60.0) for _ in row]
+            top = max(new)
+            total = top + math.log(sum(math.exp(x - top) for x in new))
+            rows.append([x - total for x in new])
+        out.append(rows)
+    return out
+
+
+def fit_converged(
+    pats: DataFrame, m: int, k: int, rounds: int = 100, tolerance: float = 1e-9, start: LabelModel | None = None
+) -> LabelModel:
+    """EM to its fixed point, at most ``rounds`` rounds of three EM steps.
+
+    A round takes two steps, extrapolates from them and takes a third from there;
+    if that lowers the objective, the round ends with the plain steps. ``start`` is
+    an earlier model, e.g. from before new patterns came in. ``iterations`` counts
+    EM steps, each one job.
+    """
+    if start is not None and (start.m != m or start.k != k):
+        raise ValueError("the earlier model has other LFs or classes")
+    stored, steps = _stored(pats), 0
+    log_p = _initial(m, k) if start is None else start.log_p
+    try:
+        for _ in range(rounds):
+            one, _ = _em_step(stored, log_p, k)
+            two, _ = _em_step(stored, one, k)
+            steps += 2
+            if _moved(one, two) < tolerance:
+                return LabelModel(two, k, steps)
+            far = _extrapolated(log_p, one, two)
+            three, reached = _em_step(stored, far, k)
+            plain, kept = _em_step(stored, two, k)
+            steps += 2
+            log_p = three if reached >= kept else plain
+    finally:
+        stored.unpersist()
+    return LabelModel(log_p, k, steps)
+
+
 def predict_proba(votes: DataFrame, model: LabelModel) -> DataFrame:
     """(key, probs)."""
     return votes.withColumn("probs", posterior("votes", model.log_p, model.k)).drop("votes")

@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from roamlens.operators.label_model import LabelModel, argmax, fit_label_model, predict_proba
+from roamlens.operators.label_model import LabelModel, argmax, fit_converged, predict_proba
 from roamlens.operators.scope import KEY
 from roamlens.operators.vote_stats import patterns
 from roamlens.operators.votes import LF, class_ids, label_matrix
@@ -18,7 +18,7 @@ from roamlens.session import durable
 
 def derive_entities(
     entities: DataFrame, preds: DataFrame | None = None, label_filter: dict | str | None = None,
-    classes: list[int] = (), mode: str = "softmax", key: str = KEY,
+    classes: list[int] = (), mode: str = "softmax", key: str = KEY, exclude: list[int] = (),
 ) -> DataFrame:
     """Entities of a parent set that pass a label filter.
 
@@ -26,7 +26,12 @@ def derive_entities(
     dict or JSON text. softmax: probability >= x (no x: every prediction that
     has the class); argmax: the class is the first maximum. Several classes
     are united. No filter passes everyone; unknown classes are skipped.
+    ``exclude`` then takes out entities whose first maximum is one of these
+    classes: a set of all but one class needs no list of the others.
     """
+    if exclude and preds is not None:
+        out = [list(classes).index(int(c)) for c in exclude if int(c) in classes]
+        entities = entities.join(preds.where(argmax("probs").isin(out)).select(key), key, "left_anti")
     if isinstance(label_filter, str):
         label_filter = json.loads(label_filter)
     if preds is None or not label_filter or "labels" not in label_filter:
@@ -79,7 +84,7 @@ def run_level(entities: DataFrame, level: Level, key: str = KEY) -> LevelResult:
     lfs = [lf for _, group in sources for lf in group]
     classes = class_ids(lfs)
     votes = durable(label_matrix(entities, sources, key))
-    model = fit_label_model(patterns(votes), len(lfs), len(classes), level.epochs)
+    model = fit_converged(patterns(votes), len(lfs), len(classes), level.epochs)
     preds = predict_proba(votes, model)
     result = LevelResult(entities, votes, model, preds, classes, lfs)
     everyone = votes.select(key)  # stored, so the next level does not replan this one

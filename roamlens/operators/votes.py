@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -63,6 +64,45 @@ def lf_python(name: str, fn: Callable[[dict], int], fields: list[str], allowed:
     return LF(name, votes(F.struct(*fields)), allowed)
 
 
+def lf_batch(name: str, fn: Callable[[pd.DataFrame], object], fields: list[str], allowed: tuple[int, ...]) -> LF:
+    """A Python function of whole Arrow batches: a DataFrame of the fields in, one
+    label a row out.
+
+    Missing labels and labels outside ``allowed`` abstain. A batch for which the
+    function raises, or whose labels don't fit its rows, is halved until the rows
+    that cause it stand alone and abstain: b bad rows of n cost about b log n calls.
+    The function must give a row the same label whatever rows it comes with.
+    """
+    ok = np.array(sorted(allowed))
+
+    def cast(rows: pd.DataFrame) -> np.ndarray:
+        out = np.full(len(rows), ABSTAIN, np.int32)
+        waiting = [(0, len(rows))]
+        while waiting:
+            first, last = waiting.pop()
+            if first == last:
+                continue
+            try:
+                labels = pd.to_numeric(pd.Series(np.asarray(fn(rows.iloc[first:last].reset_index(drop=True)))), errors="raise")
+                if len(labels) != last - first:
+                    raise ValueError(f"{len(labels)} labels for {last - first} rows")
+            except Exception:
+                if last - first > 1:
+                    middle = (first + last) // 2
+                    waiting += [(first, middle), (middle, last)]
+                continue
+            values = labels.to_numpy(dtype=float, na_value=np.nan)
+            fits = np.isin(values, ok)
+            out[first:last][fits] = values[fits].astype(np.int32)
+        return out
+
+    @F.pandas_udf("int")
+    def votes(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series(cast(rows))
+
+    return LF(name, votes(F.struct(*fields)), allowed)
+
+
 def class_ids(lfs: list[LF]) -> list[int]:
     """Sorted union of the LFs' class ids; position = class index."""
     return sorted({c for lf in lfs for c in lf.allowed})

@@ -4,6 +4,7 @@ expressions, joins, aggregates, windows, sets."""
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -15,6 +16,7 @@ from roamlens.operators.grains import compute, session_columns
 from roamlens.operators.label_model import argmax
 from roamlens.operators.ordered import top_one
 from roamlens.operators.overlap import overlap_join, overlap_left_join
+from roamlens.operators.paging import Pages
 from roamlens.operators.profile import profile_columns, top_values
 from roamlens.operators.scope import bind_query, entity_index, find_spaces, preview, scope_to
 from roamlens.operators.subsets import derive_entities
@@ -22,6 +24,7 @@ from roamlens.operators.timeline import as_series, fill_timeline, sequences, tim
 from roamlens.operators.training import merge_features
 from roamlens.operators.tree import closure
 from roamlens.operators.votes import label_matrix, lf_python
+from roamlens.session import shared_folder
 from roamlens.sources import driver_tables as T
 from roamlens.sources.tables import read_sessions
 
@@ -79,6 +82,22 @@ def _(spark, sf):
     return preview(T.sessions(spark, sf), ["start_time", "mac_address"], 100, 50)
 
 
+@query("s08_seek_page", "SELECT mac_address, space_id, start_time FROM sessions ORDER BY start_time, mac_address LIMIT 120 OFFSET 650")
+def _(spark, sf):
+    s = T.sessions(spark, sf).select("mac_address", "space_id", "start_time")
+    pages = Pages.write(s, ["start_time", "mac_address"], f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}", parts=16)
+    return pages.page(120, 650)
+
+
+@query("s08_seek_after", """SELECT mac_address, space_id, start_time FROM sessions WHERE start_time > (SELECT start_time + (max_time - start_time) / 2 FROM
+  (SELECT min(start_time) AS start_time, max(start_time) AS max_time FROM sessions)) ORDER BY start_time, mac_address LIMIT 50""")
+def _(spark, sf):
+    s = T.sessions(spark, sf).select("mac_address", "space_id", "start_time")
+    lo, hi = s.agg(F.min("start_time"), F.max("start_time")).first()
+    pages = Pages.write(s, ["start_time", "mac_address"], f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}", parts=16)
+    return pages.after([lo + (hi - lo) / 2, "~"], 50)
+
+
 @query("s09_find_spaces", """SELECT space_id, space_name, parent_space_id, building_room FROM space WHERE space_name ILIKE '%nation_1%'
 ORDER BY space_name, space_id LIMIT 100""")
 def _(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from roamlens.operators import label_model as LM, vote_stats as V
 from roamlens.operators.scope import entity_index
 from roamlens.operators.subsets import derive_entities, run_hierarchy
-from roamlens.operators.votes import LF, class_ids, label_matrix, lf_python, lf_regex, lf_template
+from roamlens.operators.votes import LF, class_ids, label_matrix, lf_batch, lf_python, lf_regex, lf_template
 from roamlens.plans import lf_catalog as C
 from roamlens.plans.oracle_metrics import METRIC_SQL
 from roamlens.session import durable
@@ -15,7 +15,8 @@ from roamlens.sources import driver_tables as T
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-EPOCHS = 4
+# Plain EM steps of the SQL; by then a step moves no parameter by 1e-9.
+STEPS = 1000
 
 
 def query(name: str, sql: str | None = None):
@@ -94,25 +95,34 @@ def long_sql(votes: str, m: int, name: str) -> str:
     return f"{name} AS ({' UNION ALL '.join(parts)})"
 
 
-def em_sql(prefix: str, votes: str, m: int, k: int, epochs: int) -> str:
-    """CTEs of the unrolled EM; ``<prefix>prob`` is (mac_address, c, p)."""
+def em_sql(prefix: str, votes: str, m: int, k: int, steps: int = STEPS) -> str:
+    """CTEs of plain EM, step by step until nothing moves; ``<prefix>prob`` is (mac_address, c, p)."""
     vs = ", ".join(f"v{j}" for j in range(m))
+
+    def shares(tables: str, keep: str = "") -> str:
+        scores = f"SELECT {keep}pid, n, c, sum(lp) AS sc FROM {prefix}pl JOIN {tables} USING (j, v) GROUP BY {keep}pid, n, c"
+        shifted = f"SELECT *, exp(sc - max(sc) OVER (PARTITION BY pid)) AS e FROM ({scores})"
+        return f"SELECT *, e / sum(e) OVER (PARTITION BY pid) AS p FROM ({shifted})"
+
+    live = f"(SELECT * FROM {prefix}em WHERE it < {steps} AND moved > 1e-11) live"
     out = [
-        f"{prefix}pat AS (SELECT {vs}, count(*) AS n, row_number() OVER () AS pid FROM {votes} GROUP BY {vs})",
-        f"{prefix}pl AS ({' UNION ALL '.join(f'SELECT pid, n, {j} AS j, v{j} AS v FROM {prefix}pat' for j in range(m))})",
-        f"{prefix}grid AS (SELECT j, c, v FROM (SELECT unnest(range({m})) AS j), (SELECT unnest(range({k})) AS c), (SELECT unnest(range(-1, {k})) AS v))",
-        f"{prefix}th0 AS (SELECT j, c, v, ln(CASE WHEN v = c THEN CAST(0.7 AS DOUBLE) ELSE (CAST(1 AS DOUBLE) - CAST(0.7 AS DOUBLE)) / {k} END) AS lp FROM {prefix}grid)",
+        f"{prefix}pat AS MATERIALIZED (SELECT {vs}, count(*) AS n, row_number() OVER () AS pid FROM {votes} GROUP BY {vs})",
+        f"{prefix}pl AS MATERIALIZED ({' UNION ALL '.join(f'SELECT pid, n, {j} AS j, v{j} AS v FROM {prefix}pat' for j in range(m))})",
+        f"{prefix}grid AS MATERIALIZED (SELECT j, c, v FROM (SELECT unnest(range({m})) AS j), (SELECT unnest(range({k})) AS c), (SELECT unnest(range(-1, {k})) AS v))",
+        f"""{prefix}em AS (SELECT 0 AS it, CAST(1 AS DOUBLE) AS moved, j, c, v, ln(CASE WHEN v = c THEN CAST(0.7 AS DOUBLE) ELSE (CAST(1 AS DOUBLE) - CAST(0.7 AS DOUBLE)) / {k} END) AS lp FROM {prefix}grid
+          UNION ALL
+          SELECT it + 1, max(abs(lp - was)) OVER () AS moved, j, c, v, lp FROM (
+            SELECT it, j, c, v, ln(w / sum(w) OVER (PARTITION BY j, c)) AS lp, was FROM (
+              SELECT it, j, c, v, 1 + sum(w) AS w, max(was) AS was FROM (
+                SELECT po.it, pl.j, po.c, g AS v, CASE WHEN pl.v = g THEN po.n * po.p ELSE 0 END AS w, list_extract(old, pl.j * {k * (k + 1)} + po.c * {k + 1} + g + 2) AS was
+                FROM (SELECT * FROM ({shares(f'(SELECT *, list(lp ORDER BY j, c, v) OVER () AS old FROM {live})', 'it, old, ')})) po
+                JOIN {prefix}pl pl USING (pid), (SELECT unnest(range(-1, {k})) AS g)
+              ) GROUP BY it, j, c, v)))""",
+        f"{prefix}th AS MATERIALIZED (SELECT it, j, c, v, lp FROM {prefix}em WHERE it = (SELECT max(it) FROM {prefix}em))",
+        f"{prefix}po AS MATERIALIZED ({shares(prefix + 'th')})",
     ]
-    for i in range(epochs + 1):
-        out.append(f"{prefix}sc{i} AS (SELECT pid, c, sum(lp) AS sc FROM {prefix}pl JOIN {prefix}th{i} USING (j, v) GROUP BY pid, c)")
-        out.append(f"{prefix}ex{i} AS (SELECT pid, c, exp(sc - max(sc) OVER (PARTITION BY pid)) AS e FROM {prefix}sc{i})")
-        out.append(f"{prefix}po{i} AS (SELECT pid, c, e / sum(e) OVER (PARTITION BY pid) AS p FROM {prefix}ex{i})")
-        if i < epochs:
-            out.append(f"""{prefix}th{i + 1} AS (SELECT j, c, v, ln(w / sum(w) OVER (PARTITION BY j, c)) AS lp FROM
-              (SELECT j, c, v, 1 + sum(w) AS w FROM (SELECT j, c, v, n * p AS w FROM {prefix}pl JOIN {prefix}po{i} USING (pid)
-                 UNION ALL SELECT j, c, v, CAST(0 AS DOUBLE) FROM {prefix}grid) GROUP BY j, c, v))""")
     on = " AND ".join(f"a.v{j} = b.v{j}" for j in range(m))
-    out.append(f"{prefix}prob AS (SELECT a.mac_address, po.c, po.p FROM {votes} a JOIN {prefix}pat b ON {on} JOIN {prefix}po{epochs} po ON po.pid = b.pid)")
+    out.append(f"{prefix}prob AS (SELECT a.mac_address, po.c, po.p FROM {votes} a JOIN {prefix}pat b ON {on} JOIN {prefix}po po ON po.pid = b.pid)")
     return ", ".join(out)
 
 
@@ -130,7 +140,7 @@ def spread(votes: DataFrame, m: int) -> DataFrame:
 def fitted(spark: SparkSession, sf: str, level: int) -> tuple[DataFrame, LM.LabelModel, list[LF]]:
     votes, lfs, k = level_votes(spark, sf, level)
     votes = durable(votes)
-    return votes, LM.fit_label_model(V.patterns(votes), len(lfs), k, EPOCHS), lfs
+    return votes, LM.fit_converged(V.patterns(votes), len(lfs), k), lfs
 
 
 def _level_query(level: int):
@@ -179,6 +189,20 @@ def _(spark, sf):
     return spread(label_matrix(metric, [(metric, [lf_python("busy", rule, ["total_conn", "unique_ap"], (1, 2))])]), 1)
 
 
+@query("l04_batch_votes", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 45 THEN -1 WHEN l_extendedprice / l_quantity > 1500 THEN 1 WHEN l_quantity < 10 THEN 0 ELSE -1 END AS v0 FROM lineitem")
+def _(spark, sf):
+    """A function of whole batches that refuses some rows: those abstain, the rest of their batch votes."""
+
+    def rule(rows):
+        if (rows.l_quantity > 45).any():
+            raise ValueError("too many pieces")
+        price = rows.l_extendedprice / rows.l_quantity
+        return (price > 1500).astype(int).where((price > 1500) | (rows.l_quantity < 10), 99)  # 99: not an allowed class
+
+    lf = lf_batch("unit_price", rule, ["l_quantity", "l_extendedprice"], (0, 1))
+    return T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", lf.vote.alias("v0"))
+
+
 @query("l05_label_matrix", ", " + votes_sql(LEVEL_SQL[1], "votes") + ", " + long_sql("votes", 9, "lng") + " SELECT j AS lf_index, v AS vote, count(*) AS n FROM lng GROUP BY ALL")
 def _(spark, sf):
     votes, _, _ = level_votes(spark, sf, 1)
@@ -227,10 +251,10 @@ def _(spark, sf):
     return V.overall_stats(V.patterns(votes), [lf.name for lf in lfs], k)
 
 
-EM1 = ", " + votes_sql(LEVEL_SQL[1], "votes") + ", " + em_sql("d", "votes", 9, 3, EPOCHS)
+EM1 = ", " + votes_sql(LEVEL_SQL[1], "votes") + ", " + em_sql("d", "votes", 9, 3)
 
 
-@query("l09_label_model", EM1 + f" SELECT j AS lf_index, c AS class_index, v AS vote, round(lp, 6) AS log_p FROM dth{EPOCHS}")
+@query("l09_label_model", EM1 + f" SELECT j AS lf_index, c AS class_index, v AS vote, round(lp, 6) AS log_p FROM dth")
 def _(spark, sf):
     _, model, _ = fitted(spark, sf, 1)
     rows = [(j, c, v - 1, x) for j, table in enumerate(model.log_p) for c, row in enumerate(table) for v, x in enumerate(row)]
@@ -239,7 +263,7 @@ def _(spark, sf):
 
 
 @query("l09_learned_weights", EM1 + f""" SELECT j AS lf_index, round(sum(CASE WHEN v = c THEN exp(lp) ELSE 0 END) / sum(CASE WHEN v <> -1 THEN exp(lp) ELSE 0 END), 4) AS learned_weight
-FROM dth{EPOCHS} GROUP BY j""")
+FROM dth GROUP BY j""")
 def _(spark, sf):
     _, model, _ = fitted(spark, sf, 1)
     return spark.createDataFrame(list(enumerate(model.weights())), "lf_index INT, w DOUBLE").select("lf_index", F.round("w", 4).alias("learned_weight"))
@@ -288,6 +312,13 @@ def _(spark, sf):
     return derive_entities(votes.select("mac_address"), LM.predict_proba(votes, model), {"labels": {str(C.STATIC): {}}}, class_ids(lfs), mode="argmax")
 
 
+@query("l12_derive_exclude", EM1 + " SELECT mac_address FROM (SELECT mac_address, arg_max(c, p) AS c FROM dprob GROUP BY mac_address) WHERE c <> 0")
+def _(spark, sf):
+    """The people's devices: everything but the static ones."""
+    votes, model, lfs = fitted(spark, sf, 1)
+    return derive_entities(votes.select("mac_address"), LM.predict_proba(votes, model), None, class_ids(lfs), exclude=[C.STATIC])
+
+
 def _hierarchy_sql() -> str:
     """Four levels; each fits on the entities the level above passed on."""
     out, ents = [], "(SELECT DISTINCT mac_address FROM sessions)"
@@ -296,7 +327,7 @@ def _hierarchy_sql() -> str:
         out += [
             votes_sql(rows, f"all{level}"),
             f"votes{level} AS (SELECT * FROM all{level} WHERE mac_address IN (SELECT mac_address FROM {ents} e))",
-            em_sql(f"h{level}_", f"votes{level}", m, k, EPOCHS),
+            em_sql(f"h{level}_", f"votes{level}", m, k),
         ]
         pick = {1: None, 2: 1, 3: 0, 4: None}[level]
         if pick is not None:
@@ -306,13 +337,13 @@ def _hierarchy_sql() -> str:
         f"SELECT '{name}' AS subset, mac_address FROM h{level}_prob WHERE c = {c} AND p >= 0.5"
         for level, names in CLASSES.items() for c, name in enumerate(n.lower() for n in names)
     )
-    return ", " + ", ".join(out) + f" SELECT subset, count(*) AS entities, min(mac_address) AS first_entity, max(mac_address) AS last_entity FROM ({rows}) GROUP BY subset"
+    return ", " + ", ".join(out) + f" SELECT subset, mac_address FROM ({rows})"
 
 
 @query("l13_hierarchy", _hierarchy_sql())
 def _(spark, sf):
     s = T.sessions(spark, sf)
-    levels = C.hierarchy(s, T.dims(spark, sf), C.FIXTURE, EPOCHS)
+    levels = C.hierarchy(s, T.dims(spark, sf), C.FIXTURE)
     results = run_hierarchy(entity_index(s), levels)
     out = None
     for r in results.values():
@@ -321,7 +352,7 @@ def _(spark, sf):
                 continue
             part = df.select(F.lit(name).alias("subset"), "mac_address")
             out = part if out is None else out.unionByName(part)
-    return out.groupBy("subset").agg(F.count("*").alias("entities"), F.min("mac_address").alias("first_entity"), F.max("mac_address").alias("last_entity"))
+    return out
 
 
 @query("l14_lf_accuracy", EM1 + HARD + ", " + long_sql("votes", 9, "lng") + """ SELECT j AS lf_index, count(*) AS n_votes, count(*) FILTER (v = label) AS n_right,
@@ -329,3 +360,19 @@ round(CAST(count(*) FILTER (v = label) AS DOUBLE) / count(*), 4) AS accuracy FRO
 def _(spark, sf):
     votes, model, lfs = fitted(spark, sf, 1)
     return V.lf_agreement(votes, LM.predict(votes, model), [lf.name for lf in lfs]).drop("name")
+
+
+TEMPLATES = [("n_chars", ">", 2000, 0), ("n_chars", "<", 300, 1), ("lang", "==", "en", 0), ("lang", "==", "de", 1)]
+
+
+@query("l14_lf_accuracy_gold", """, votes AS (SELECT doc_id, CASE WHEN n_chars > 2000 THEN 0 ELSE -1 END AS v0, CASE WHEN n_chars < 300 THEN 1 ELSE -1 END AS v1,
+  CASE WHEN lang = 'en' THEN 0 ELSE -1 END AS v2, CASE WHEN lang = 'de' THEN 1 ELSE -1 END AS v3 FROM documents), lng AS (""" + " UNION ALL ".join(
+    f"SELECT doc_id, {j} AS j, v{j} AS v FROM votes" for j in range(4)) + """) SELECT j AS lf_index, count(*) AS n_votes, count(*) FILTER (v = quality) AS n_right,
+  round(CAST(count(*) FILTER (v = quality) AS DOUBLE) / count(*), 4) AS accuracy FROM lng JOIN labels USING (doc_id) WHERE v <> -1 GROUP BY j""")
+def _(spark, sf):
+    """Labeling functions of documents against the checked labels."""
+    docs = T.table(spark, sf, "documents")
+    lfs = [lf_template(f"{field} {op} {value}", field, op, value, label) for field, op, value, label in TEMPLATES]
+    votes = label_matrix(docs.select("doc_id"), [(docs, lfs)], "doc_id")
+    gold = T.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    return V.lf_agreement(votes, gold, [lf.name for lf in lfs], "doc_id").drop("name")
