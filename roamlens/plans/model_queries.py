@@ -11,6 +11,7 @@ from roamlens.operators import (
 )
 from roamlens.operators.bins import occupancy_bins
 from roamlens.operators.grains import compute
+from roamlens.operators.least_squares import least_squares
 from roamlens.plans.occupancy_queries import bins_sql, shared_folder
 from roamlens.plans.oracle_metrics import METRIC_SQL
 from roamlens.session import durable
@@ -313,21 +314,37 @@ def _(spark, sf):
     return d.select("event_id", *[F.round(F.col("fourier")[i] + 0.0, 6).alias(n) for i, n in enumerate(names)])
 
 
-SEASONS = [("weekly", 7, 3, None), ("daily", 1, 4, None), ("active_pattern", 1, 3, "is_active_hour")]
-
-
-def forecast(spark, sf) -> DataFrame:
+def seasonal(spark, sf):
+    """(design of the scaled series with is_train, coefficients, scaling): all nine terms and the holidays."""
     filled = L.time_split(L.fill_timeline(series(spark, sf, HOUR), HOUR), HOUR)
     stats = L.scaling(filled.where("is_train"))
-    design = A.seasonal_design(L.apply_scaling(filled, stats), SEASONS)
-    coefs = H.fit_seasonal(design.where("is_train"), HOUR)
+    design = durable(A.seasonal_design(L.apply_scaling(filled, stats)))
+    return design, durable(H.fit_seasonal(design.where("is_train"))), stats
+
+
+@query("h09_seasonal_forecast")
+def _(spark, sf):
+    design, coefs, stats = seasonal(spark, sf)
     pred = H.predict_seasonal(design.where("NOT is_train"), coefs).select("space_id", "ds", "y", "yhat")
     return L.undo_scaling(L.undo_scaling(pred, stats), stats, column="yhat")
 
 
-@query("h09_seasonal_forecast")
+SPLIT90 = """, f AS (SELECT space_id, ds, last_value(y IGNORE NULLS) OVER (PARTITION BY space_id ORDER BY ds ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS y FROM q),
+n AS (SELECT space_id, count(*) AS n FROM f WHERE y IS NOT NULL GROUP BY space_id)"""
+
+
+# Intercept, trend, holidays, and a sine and a cosine for each order of a term.
+WIDTH = 2 + len({n for n, _, _ in A.HOLIDAYS}) + 2 * sum(order for _, _, order, _ in A.ALWAYS + A.SEASONALITIES)
+
+
+@query("h09_seasonal_gradients", _grid_sql(HOUR) + SPLIT90 + f""" SELECT space_id, CAST(floor(n * (1.0::DOUBLE - 0.1::DOUBLE)) AS BIGINT) AS train_size, i AS "column", CAST(0 AS DOUBLE) AS gradient
+FROM n, (SELECT CAST(unnest(range({WIDTH})) AS INTEGER) AS i) WHERE floor(n * (1.0::DOUBLE - 0.1::DOUBLE)) > 0""")
 def _(spark, sf):
-    return forecast(spark, sf)
+    """At the fit the error's derivative by every coefficient is zero, relative to its terms."""
+    design, coefs, _ = seasonal(spark, sf)
+    g = H.gradients(design.where("is_train"), coefs)
+    relative = F.round(F.col("gradient") / (F.col("size") + F.lit(1.0)), 6) + F.lit(0.0)
+    return g.join(coefs.select("space_id", "n"), "space_id").select("space_id", F.col("n").alias("train_size"), "column", F.abs(relative).alias("gradient"))
 
 
 @query("h10_scaling", _grid_sql(HOUR) + """, z AS (SELECT space_id, ds, coalesce(y, 0) AS y FROM q), st AS (SELECT space_id, min(y) AS lo, max(y) - min(y) AS w, avg(y) AS m, stddev_pop(y) AS sd FROM z GROUP BY space_id)
@@ -364,28 +381,52 @@ def _(spark, sf):
     return H.predict_autoregressive(w.where(F.col("ds") > F.lit(str(cut)).cast("timestamp_ntz")), model).select("space_id", "ds", "target", "yhat")
 
 
-@query("h13_forecast_errors", f"""WITH b AS (SELECT space_id, interval_begin_time AS ds, CAST(number_connections AS DOUBLE) AS y, CAST(lag(number_connections) OVER (PARTITION BY space_id ORDER BY interval_begin_time) AS DOUBLE) AS yhat
-  FROM ({bins_sql(HOUR)})) SELECT space_id, round(sqrt(avg((yhat - y) * (yhat - y))), 6) AS rmse, round(avg(abs(yhat - y)), 6) AS mae, count(*) AS test_size FROM b WHERE yhat IS NOT NULL GROUP BY space_id""")
-def _(spark, sf):
-    """Errors of forecasting each bin by the last non-empty one of its space."""
-    from pyspark.sql import Window
+# A linear recursion of one lag, fitted on the first nine tenths of each space.
+ONE_LAG = _grid_sql(HOUR) + """, z AS (SELECT space_id, ds, coalesce(y, 0) AS y FROM q), p AS (SELECT * FROM (SELECT space_id, ds, y, lag(y) OVER (PARTITION BY space_id ORDER BY ds) AS x FROM z) WHERE x IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY space_id ORDER BY ds) <= floor(count(*) OVER (PARTITION BY space_id) * (1.0::DOUBLE - 0.1::DOUBLE)) AS is_train FROM p),
+c AS (SELECT space_id, regr_slope(y, x) AS slope, regr_intercept(y, x) AS icept FROM r WHERE is_train GROUP BY space_id)"""
+
+
+def one_lag(spark, sf):
+    rows = durable(L.time_split(windows(spark, sf, 1), HOUR))
+    train, test = H.lagged(rows.where("is_train")), H.lagged(rows.where("NOT is_train"))
+    return train, test, durable(least_squares(train, "space_id"))
 
-    b = series(spark, sf, HOUR).withColumn("yhat", F.lag("y").over(Window.partitionBy("space_id").orderBy("ds"))).where("yhat IS NOT NULL")
-    e = H.errors(b, keys=("space_id",))
+
+@query("h13_forecast_errors", ONE_LAG + """ SELECT space_id, round(sqrt(avg((e) * (e))), 6) AS rmse, round(avg(abs(e)), 6) AS mae, count(*) AS test_size
+FROM (SELECT space_id, greatest(icept + slope * x, 0) - y AS e FROM r JOIN c USING (space_id) WHERE NOT is_train) GROUP BY space_id""")
+def _(spark, sf):
+    """Errors of one-step forecasts on the last tenth, by a recursion fitted on the rest."""
+    _, test, coefs = one_lag(spark, sf)
+    e = H.errors(H.predict_seasonal(test, coefs), keys=("space_id",))
     return e.select("space_id", F.round("rmse", 6).alias("rmse"), F.round("mae", 6).alias("mae"), "test_size")
 
 
+@query("h15_forecast_rollout", ONE_LAG + """, newest AS (SELECT space_id, ds, y FROM r JOIN c USING (space_id) WHERE is_train QUALIFY row_number() OVER (PARTITION BY space_id ORDER BY ds DESC) = 1),
+w AS (SELECT newest.space_id, 0 AS step, ds, y AS v, slope, icept FROM newest JOIN c USING (space_id) UNION ALL
+  SELECT space_id, step + 1, ds + INTERVAL 3600 SECOND, greatest(icept + slope * v, 0), slope, icept FROM w WHERE step < 48) SELECT space_id, ds, CAST(step AS INTEGER) AS step, round(v, 6) AS yhat FROM w WHERE step > 0""")
+def _(spark, sf):
+    """Two days ahead of the training part, each prediction fed back into the next."""
+    train, _, coefs = one_lag(spark, sf)
+    return H.rollout(train.select("space_id", "ds", "y"), coefs, 48, HOUR).withColumn("yhat", F.round("yhat", 6))
+
+
 @query("h14_binary_occupied", f"SELECT space_id, interval_begin_time AS ds, CAST(number_connections > 2 AS INTEGER) AS occupied FROM ({bins_sql(HOUR)})")
 def _(spark, sf):
     return series(spark, sf, HOUR).select("space_id", "ds", L.binary_occupied("y").alias("occupied"))
 
 
 @query("h15_history_or_forecast", _grid_sql(HOUR) + """, z AS (SELECT space_id, ds, coalesce(y, 0) AS y FROM q),
-known AS (SELECT * FROM z WHERE ds BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'), span AS (SELECT space_id, min(ds) AS lo, max(ds) AS hi FROM known GROUP BY space_id)
-SELECT space_id, ds, y, 'history' AS source FROM known WHERE ds BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-28' UNION ALL
-SELECT z.space_id, ds, y + 0.5, 'forecast' FROM z JOIN span s ON z.space_id = s.space_id WHERE ds BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-28' AND (ds > hi OR ds < lo)""")
-def _(spark, sf):
-    z = L.fill_timeline(series(spark, sf, HOUR), HOUR, "zero")
+known AS (SELECT * FROM z WHERE ds BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'), span AS (SELECT space_id, min(ds) AS lo, max(ds) AS hi FROM known GROUP BY space_id),
+usual AS (SELECT space_id, hour(ds) AS h, avg(y) AS y FROM known GROUP BY ALL)
+SELECT space_id, ds, round(y, 6) AS y, 'history' AS source FROM known WHERE ds BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-28' UNION ALL
+SELECT z.space_id, ds, round(u.y, 6), 'forecast' FROM z JOIN span s ON z.space_id = s.space_id JOIN usual u ON u.space_id = z.space_id AND u.h = hour(ds)
+WHERE ds BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-28' AND (ds > hi OR ds < lo)""")
+def _(spark, sf):
+    """History where it is known, around it a forecast by the usual count of the hour."""
+    z = L.fill_timeline(series(spark, sf, HOUR), HOUR, "zero").withColumn("h", F.hour("ds"))
     known = z.where("ds BETWEEN TIMESTAMP_NTZ '2024-01-05 00:00:00' AND TIMESTAMP_NTZ '2024-01-25 00:00:00'")
-    guess = z.select("space_id", "ds", (F.col("y") + 0.5).alias("yhat"))
-    return L.history_or_forecast(known, guess, "2024-01-03 00:00:00", "2024-01-28 00:00:00")
+    usual = known.groupBy("space_id", "h").agg(F.avg("y").alias("yhat"))
+    guess = z.join(usual, ["space_id", "h"]).select("space_id", "ds", "yhat")
+    both = L.history_or_forecast(known.drop("h"), guess, "2024-01-03 00:00:00", "2024-01-28 00:00:00")
+    return both.withColumn("y", F.round("y", 6))
