@@ -10,6 +10,8 @@ from __future__ import annotations
 import logging
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import (
@@ -25,6 +27,7 @@ from roamlens.operators.scope import KEY
 from roamlens.session import durable
 
 log = logging.getLogger(__name__)
+SCORES = "model STRING, accuracy DOUBLE, balanced_accuracy DOUBLE, f1 DOUBLE, failure STRING"
 
 
 def assemble(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -161,16 +164,16 @@ def bank(k: int, max_depth: int = 5, n_estimators: int = 100, seed: int = 42, ke
     return {
         "LogisticRegression": ml(lambda reg: LogisticRegression(maxIter=1000, regParam=reg), True),
         "RidgeClassifier": linear(fit_ridge),
-        "SGDClassifier (LinearSVC, few steps)": ml(OneVsRest(classifier=LinearSVC(maxIter=10, regParam=1e-4))),
+        "SGDClassifier (LinearSVC, few steps)": ml(OneVsRest(classifier=LinearSVC(maxIter=10, regParam=1e-4), parallelism=k)),
         "DecisionTree": ml(DecisionTreeClassifier(maxDepth=depth, seed=seed)),
         "RandomForest": ml(RandomForestClassifier(numTrees=n_estimators, maxDepth=depth, seed=seed)),
         "ExtraTrees (RandomForest, no bootstrap)": ml(
             RandomForestClassifier(numTrees=n_estimators, maxDepth=depth, seed=seed, bootstrap=False, maxBins=8, featureSubsetStrategy="sqrt")
         ),
-        "GradientBoosting": ml(OneVsRest(classifier=GBTClassifier(maxIter=n_estimators, maxDepth=max_depth or 3, seed=seed))),
+        "GradientBoosting": ml(OneVsRest(classifier=GBTClassifier(maxIter=n_estimators, maxDepth=max_depth or 3, seed=seed), parallelism=k)),
         "AdaBoost": ada,
         "KNeighbors": knn,
-        "LinearSVC": ml(lambda reg: OneVsRest(classifier=LinearSVC(maxIter=2000, regParam=reg)), True),
+        "LinearSVC": ml(lambda reg: OneVsRest(classifier=LinearSVC(maxIter=2000, regParam=reg), parallelism=k), True),
         "GaussianNB": ml(NaiveBayes(modelType="gaussian")),
         "LDA": linear(fit_lda),
     }
@@ -178,22 +181,62 @@ def bank(k: int, max_depth: int = 5, n_estimators: int = 100, seed: int = 42, ke
 
 def train_bank(
     train: DataFrame, test: DataFrame, cols: list[str], k: int, models: list[str] | None = None,
-    max_depth: int = 5, n_estimators: int = 100, seed: int = 42, key: str = KEY,
+    max_depth: int = 5, n_estimators: int = 100, seed: int = 42, key: str = KEY, at_once: int = 4,
+    extra: dict[str, Callable] | None = None,
 ) -> DataFrame:
-    """(model, accuracy, balanced_accuracy, f1), best accuracy first; a model
-    that fails is left out."""
-    train, test, out = train.persist(), test.persist(), None
-    for name, fit_predict in bank(k, max_depth, n_estimators, seed, key).items():
-        if models is not None and name not in models:
-            continue
+    """(model, accuracy, balanced_accuracy, f1, failure), best accuracy first.
+
+    A model that fails is a row without scores and with the reason. ``at_once``
+    models are trained side by side, each as Spark jobs of its own; ``extra`` adds
+    further ones to the bank.
+    """
+    train, test = train.persist(), test.persist()
+    work = {n: f for n, f in (bank(k, max_depth, n_estimators, seed, key) | (extra or {})).items() if models is None or n in models}
+
+    def run(name: str) -> DataFrame:
         try:
-            row = durable(scores(fit_predict(train, test, cols)).select(F.lit(name).alias("model"), "*"))
+            row = scores(work[name](train, test, cols)).select(F.lit(name).alias("model"), "*", F.lit(None).cast("string").alias("failure"))
+            return durable(row)
         except Exception as e:
             log.warning("%s failed: %s", name, e)
-            continue
-        out = row if out is None else out.unionByName(row)
-    train.unpersist()
-    test.unpersist()
-    if out is None:
-        raise ValueError("no model could be trained")
-    return out.orderBy(F.col("accuracy").desc(), "model")
+            reason = f"{type(e).__name__}: {e}".splitlines()[0][:200]
+            return train.sparkSession.createDataFrame([(name, None, None, None, reason)], SCORES)
+
+    try:
+        with ThreadPoolExecutor(at_once) as pool:
+            rows = list(pool.map(run, work))
+    finally:
+        train.unpersist()
+        test.unpersist()
+    if not rows:
+        raise ValueError("no model asked for")
+    return reduce(DataFrame.unionByName, rows).orderBy(F.col("accuracy").desc_nulls_last(), "model")
+
+
+def fit_gaussian_nb(train: DataFrame, cols: list[str], smoothing: float = 1e-9) -> Column:
+    """Gaussian naive Bayes as one expression of the columns: class shares, means and
+    variances from one aggregate, the variances raised by ``smoothing`` times the
+    largest variance of a column over all classes."""
+    rows = train.groupBy("label").agg(
+        F.count("*").alias("n"), F.array(*[F.avg(c) for c in cols]).alias("m"), F.array(*[F.var_pop(c) for c in cols]).alias("v")
+    ).orderBy("label").collect()  # one row per class
+    extra = smoothing * max(train.agg(*[F.var_pop(c) for c in cols]).first())
+    total = sum(r["n"] for r in rows)
+    scored = []
+    for r in rows:
+        s = F.lit(math.log(r["n"] / total))
+        for c, m, v in zip(cols, r["m"], r["v"]):
+            s = s - 0.5 * (F.lit(math.log(2 * math.pi * (v + extra))) + (F.col(c) - m) * (F.col(c) - m) / (v + extra))
+        scored.append(s)
+    s = F.array(*scored)
+    return F.element_at(F.array(*[F.lit(int(r["label"])) for r in rows]), F.array_position(s, F.array_max(s)).cast("int"))
+
+
+def fit_nearest_mean(train: DataFrame, cols: list[str]) -> Column:
+    """The class whose mean is nearest, the smaller one on a tie; one expression of the columns."""
+    rows = class_means(train, cols).collect()  # one row per class
+    options = []
+    for r in rows:
+        square = sum(((F.col(c) - F.lit(r[c])) * (F.col(c) - F.lit(r[c])) for c in cols), F.lit(0.0))
+        options.append(F.struct(square.alias("d"), F.lit(int(r["label"])).alias("c")))
+    return F.array_min(F.array(*options))["c"]

@@ -131,3 +131,44 @@ def test_sequences_over_block_borders(spark):
     df = spark.range(30).selectExpr("1 AS space_id", "timestampadd(HOUR, id, TIMESTAMP_NTZ '2024-01-01') AS ds", "CAST(id AS DOUBLE) AS y")
     rows = TL.sequences(df, 4, 3600, ["y"], block=6).orderBy("ds").collect()
     assert [(r.window, r.target) for r in rows] == [([[float(i - k)] for k in (4, 3, 2, 1)], float(i)) for i in range(4, 30)]
+
+
+def test_a_failing_model_is_a_row_with_its_reason(spark):
+    from roamlens.operators import classifiers as CL
+
+    rows = [(f"d{i}", i % 2, float(i % 2) + i / 100, float(i % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "mac_address STRING, label INT, a DOUBLE, b DOUBLE")
+
+    def broken(train, test, cols):
+        raise KeyError("no such column")
+
+    names = ["LDA", "RidgeClassifier", "broken"]
+    got = CL.train_bank(df, df, ["a", "b"], 2, names, extra={"broken": broken}).collect()
+    assert [r.model for r in got] == ["LDA", "RidgeClassifier", "broken"]
+    assert got[0].accuracy == 1.0 and got[0].failure is None
+    assert got[2].accuracy is None and got[2].failure.startswith("KeyError")
+
+
+def test_fitted_expressions(spark):
+    from roamlens.operators import classifiers as CL
+
+    rows = [(i % 3, float(i % 3) * 4 + (i % 7) / 7, float(i % 4)) for i in range(84)]
+    df = spark.createDataFrame(rows, "label INT, a DOUBLE, b DOUBLE")
+    for fit in (CL.fit_gaussian_nb, CL.fit_nearest_mean):
+        assert df.select(fit(df, ["a", "b"]).alias("p"), "label").where("p <> label").count() == 0
+
+
+def test_accelerated_model_is_a_fixed_point_and_starts_warm(spark):
+    import random
+
+    r = random.Random(2)
+    votes = [[c if r.random() < 0.6 else r.choice([-1, 0, 1, 2]) for _ in range(5)] for c in (r.randrange(3) for _ in range(400))]
+    pats = V.patterns(spark.createDataFrame([(v,) for v in votes], "votes ARRAY<INT>"))
+    fast = LM.fit_converged(pats, 5, 3)
+    slow = LM.fit_label_model(pats, 5, 3, epochs=2000, tolerance=1e-10)
+    assert LM._moved(fast.log_p, slow.log_p) < 1e-6 and fast.iterations < slow.iterations
+    step, _ = LM._em_step(pats, fast.log_p, 3)
+    assert LM._moved(step, fast.log_p) < 1e-8
+    more = V.patterns(spark.createDataFrame([(v,) for v in votes + votes[:40]], "votes ARRAY<INT>"))
+    warm, cold = LM.fit_converged(more, 5, 3, start=fast), LM.fit_converged(more, 5, 3)
+    assert LM._moved(warm.log_p, cold.log_p) < 1e-6 and warm.iterations <= cold.iterations
