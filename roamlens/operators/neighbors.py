@@ -9,14 +9,20 @@ distance is looked at, as in a brute-force search, but no pair is emitted.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from roamlens.operators.scope import KEY
+from roamlens.session import durable
 
 GROUP_ROWS = 20_000
+# Cells of a search with pivots, however many rows there are; large cells are cut into blocks.
+MOST_PIVOTS = 4096
 
 
 def _best_of_block(k: int):
@@ -25,18 +31,15 @@ def _best_of_block(k: int):
             return pd.DataFrame({"id": [], "dist": [], "other": [], "label": []})
         train = train.sort_values("id")
         a, b = np.stack(train["x"].to_numpy()), np.stack(test["x"].to_numpy())
-        ids, labels = train["id"].to_numpy(), train["label"].to_numpy()
-        parts = []
+        ids, labels = train["id"].to_numpy(dtype=object), train["label"].to_numpy()
+        queries, parts = test["id"].to_numpy(dtype=object), []
         for i in range(0, len(b), 256):
             q = b[i:i + 256]
             d = np.sqrt(np.maximum(((q[:, None, :] - a[None, :, :]) ** 2).sum(axis=2), 0.0))
             near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(test["id"].to_numpy()[i:i + 256], near.shape[1])
-            parts.append(pd.DataFrame({
-                "id": rows, "dist": np.take_along_axis(d, near, 1).ravel(),
-                "other": ids[near.ravel()], "label": labels[near.ravel()],
-            }))
-        return pd.concat(parts)
+            rows = np.repeat(queries[i:i + 256], near.shape[1])
+            parts.append((rows, np.take_along_axis(d, near, 1).ravel(), ids[near.ravel()], labels[near.ravel()]))
+        return pd.DataFrame(dict(zip(("id", "dist", "other", "label"), map(np.concatenate, zip(*parts)))))
 
     return run
 
@@ -58,7 +61,11 @@ def nearest(train: DataFrame, test: DataFrame, cols: list[str], k: int = 5, key:
     best = a.groupBy("block", "chunk").cogroup(b.groupBy("block", "chunk")).applyInPandas(
         _best_of_block(k), "id STRING, dist DOUBLE, other STRING, label INT"
     )
-    # merge in two levels, so no list is longer than k * sqrt(blocks)
+    return _merged(best, k, blocks, key)
+
+
+def _merged(best: DataFrame, k: int, blocks: int, key: str) -> DataFrame:
+    """Merge in two levels, so no list is longer than k * sqrt(blocks)."""
     part = F.pmod(F.xxhash64("other"), F.lit(math.ceil(math.sqrt(blocks))))
 
     def k_best(c: Column) -> Column:
@@ -72,6 +79,130 @@ def nearest(train: DataFrame, test: DataFrame, cols: list[str], k: int = 5, key:
     )
 
 
+@dataclass
+class Cells:
+    """Pivots and, per cell, the distances of its rows from its pivot, their number and blocks."""
+
+    pivots: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    rows: np.ndarray
+    blocks: np.ndarray
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        square = (x**2).sum(axis=1)[:, None] - 2 * x @ self.pivots.T + (self.pivots**2).sum(axis=1)
+        return np.sqrt(np.maximum(square, 0.0))
+
+    def at_least(self, d: np.ndarray) -> np.ndarray:
+        """No row of a cell is nearer than this to a point at distance d from its pivot,
+        by the triangle inequality; a little less, for rounding."""
+        bound = np.maximum(d - self.high, self.low - d)
+        return bound - 1e-6 * (1.0 + d)
+
+
+def _points(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    return np.stack(batch.column(column).to_numpy(zero_copy_only=False)) if batch.num_rows else np.empty((0, 0))
+
+
+def _cells_of(a: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Rows with their cell (nearest pivot) and the distance from its pivot."""
+    cells = Cells(pivots, *[np.zeros(len(pivots))] * 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d = cells.distances(_points(batch, "x"))
+                cell = d.argmin(axis=1)
+                columns = [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(cell)), cell])]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "cell", "from_pivot"])
+
+    return a.mapInArrow(run, "id STRING, label INT, x ARRAY<DOUBLE>, cell INT, from_pivot DOUBLE")
+
+
+def _routed(b: DataFrame, cells: Cells, k: int, second: bool) -> DataFrame:
+    """(id, x, cell, block): where a query is searched for.
+
+    First in the nearest cells that hold k rows together; then, with ``reach`` the
+    distance of the k-th row found, in every other cell that may hold a nearer one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            d = cells.distances(_points(batch, "x"))
+            order = np.argsort(d, axis=1, kind="stable")
+            before = np.cumsum(cells.rows[order], axis=1) - cells.rows[order]
+            first = np.zeros(d.shape, bool)
+            np.put_along_axis(first, order, before < k, axis=1)
+            if second:
+                reach = batch.column("reach").to_numpy(zero_copy_only=False)
+                wanted = ~first & (cells.at_least(d) <= reach[:, None]) & (cells.rows > 0)
+            else:
+                wanted = first & (cells.rows > 0)
+            row, cell = np.nonzero(wanted)
+            n = cells.blocks[cell].astype(int)
+            row, cell = np.repeat(row, n), np.repeat(cell, n)
+            block = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            taken = batch.select(["id", "x"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays(
+                [*taken.columns, pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32))], ["id", "x", "cell", "block"]
+            )
+
+    return b.mapInArrow(run, "id STRING, x ARRAY<DOUBLE>, cell INT, block INT")
+
+
+def _searched(a: DataFrame, routed: DataFrame, k: int, group_rows: int) -> DataFrame:
+    """The k best of each block for the queries routed to it; queries of a crowded block are dealt out."""
+    on = ["cell", "block"]
+    parts = routed.groupBy(*on).agg(F.ceil(F.count("*") / F.lit(group_rows)).cast("int").alias("_parts"))
+    own, other = (parts.select(*[F.col(c).alias(c) for c in on], F.col("_parts").alias(n)) for n in ("_own", "_other"))
+    train = a.join(own, on).select(*a.columns, F.explode(F.sequence(F.lit(0), F.col("_own") - 1)).alias("part"))
+    test = routed.join(other, on).select(*routed.columns, F.pmod(F.xxhash64("id"), F.col("_other")).cast("int").alias("part"))
+    return train.groupBy(*on, "part").cogroup(test.groupBy(*on, "part")).applyInPandas(
+        _best_of_block(k), "id STRING, dist DOUBLE, other STRING, label INT"
+    )
+
+
+def nearest_pruned(
+    train: DataFrame, test: DataFrame, cols: list[str], k: int = 5, key: str = KEY, group_rows: int = GROUP_ROWS,
+    pivots: int | None = None,
+) -> tuple[DataFrame, float]:
+    """As :func:`nearest`, exact, without looking at cells that can't matter; and the
+    share of (query, block) pairs that were skipped.
+
+    Training rows go to the cell of their nearest pivot, one of a bounded sample.
+    A query is searched in its nearest cells first; a cell whose rows, by their
+    distances from its pivot, are all farther than the k-th row found is skipped.
+    """
+    x = F.array(*[F.col(c).cast("double") for c in cols]).alias("x")
+    a = train.select(F.col(key).alias("id"), F.col("label").cast("int").alias("label"), x)
+    b = durable(test.select(F.col(key).alias("id"), x))
+    total = a.count()
+    n = min(MOST_PIVOTS, max(1, math.ceil(total / group_rows))) if pivots is None else min(pivots, MOST_PIVOTS)
+    chosen = a.orderBy(F.xxhash64("id")).limit(n).select("x").collect()
+    if not chosen or b.isEmpty():
+        return nearest(train, test, cols, k, key, group_rows), 0.0
+    points = np.unique(np.array([r.x for r in chosen]), axis=0)
+    placed = durable(_cells_of(a, points))
+    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("from_pivot").alias("lo"), F.max("from_pivot").alias("hi")).collect()
+    cells = Cells(points, *(np.zeros(len(points)) for _ in range(4)))
+    for r in stats:  # one row per pivot
+        cells.low[r.cell], cells.high[r.cell], cells.rows[r.cell] = r.lo, r.hi, r.n
+    cells.blocks = np.ceil(cells.rows / group_rows)
+    split = F.array(*[F.lit(int(c)) for c in cells.blocks])
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.greatest(split[F.col("cell")], F.lit(1))).cast("int"))
+    first = durable(_routed(b, cells, k, second=False))
+    near = durable(_searched(placed, first, k, group_rows))
+    reach = _merged(near, k, max(2, int(cells.blocks.sum())), "id").select(
+        "id", F.when(F.size("neighbours") >= k, F.element_at("neighbours", -1)["dist"]).otherwise(float("inf")).alias("reach")
+    )
+    rest = durable(_routed(b.join(reach, "id"), cells, k, second=True))
+    best = near.unionByName(_searched(placed, rest, k, group_rows))
+    visited, pairs = first.count() + rest.count(), b.count() * int(cells.blocks.sum())
+    return _merged(best, k, max(2, int(cells.blocks.sum())), key), 1.0 - visited / max(pairs, 1)
+
+
 def knn_predict(train: DataFrame, test: DataFrame, cols: list[str], k: int = 5, key: str = KEY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(key, prediction): most frequent label of the k nearest, smallest on a tie."""
     labels = F.array_sort(F.transform("neighbours", lambda n: n["label"]))

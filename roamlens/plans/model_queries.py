@@ -169,13 +169,29 @@ def _(spark, sf):
     return CL.class_means(train, cols).select("label", "n", *[F.round(c, 6).alias(c) for c in ("mean_interval", "lab_day_pct")])
 
 
-@query("c09_nearest_neighbours", PROBS + """, d AS (SELECT a.mac_address, b.mac_address AS other, b.label, sqrt((a.p0 - b.p0) ** 2 + (a.p1 - b.p1) ** 2 + (a.p2 - b.p2) ** 2) AS dist
+NEIGHBOURS = PROBS + """, d AS (SELECT a.mac_address, b.mac_address AS other, b.label, sqrt((a.p0 - b.p0) ** 2 + (a.p1 - b.p1) ** 2 + (a.p2 - b.p2) ** 2) AS dist
   FROM pr a JOIN (SELECT * FROM pr JOIN sc USING (mac_address)) b ON a.mac_address <> b.mac_address)
-SELECT mac_address, round(dist, 6) AS dist, rn AS rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY mac_address ORDER BY dist, other) AS INTEGER) AS rn FROM d) WHERE rn <= 5""")
+SELECT mac_address, round(dist, 6) AS dist, rn AS rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY mac_address ORDER BY dist, other) AS INTEGER) AS rn FROM d) WHERE rn <= 5"""
+
+
+@query("c09_nearest_neighbours", NEIGHBOURS)
+def _(spark, sf):
+    x = points(spark, sf)
+    return ranked(N.nearest(x, x, ["p0", "p1", "p2"], 6, group_rows=60))  # 6: a device is its own nearest
+
+
+@query("c09_pruned_neighbours", NEIGHBOURS)
 def _(spark, sf):
+    x = points(spark, sf)
+    return ranked(N.nearest_pruned(x, x, ["p0", "p1", "p2"], 6, group_rows=12)[0])
+
+
+def points(spark, sf) -> DataFrame:
     p = probabilities(spark, sf)
-    x = R.scored(p).join(p.select("mac_address", *[F.col("probs")[c].alias(f"p{c}") for c in range(3)]), "mac_address")
-    near = N.nearest(x, x, ["p0", "p1", "p2"], 6, group_rows=60)  # 6: a device is its own nearest
+    return R.scored(p).join(p.select("mac_address", *[F.col("probs")[c].alias(f"p{c}") for c in range(3)]), "mac_address")
+
+
+def ranked(near: DataFrame) -> DataFrame:
     others = F.filter("neighbours", lambda n: n["other"] != F.col("mac_address"))
     return near.select("mac_address", F.posexplode(F.slice(others, 1, 5)).alias("pos", "n")).select(
         "mac_address", F.round("n.dist", 6).alias("dist"), (F.col("pos") + 1).alias("rank"))

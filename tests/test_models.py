@@ -172,3 +172,27 @@ def test_accelerated_model_is_a_fixed_point_and_starts_warm(spark):
     more = V.patterns(spark.createDataFrame([(v,) for v in votes + votes[:40]], "votes ARRAY<INT>"))
     warm, cold = LM.fit_converged(more, 5, 3, start=fast), LM.fit_converged(more, 5, 3)
     assert LM._moved(warm.log_p, cold.log_p) < 1e-6 and warm.iterations <= cold.iterations
+
+
+def test_pruned_search_is_exact_and_skips_blocks(spark):
+    import random
+
+    from roamlens.operators import neighbors as N
+
+    r = random.Random(4)
+    rows = []
+    for i in range(600):
+        c = r.randrange(8)
+        rows.append((f"p{i:03d}", c % 3, 10.0 * c + r.gauss(0, 1), 5.0 * (c % 4) + r.gauss(0, 1)))
+    rows += [(f"same{i:03d}", 1, 3.0, 3.0) for i in range(200)]  # one point a quarter of all rows share
+    df = spark.createDataFrame(rows, "mac_address STRING, label INT, x DOUBLE, y DOUBLE")
+    test = df.where("mac_address < 'p2' OR mac_address > 'same180'")
+    for k in (1, 6):
+        want = {q.mac_address: q.neighbours for q in N.nearest(df, test, ["x", "y"], k, group_rows=100).collect()}
+        found, skipped = N.nearest_pruned(df, test, ["x", "y"], k, group_rows=25, pivots=30)
+        assert {q.mac_address: q.neighbours for q in found.collect()} == want
+        assert skipped > 0.5
+    few = df.limit(3)
+    found, _ = N.nearest_pruned(few, test.limit(4), ["x", "y"], 6, group_rows=2)
+    assert all(len(q.neighbours) == 3 for q in found.collect())
+    assert N.nearest_pruned(df.limit(0), test, ["x", "y"], 2)[0].collect() == []
