@@ -182,7 +182,8 @@ def nearest_pruned(
     n = min(MOST_PIVOTS, max(1, math.ceil(total / group_rows))) if pivots is None else min(pivots, MOST_PIVOTS)
     chosen = a.orderBy(F.xxhash64("id")).limit(n).select("x").collect()
     if not chosen or b.isEmpty():
-        return nearest(train, test, cols, k, key, group_rows), 0.0
+        none = f"{key} STRING, neighbours ARRAY<STRUCT<dist: DOUBLE, other: STRING, label: INT>>"
+        return train.sparkSession.createDataFrame([], none), 0.0
     points = np.unique(np.array([r.x for r in chosen]), axis=0)
     placed = durable(_cells_of(a, points))
     stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("from_pivot").alias("lo"), F.max("from_pivot").alias("hi")).collect()
