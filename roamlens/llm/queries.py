@@ -73,7 +73,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.format_preferences(P.preference_pairs(table(spark, sf_dir, "conversations")))
+    rows = P.format_preferences(P.preference_pairs(table(spark, sf_dir, "conversations")))
+    return rows.withColumns({c: P.mask_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +113,7 @@ QUERIES = {
 }
 SQL = {
     "op2_exact_dedup": E.EXACT_SQL.format(documents="documents"),
+    "op7_preference_formatting": P.PREFERENCES_SQL.format(conversations="conversations"),
     "op11_conversation_trie": R.TRIE_SQL.format(conversations="conversations"),
     "op12_hard_negatives": H.MINING_SQL.format(embeddings="embeddings"),
     "op13_ngram_jaccard_join": J.JACCARD_SQL.format(documents="documents"),

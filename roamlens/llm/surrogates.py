@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect
 import unicodedata
 from collections.abc import Iterator
 
@@ -52,7 +53,7 @@ PATTERNS = (
     ("card", re.compile(r"(?<![\w-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])", re.A)),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])", re.A)),
 )
-_SOME = re.compile(r"[@0-9]|AKIA|ASIA|gh[pousr]_|sk-|xox")
+_SOME = re.compile(r"[@0-9]|AKIA|ASIA|gh[pousr]_|sk-|xox|(?i:passw|pwd|secret|token|api[_-]?key)")
 _SOME_PERSON = re.compile("|".join(t for ts in TITLES.values() for t in ts))
 
 
@@ -93,17 +94,13 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         if known:
             again = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, known), key=len, reverse=True)) + r")(?!\w)")
             found += [(m.start(), m.end(), *known[m[0]]) for m in again.finditer(text)]
-    out, end = [], 0
     rank = {k: i for i, (k, _) in reversed(list(enumerate(PATTERNS)))}
-    taken: list[tuple[int, int, str, str]] = []
+    taken: list[tuple[int, int, str, str]] = []  # by start; only its neighbours can overlap a new one
     for e in sorted(found, key=lambda e: (rank.get(e[2], 99), e[0])):
-        if all(e[1] <= t[0] or e[0] >= t[1] for t in taken):
-            taken.append(e)
-    for e in sorted(taken):
-        if e[0] >= end:
-            out.append(e)
-            end = e[1]
-    return out
+        at = bisect(taken, e[0], key=lambda t: t[0])
+        if (at == 0 or taken[at - 1][1] <= e[0]) and (at == len(taken) or e[1] <= taken[at][0]):
+            taken.insert(at, e)
+    return taken
 
 
 def _canonical(kind: str, value: str) -> str:

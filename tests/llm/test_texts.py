@@ -1,6 +1,7 @@
 """SentencePiece lattice, preference formatting and surrogates."""
 
 import random
+import time
 
 import pytest
 import sentencepiece
@@ -125,12 +126,25 @@ def test_preferences_equal_brute_force(spark):
 def test_pairs_from_conversations(spark):
     rows = [(c, t, role, f"{('same' if c % 3 else c) if t == 0 else (c, t)}") for c in range(30) for t, role in enumerate(["user", "assistant"] * 2)]
     rows += [(40, 0, None, None), (None, 0, "user", "same"), (None, None, "user", "same"), (41, 0, "user", "same"), (41, 0, "user", "same")]
+    rows += [(42, 0, "user", "alone"), (42, 1, "assistant", "a" * 40_000), (42, 2, "user", "cut off"), (43, 0, "assistant", "x"), (44, 0, "assistant", "x")]
     turns = spark.createDataFrame([(*x, 1) for x in rows], "conv_id LONG, turn LONG, role STRING, text STRING, opening INT")
-    got = P.format_preferences(P.preference_pairs(turns)).collect()
-    assert sorted(str(g.pair_id) for g in got) == sorted({str(x[0]) for x in rows})
-    by = {g.pair_id: g for g in got}
-    assert by[1].n_shared == 3 and by[2].n_shared == 1 and "same" in by[2].prompt and by[2].rejected_text != by[2].chosen_text
+    pairs = {p.pair_id: p for p in P.preference_pairs(turns).collect()}
+    got = {g.pair_id: g for g in P.format_preferences(P.preference_pairs(turns)).collect()}
+    assert sorted(got) == sorted(pairs) == sorted({x[0] for x in rows if x[0] is not None})
+    answers = {c: [x[3] for x in rows if x[0] == c and x[2] == "assistant"][-1:] for c in got}
+    for c, p in pairs.items():
+        if not answers[c]:
+            assert p.chosen == p.rejected and got[c].chosen_text == got[c].rejected_text == ""
+            continue
+        # the same prompt, then two different answers of the assistant
+        assert p.chosen[:-1] == p.rejected[:-1] and p.chosen[-1].text == answers[c][0] != p.rejected[-1].text
+        assert p.rejected[-1].role == "assistant" and p.rejected[-1].text in {a for v in answers.values() for a in v}
+        assert got[c].n_shared == len(p.chosen) - 1 and len(got[c].chosen_mask) == len(got[c].rejected_mask) == 1
+    same = {c for c in range(30) if c % 3}
+    assert all(eval(pairs[c].rejected[-1].text)[0] in same - {c} for c in same)  # the opening is preferred
     assert P.format_preferences(P.preference_pairs(turns.filter("conv_id < 0"))).count() == 0
+    one = spark.createDataFrame([(1, 0, "assistant", "x"), (2, 0, "assistant", "x")], "conv_id LONG, turn LONG, role STRING, text STRING")
+    assert all(p.chosen == p.rejected for p in P.preference_pairs(one).collect())
 
 
 TEXT = (
@@ -161,6 +175,15 @@ def test_entities_and_formats():
     assert X.entities("Licensed under the Apache License, Version 2.0, in 1999 (3 of 10).") == X.entities(None) == []
 
 
+def test_secrets_of_letters_and_very_many_entities():
+    assert [e[2] for e in X.entities("my password: CorrectHorseBattery ok")] == ["secret"]
+    assert [e[2] for e in X.entities("API_KEY=abcdefghij")] == ["secret"] and X.entities("a token of thanks") == []
+    many = " ".join(f"user{i}@example.org" for i in range(50_000))
+    start = time.time()
+    found = X.entities(many)
+    assert len(found) == 50_000 and all(a[1] <= b[0] for a, b in zip(found, found[1:])) and time.time() - start < 20
+
+
 def test_surrogates_are_distinct_and_coreferent(spark):
     r = random.Random(1)
     names = ["".join(r.choice("bcdfg") + r.choice("aeiou") for _ in range(4)).capitalize() for _ in range(400)]
