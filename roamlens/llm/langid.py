@@ -19,6 +19,8 @@ SAMPLE = 2000  # labelled documents that the centroids are fitted on, over all l
 CENTROIDS = 4  # per language
 PIECE = 1 << 18  # characters vectorised at once
 LENGTHS = 24  # bins of log2(letters) for the rejection
+THIN = 20  # rows that a bin needs for a bound of its own
+NEAR = 0.6  # of the lowest thousandth of the cosines of a bin
 
 
 @functools.cache
@@ -128,9 +130,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
 
     Document frequencies are counted over all rows. The centroids are clustered
     on about ``sample`` rows, in equal parts by language, picked by a hash of
-    doc_id. The rejection needs no labels: a text is too far from every
-    centroid if its cosine is below a quarter of what the lowest hundredth of
-    the sample of its length (log2 of letters) has.
+    doc_id. The rejection needs no labels: a text is too far from every centroid
+    if its cosine is below ``NEAR`` of what the lowest thousandth of all training
+    rows of its length (log2 of letters) has; a length with under ``THIN`` rows
+    takes the bound of the next one that has more.
     """
     rows = labelled.select("doc_id", "text", "lang").dropna()
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(sample + 1).collect()}
@@ -158,7 +161,6 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     languages = sorted({r.lang for r in chosen})
     model = LanguageModel(languages, idf, np.zeros((0, FEATURES)), np.zeros(0, int), np.zeros(LENGTHS))
     found, owner = [], []
-    letters = np.array([r.letters for r in chosen])
     if not chosen:
         return model
     x = model.vectors(np.stack([np.frombuffer(r.counts, "<u2") for r in chosen]))
@@ -168,15 +170,37 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
         found.append(c)
         owner += [k] * len(c)
     model.centroids, model.owner = np.concatenate(found).astype(np.float32), np.array(owner)
-    cosine = (x @ model.centroids.T).max(axis=1)
-    bins = length_bin(letters)
-    for b in range(LENGTHS):
-        own = cosine[bins == b]
-        if len(own) >= 20:
-            model.cutoff[b] = 0.25 * np.quantile(own, 0.01)
+    model.cutoff = _cutoffs(rows.select("text"), model)
     return model
 
 
+def _cutoffs(texts: DataFrame, model: LanguageModel) -> np.ndarray:
+    """The least cosine a text of each length may have, from one aggregate over all ``texts``."""
+    shipped = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shipped.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                counted = [gram_counts(t) for t in batch.column(0).slice(at, 256).to_pylist()]
+                letters = np.array([n for _, n in counted])
+                cosine = (own.vectors(np.stack([c for c, _ in counted])) @ own.centroids.T).max(axis=1)
+                some = letters > 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(length_bin(letters)[some].astype(np.int32)), pa.array(cosine[some].astype(float))], ["bin", "cosine"]
+                )
+
+    found = texts.mapInArrow(run, "bin INT, cosine DOUBLE").groupBy("bin").agg(
+        F.count("*").alias("n"), F.percentile_approx("cosine", 0.001, 10_000).alias("low")
+    ).collect()  # one row a length
+    shipped.unpersist()
+    known = {r.bin: r.low for r in found if r.n >= THIN} or {r.bin: r.low for r in found}
+    if not known:
+        return np.zeros(LENGTHS)
+    nearest = [min(known, key=lambda k: (abs(k - b), known[k])) for b in range(LENGTHS)]
+    return NEAR * np.array([known[k] for k in nearest])
+
+
 def identify(docs: DataFrame, model: LanguageModel, carry: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, lang_pred, score, rejected.
 

@@ -55,6 +55,28 @@ def test_far_texts_are_rejected(spark):
     assert far[2] and not near[2]
 
 
+FOREIGN = {
+    "ru": "все счастливые семьи похожи друг на друга каждая несчастливая семья несчастлива по своему ",
+    "zh": "今天天气很好我们去公园散步吧学习语言需要时间和耐心",
+    "fi": "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ",
+    "junk": "xq zvw kjqx bzzt qwrt pfk vxz gjqk wqzx kqj ",
+}
+
+
+def test_rejection_at_all_lengths(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = L.fit(L.split(docs)[0])
+    assert (model.cutoff > 0).all()
+    for name, text in FOREIGN.items():
+        lengths = (30, 60, 100, 400, 2000, 11_000, 20_000, 200_000)
+        found = model.predict([(text * (n // len(text) + 1))[:n] for n in lengths])
+        far = {n for n, f in zip(lengths, found) if f[2]}
+        # texts in the script of the learned languages are told from them by a few hundred letters
+        assert far >= ({n for n in lengths if n >= 400} if name in ("fi", "junk") else set(lengths)), (name, far)
+    kept = L.identify(docs.filter("length(text) > 0"), model).agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+    assert kept < 0.005
+
+
 def test_toxicity_on_held_out_texts(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = T.fit(docs.filter(~T.held_out()), labels)
