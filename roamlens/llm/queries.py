@@ -56,7 +56,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = SP.Vocabulary()
     docs = table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    back = SP.decode(SP.encode(docs, vocabulary, carry=True), vocabulary)
+    back = SP.encode(docs, vocabulary, carry=True, round_trip=True)
     decoded = F.sha2("decoded", 256)
     return back.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),

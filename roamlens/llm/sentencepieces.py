@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,15 @@ from roamlens.llm.common import carried, staged
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-HOT = 1 << 19  # most frequent words whose pieces are broadcast
-FLUSH = 1 << 17  # distinct words that a task counts before it hands them on
+HOT = 1 << 18  # most frequent words whose pieces are broadcast
+FLUSH = 1 << 16  # distinct words that a task counts before it hands them on
 PAIR_BITS = 20  # of the table of neighbours; of numbers alike one stands for all
 PART = 1 << 18  # characters looked at at once
-REMEMBERED = 1 << 16  # chunks whose words or pieces a worker remembers
-SLICE = 1 << 22  # bytes of text looked at at once
+REMEMBERED = 1 << 15  # chunks whose words or pieces a worker remembers
+SLICE = 1 << 21  # bytes of text looked at at once
 SAMPLES = 400  # texts that the compressor's dictionary is made from
-BLOCK = 20_000  # distinct words of a partition while their lattices are built
+BLOCK = 10_000  # distinct words of a partition while their lattices are built
+LONG = 512  # characters of a word from which on its path is found piece by piece in one pass
 UNKNOWN_PENALTY = 10.0
 _CHUNK = re.compile(" +[^ ]*")
 
@@ -183,10 +185,14 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     Substrings of bounded length are exploded and joined with the piece table,
     which is of fixed size and broadcast; the edges stay in their word's
     partition, of a bounded number of words, where they are grouped by end and
-    folded. A character that is no
-    piece gets an edge with the unknown score and is spelled in bytes.
+    folded. A character that is no piece gets an edge with the unknown score and is
+    spelled in bytes. Words of over ``LONG`` characters, which are runs without a
+    place to cut, are walked in one pass each (``_walked``): a fold over arrays
+    would take the square of their length.
     """
     spark = words.sparkSession
+    long = words.filter(F.char_length("word") > LONG).select("word")
+    words = words.filter(F.char_length("word") <= LONG)
     parts_of = max(1, -(-words.count() // BLOCK))
     dealt = words.select("word").repartition(parts_of, "word")
     ends = dealt.select("word", F.char_length("word").alias("n")).select(
@@ -223,9 +229,43 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         return F.when(i >= 0, F.array(i)).otherwise(F.transform(utf8, lambda b: F.get(octets, b)))
 
     known = ~F.exists("path", lambda i: i < 0)
-    return path.select(
+    short = path.select(
         "word", F.when(known, F.col("path")).otherwise(F.flatten(F.transform("path", spelled))).alias("ids")
     )
+    shipped = spark.sparkContext.broadcast((
+        {p: (i, x) for p, i, x in vocabulary.pieces}, vocabulary.longest, vocabulary.unknown_score, vocabulary.fallback()
+    ))
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for word in batch.column(0).to_pylist():
+                ids = pa.array([_walked(word, *shipped.value)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([word], pa.string()), ids], ["word", "ids"])
+
+    return short.unionByName(long.mapInArrow(walked, "word STRING, ids ARRAY<INT>"))
+
+
+def _walked(word: str, pieces: dict, longest: int, unknown: float, octets: list[int]) -> list[int]:
+    """The same best path in one pass over a long word, in time proportional to its length."""
+    best, come = [0.0], [0]
+    for end in range(1, len(word) + 1):
+        top, start = -math.inf, 0
+        for begin in range(max(0, end - longest), end):  # of equal scores the longest last piece
+            found = pieces.get(word[begin:end])
+            if found is not None or begin == end - 1:
+                score = best[begin] + (unknown if found is None else found[1])
+                if score > top:
+                    top, start = score, begin
+        best.append(top)
+        come.append(start)
+    ids: list[list[int]] = []
+    end = len(word)
+    while end:
+        piece = word[come[end]:end]
+        found = pieces.get(piece)
+        ids.append([octets[b] for b in piece.encode("utf-8", "surrogatepass")] if found is None else [found[0]])
+        end = come[end]
+    return [i for part in reversed(ids) for i in part]
 
 
 def _whole(column: pa.ChunkedArray) -> pa.Array:
@@ -262,7 +302,11 @@ def _places(words: list[str], known: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.index_in(pa.array(words, pa.string()), value_set=known), -1).to_numpy(zero_copy_only=False)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, carry: bool = False, hot: int = HOT) -> DataFrame:
+def _text_of(ids: list[int], piece: Callable[[int], bytes]) -> str:
+    return b"".join(map(piece, ids))[1:].decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, carry: bool = False, hot: int = HOT, round_trip: bool = False) -> DataFrame:
     """(doc_id, ids) for every row of ``docs`` (doc_id, text): piece ids of the whole text.
 
     Words are counted and every distinct one is encoded once. The pieces of the
@@ -271,7 +315,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry: bool = False, hot: in
     rows with the same text, which travel compressed. Null and empty texts have
     no ids. Rows with equal doc_id are encoded one by one. ``carry`` adds the
     struct ``carried`` with all columns of ``docs`` but the text; else they are
-    ignored.
+    ignored. ``round_trip`` adds the column ``decoded`` as ``decode`` does, from the
+    ids, by the worker that has put them together.
     """
     spark = docs.sparkSession
     joined = spark.sparkContext.broadcast(vocabulary.joined)
@@ -318,8 +363,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry: bool = False, hot: in
     source = source.mapInArrow(compressed, packed).join(looked_up, "key", "left").drop("key")
     names = [c for c in source.columns if c not in ("text", "others")]
 
+    pieces_of = spark.sparkContext.broadcast(vocabulary.decoded)
+
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, offsets, ids), table, ids_of = shipped.value, joined.value, {}
+        piece = pieces_of.value.__getitem__
         expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).decompress
         for batch in batches:
             for rows in _slices(batch, [zstandard.frame_content_size(t) for t in batch.column("text").to_pylist()]):
@@ -336,11 +384,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry: bool = False, hot: in
                 data = [b"".join(map(ids_of.__getitem__, chunks)) for chunks in lists]
                 ends = pa.array(np.cumsum([0, *map(len, data)]) // 4, pa.int32())
                 values = pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(data))])
+                back = [pa.array([_text_of(np.frombuffer(d, "<i4").tolist(), piece) for d in data], pa.string())] * round_trip
                 yield pa.RecordBatch.from_arrays(
-                    [*(rows.column(n) for n in names), pa.ListArray.from_arrays(ends, values)], [*names, "ids"]
+                    [*(rows.column(n) for n in names), pa.ListArray.from_arrays(ends, values), *back], [*names, "ids"] + ["decoded"] * round_trip
                 )
 
-    schema = StructType([source.schema[n] for n in names] + [StructField("ids", ArrayType(IntegerType()))])
+    made = [StructField("ids", ArrayType(IntegerType())), *[StructField("decoded", StringType())] * round_trip]
+    schema = StructType([source.schema[n] for n in names] + made)
     return source.mapInArrow(assemble, schema)
 
 
@@ -369,7 +419,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             texts = []
             for ids in batch.column(at):
                 ids = ids.as_py() if not ids.is_valid else ids.values.to_numpy().tolist()
-                texts.append(None if ids is None else b"".join(map(piece, ids))[1:].decode("utf-8", "replace"))
+                texts.append(None if ids is None else _text_of(ids, piece))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema, StructField("decoded", StringType())]))

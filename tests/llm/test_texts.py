@@ -92,6 +92,21 @@ def test_words_never_cut_a_piece(vocabulary):
             assert SP.words_of("x " + piece, vocabulary.joined)[-1].endswith(piece)
 
 
+def test_long_runs_are_walked_and_paths_agree(spark, vocabulary, monkeypatch):
+    runs = ["=" * 200_000, "a" * 3_000, "=-" * 700, "漢" * 600 + "=" * 700]
+    docs = documents(spark, [f"before {t} after" for t in runs])
+    back = SP.encode(docs, vocabulary, round_trip=True).collect()
+    again = SP.decode(SP.encode(docs, vocabulary), vocabulary).collect()
+    assert {(r.doc_id, r.decoded) for r in back} == {(r.doc_id, r.decoded) for r in again}
+    assert {r.doc_id: r.decoded for r in back} == {i: f"before {t} after" for i, t in enumerate(runs)}
+    r = random.Random(8)
+    words = ["".join(r.choice("=-ab▁漢\U0001d518e") for _ in range(r.randint(1, 60))) for _ in range(200)] + ["=" * 90, "ab" * 40]
+    df = spark.createDataFrame([(w,) for w in sorted(set(words))], "word STRING")
+    folded = {x.word: x.ids for x in SP.encode_words(df, vocabulary).collect()}
+    monkeypatch.setattr(SP, "LONG", 0)
+    assert {x.word: x.ids for x in SP.encode_words(df, vocabulary).collect()} == folded
+
+
 def plain_preference(chosen, rejected):
     n = 0
     while n < min(len(chosen), len(rejected)) and chosen[n] == rejected[n]:
