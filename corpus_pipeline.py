@@ -62,7 +62,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_pieces, ids, round_trip): the texts as piece ids, checked by decoding them."""
     vocabulary = SP.Vocabulary()
     source = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    back = SP.decode(SP.encode(source, vocabulary, carry=True), vocabulary)
+    back = SP.encode(source, vocabulary, carry=True, round_trip=True)
     return back.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids",
         (F.sha2("decoded", 256) == F.col("carried.text_sha256")).alias("round_trip"),
