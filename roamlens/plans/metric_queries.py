@@ -75,6 +75,8 @@ def _always_on_devices(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {name: _metric(make) for name, make in METRICS.items()} | {
     "m07_copair_laptop": lambda spark, sf: C.copair_pairs(T.sessions(spark, sf)),
     "m07_copair_laptop_qualified": lambda spark, sf: C.copair_pairs(T.sessions(spark, sf), min_share=0.8),
+    "m07_copair_laptop_all": lambda spark, sf: C.copair_pairs(T.sessions(spark, sf), min_share=None),
+    "m08_copair_phone_all": lambda spark, sf: C.copair_pairs(T.sessions(spark, sf), role="phone", min_share=None),
     "m08_copair_phone": lambda spark, sf: C.copair_pairs(T.sessions(spark, sf), role="phone"),
     "m08_copair_phone_qualified": lambda spark, sf: C.copair_pairs(T.sessions(spark, sf), role="phone", min_share=0.8),
     "m26_single_office_share": lambda spark, sf: single_office_share(T.sessions(spark, sf), None, T.dims(spark, sf), 0.3),
