@@ -15,6 +15,9 @@ NAMES = [
     "j06_overlap_join", "j07_overlap_left_join", "b01_occupancy_bins_clipped", "k03_rollup_tree",
     "k05_stale_chunks", "k06_coverage_gaps", "l01_level1_votes", "l06_lf_summary", "l10_predict_proba",
     "c03_cap_imbalance", "c09_nearest_neighbours", "h02_fill_bounded", "h11_sequences",
+    "k01_preorder_ranges", "k03_rollup_inner_sources", "k04_distinct_bitmaps", "k07_delta_rollup", "c09_pruned_neighbours",
+    "c11_expression_score", "l04_batch_votes", "l14_lf_accuracy_gold", "s08_seek_page", "s08_seek_after", "h13_forecast_errors",
+    "h15_forecast_rollout",
 ]
 
 
