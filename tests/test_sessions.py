@@ -221,6 +221,12 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_copair_lists_every_pair_unless_a_share_is_asked(spark):
+    s = sessions(spark, [("a", 1, "09:00", "10:00"), ("a", 2, "11:00", "12:00"), ("b", 1, "09:30", "11:00"), ("b", 2, "13:00", "13:10"), ("b", 3, "15:00", "15:10")])
+    assert [(r.target_user, r.overlap_share) for r in copair_pairs(s).collect()] == [("a", 0.5)]
+    assert copair_pairs(s, min_share=0.8).count() == 0
+
+
 def test_overlap_plan_has_no_cross_join(spark):
     s = sessions(spark, [("a", 1, "09:00", "10:00"), ("b", 1, "09:30", "11:00")])
     p = plan(copair_pairs(s))
