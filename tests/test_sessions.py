@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from roamlens.functions.times import ts
 from roamlens.operators import chunks, metrics as M, regions, tree as R
 from roamlens.operators.bins import densify, occupancy_bins
-from roamlens.operators.copresence import copair_pairs
+from roamlens.operators.copresence import copair_group, copair_pairs
 from roamlens.operators.dims import Dims
 from roamlens.operators.faculty import single_office_share
 from roamlens.operators.grains import compute, metrics_bundle
@@ -243,3 +243,42 @@ def test_bundle_meets_once_per_chain_on_the_device(spark):
 def test_entity_index_needs_its_key(spark):
     with pytest.raises(ValueError):
         entity_index(spark.range(3), "mac_address")
+
+
+def pairs_by_hand(rows, asked=None):
+    """(target, other) -> overlapping session pairs, spaces and seconds, of (device, space, start, end) in minutes."""
+    out = {}
+    for d, sp, a, b in rows:
+        for e, sq, x, y in rows:
+            if None not in (d, e, sp, a, b, x, y) and sp == sq and d != e and a < y and x < b and (asked is None or d in asked):
+                n, spaces, sec = out.get((d, e), (0, set(), 0))
+                out[d, e] = (n + 1, spaces | {sp}, sec + 60 * (min(b, y) - max(a, x)))
+    return {k: (n, len(s), float(sec)) for k, (n, s, sec) in out.items()}
+
+
+@FEW
+@given(st.lists(st.tuples(st.sampled_from("abcdefg"), st.sampled_from([1, 2, None]), st.integers(0, 90), st.sampled_from([0, 1, 7, 40, None])), max_size=60), st.booleans())
+def test_device_pairs_by_blocks_are_whole(spark, rows, some):
+    data = [(d, sp, a, None if n is None else a + n) for d, sp, a, n in rows]
+    s = spark.createDataFrame(data, "mac_address STRING, space_id INT, a INT, b INT").selectExpr(
+        "mac_address", "concat('ap-', space_id) AS sensor_id", "space_id",
+        *[f"timestampadd(MINUTE, {c}, TIMESTAMP_NTZ '2024-01-30 23:30:00') AS {n}" for c, n in (("a", "start_time"), ("b", "end_time"))],
+    )
+    asked = spark.createDataFrame([("a",), ("b",), ("b",)], "mac_address STRING") if some else None
+    want = pairs_by_hand(data, {"a", "b"} if some else None)
+    total = {d: sum(r[0] == d for r in data) for d in "abcdefg"}
+    spaces = {d: len({r[1] for r in data if r[0] == d} - {None}) for d in "abcdefg"}
+    for role, sign in (("laptop", 1), ("phone", -1)):
+        for size in (2, 100):
+            got = {(r.target_user, r.other_user): (r.overlap_count, r.other_space_count, r.overlap_seconds) for r in copair_pairs(s, asked, role, group_devices=size).collect()}
+            assert got == {(t, o): v for (t, o), v in want.items() if sign * (spaces[o] - spaces[t]) > 0 or sign * (total[o] - total[t]) > 0}
+
+
+def test_device_pairs_are_not_shuffled(spark):
+    s = sessions(spark, [("a", 1, "09:00", "10:00"), ("b", 1, "09:30", "11:00"), ("c", 1, "09:40", "11:00")])
+    dims = small_dims(spark, [("A", "office")], [], [("ap-1", "North"), ("ap-1", "South")])
+    for df in (copair_pairs(s), copair_group(s, dims, min_share=0.1)):
+        above = plan(df).split("FlatMapGroupsInArrow")[0]
+        assert "other" not in "".join(line for line in above.splitlines() if "Exchange" in line)
+    rows = copair_group(s, dims, spark.createDataFrame([("b",)], "mac_address STRING"), min_share=0.5).collect()
+    assert [(r.mac_address, r.space_name) for r in rows] == [("b", "North")]
