@@ -21,6 +21,12 @@ from roamlens.operators.scope import KEY
 from roamlens.session import durable
 
 GROUP_ROWS = 20_000
+# A search of every block has about so many blocks and chunks, as long as they keep within GROUP_ROWS.
+MOST_BLOCKS = 32
+# Distances looked at together.
+TOGETHER = 1 << 20
+# Rows of a search that are handed on together.
+HANDED_ON = 1 << 14
 # Cells of a search with pivots, however many rows there are; large cells are cut into blocks.
 MOST_PIVOTS = 4096
 
@@ -33,12 +39,19 @@ def _best_of_block(k: int):
         a, b = np.stack(train["x"].to_numpy()), np.stack(test["x"].to_numpy())
         ids, labels = train["id"].to_numpy(dtype=object), train["label"].to_numpy()
         queries, parts = test["id"].to_numpy(dtype=object), []
-        for i in range(0, len(b), 256):
-            q = b[i:i + 256]
+        step, least = max(1, TOGETHER // (len(a) * max(a.shape[1], 1))), min(k, len(a))
+        for i in range(0, len(b), step):
+            q = b[i:i + step]
             d = np.sqrt(np.maximum(((q[:, None, :] - a[None, :, :]) ** 2).sum(axis=2), 0.0))
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(queries[i:i + 256], near.shape[1])
-            parts.append((rows, np.take_along_axis(d, near, 1).ravel(), ids[near.ravel()], labels[near.ravel()]))
+            # rows up to the k-th distance, ties with it too; the first k of them by distance and id
+            # (a NaN comes last when sorting, and is kept only if fewer than k numbers are there)
+            reach = np.partition(d, least - 1, axis=1)[:, least - 1]
+            row, near = np.nonzero(~(d > reach[:, None]))
+            order = np.lexsort((near, d[row, near], row))
+            row, near = row[order], near[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < least
+            row, near = row[kept], near[kept]
+            parts.append((queries[i:i + step][row], d[row, near], ids[near], labels[near]))
         return pd.DataFrame(dict(zip(("id", "dist", "other", "label"), map(np.concatenate, zip(*parts)))))
 
     return run
@@ -50,8 +63,7 @@ def nearest(train: DataFrame, test: DataFrame, cols: list[str], k: int = 5, key:
     x = F.array(*[F.col(c).cast("double") for c in cols]).alias("x")
     a = train.select(F.col(key).alias("id"), F.col("label").cast("int").alias("label"), x)
     b = test.select(F.col(key).alias("id"), x)
-    blocks = max(1, math.ceil(a.count() / group_rows))
-    chunks = max(1, math.ceil(b.count() / group_rows))
+    blocks, chunks = _dealt(a.count(), group_rows), _dealt(b.count(), group_rows)
     a = a.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn(
         "chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
     )
@@ -64,6 +76,11 @@ def nearest(train: DataFrame, test: DataFrame, cols: list[str], k: int = 5, key:
     return _merged(best, k, blocks, key)
 
 
+def _dealt(rows: int, group_rows: int) -> int:
+    """Groups of ``group_rows``, of up to GROUP_ROWS if there would be more than MOST_BLOCKS."""
+    return max(1, math.ceil(rows / max(group_rows, min(GROUP_ROWS, math.ceil(rows / MOST_BLOCKS)))))
+
+
 def _merged(best: DataFrame, k: int, blocks: int, key: str) -> DataFrame:
     """Merge in two levels, so no list is longer than k * sqrt(blocks)."""
     part = F.pmod(F.xxhash64("other"), F.lit(math.ceil(math.sqrt(blocks))))
@@ -109,16 +126,21 @@ def _cells_of(a: DataFrame, pivots: np.ndarray) -> DataFrame:
     cells = Cells(pivots, *[np.zeros(len(pivots))] * 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                d = cells.distances(_points(batch, "x"))
-                cell = d.argmin(axis=1)
-                columns = [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(cell)), cell])]
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "cell", "from_pivot"])
+        for batch in _slices(batches, max(1, TOGETHER // len(pivots))):
+            d = cells.distances(_points(batch, "x"))
+            cell = d.argmin(axis=1)
+            columns = [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(cell)), cell])]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "cell", "from_pivot"])
 
     return a.mapInArrow(run, "id STRING, label INT, x ARRAY<DOUBLE>, cell INT, from_pivot DOUBLE")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _routed(b: DataFrame, cells: Cells, k: int, second: bool) -> DataFrame:
     """(id, x, cell, block): where a query is searched for.
 
@@ -127,9 +149,7 @@ def _routed(b: DataFrame, cells: Cells, k: int, second: bool) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in _slices(batches, max(1, TOGETHER // len(cells.pivots))):
             d = cells.distances(_points(batch, "x"))
             order = np.argsort(d, axis=1, kind="stable")
             before = np.cumsum(cells.rows[order], axis=1) - cells.rows[order]
@@ -144,10 +164,12 @@ def _routed(b: DataFrame, cells: Cells, k: int, second: bool) -> DataFrame:
             n = cells.blocks[cell].astype(int)
             row, cell = np.repeat(row, n), np.repeat(cell, n)
             block = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            taken = batch.select(["id", "x"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays(
-                [*taken.columns, pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32))], ["id", "x", "cell", "block"]
-            )
+            for at in range(0, len(row), HANDED_ON):
+                part = slice(at, at + HANDED_ON)
+                taken = batch.select(["id", "x"]).take(pa.array(row[part]))
+                yield pa.RecordBatch.from_arrays(
+                    [*taken.columns, pa.array(cell[part].astype(np.int32)), pa.array(block[part].astype(np.int32))], ["id", "x", "cell", "block"]
+                )
 
     return b.mapInArrow(run, "id STRING, x ARRAY<DOUBLE>, cell INT, block INT")
 
@@ -180,6 +202,8 @@ def nearest_pruned(
     b = durable(test.select(F.col(key).alias("id"), x))
     total = a.count()
     n = min(MOST_PIVOTS, max(1, math.ceil(total / group_rows))) if pivots is None else min(pivots, MOST_PIVOTS)
+    # with all pivots in use, blocks grow with their cells instead of becoming many
+    group_rows = max(group_rows, min(GROUP_ROWS, math.ceil(4 * total / MOST_PIVOTS)))
     chosen = a.orderBy(F.xxhash64("id")).limit(n).select("x").collect()
     if not chosen or b.isEmpty():
         none = f"{key} STRING, neighbours ARRAY<STRUCT<dist: DOUBLE, other: STRING, label: INT>>"

@@ -196,3 +196,32 @@ def test_pruned_search_is_exact_and_skips_blocks(spark):
     found, _ = N.nearest_pruned(few, test.limit(4), ["x", "y"], 6, group_rows=2)
     assert all(len(q.neighbours) == 3 for q in found.collect())
     assert N.nearest_pruned(df.limit(0), test, ["x", "y"], 2)[0].collect() == []
+
+
+def test_search_of_every_block_keeps_few_groups_and_ties(spark):
+    import numpy as np
+    import pandas as pd
+
+    from roamlens.operators import neighbors as N
+
+    assert N._dealt(90_000, 60) == N.MOST_BLOCKS  # not 1,500
+    assert N._dealt(400, 60) == 7 and N._dealt(0, 60) == 1
+    assert N._dealt(10**7, 60) == 500  # rows of a group stay bounded
+    train = pd.DataFrame({"id": [f"{i:03}" for i in range(200)], "label": 0, "x": [np.array([float(i % 4)]) for i in range(200)]})
+    test = pd.DataFrame({"id": ["q", "n"], "x": [np.array([1.2]), np.array([float("nan")])]})
+    best = N._best_of_block(60)(train, test)
+    by_hand = sorted((abs(i % 4 - 1.2), f"{i:03}") for i in range(200))[:60]
+    got = best[best["id"] == "q"]
+    assert list(got["other"]) == [i for _, i in by_hand] and np.allclose(got["dist"], [d for d, _ in by_hand])
+    assert list(best[best["id"] == "n"]["other"]) == sorted(train["id"])[:60]
+
+
+def test_pruned_search_works_on_slices_of_a_batch():
+    import numpy as np
+    import pyarrow as pa
+
+    from roamlens.operators import neighbors as N
+
+    batch = pa.record_batch({"x": [[float(i)] for i in range(1000)]})
+    parts = list(N._slices(iter([batch, batch.slice(0, 0)]), N.TOGETHER // N.MOST_PIVOTS))
+    assert max(b.num_rows for b in parts) == 256 and np.concatenate([N._points(b, "x") for b in parts]).ravel().tolist() == list(map(float, range(1000)))
