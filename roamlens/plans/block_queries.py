@@ -232,20 +232,27 @@ def _typed(spark, sf) -> DataFrame:
         T.space_metadata(spark, sf).select("building_room", "type"), "building_room")
 
 
+def _rooms_of_sessions(spark, sf, *keys: str) -> DataFrame:
+    """(keys, building_room, n): sessions are counted before offices, which may have many names, multiply them."""
+    per_space = T.sessions(spark, sf).groupBy(*keys, "space_id").agg(F.count("*").alias("n"))
+    rooms = per_space.join(T.space(spark, sf).select("space_id", "building_room"), "space_id")
+    return rooms.groupBy(*keys, "building_room").agg(F.sum("n").alias("n"))
+
+
 def _faculty(spark, sf) -> DataFrame:
-    return T.sessions(spark, sf).join(T.space(spark, sf).select("space_id", "building_room"), "space_id").join(
-        T.faculty_data(spark, sf).select(F.col("office").alias("building_room"), "name"), "building_room")
+    return T.faculty_data(spark, sf).select(F.col("office").alias("building_room"), "name")
 
 
 @query("j01_dimension_chain", "SELECT sp.building_room, f.name, count(*) AS n FROM s JOIN space sp ON s.space_id = sp.space_id JOIN faculty_data f ON sp.building_room = f.office GROUP BY ALL")
 def _(spark, sf):
-    return _faculty(spark, sf).groupBy("building_room", "name").agg(F.count("*").alias("n"))
+    return _rooms_of_sessions(spark, sf).join(_faculty(spark, sf), "building_room").groupBy("building_room", "name").agg(F.sum("n").alias("n"))
 
 
 @query("j02_left_outer", """SELECT t.mac_address, coalesce(x.c, 0) AS faculty_count FROM totals t LEFT JOIN
   (SELECT mac_address, count(*) AS c FROM faculty GROUP BY mac_address) x ON t.mac_address = x.mac_address""")
 def _(spark, sf):
-    x = _faculty(spark, sf).groupBy("mac_address").agg(F.count("*").alias("c"))
+    names = _faculty(spark, sf).groupBy("building_room").agg(F.count("*").alias("names"))
+    x = _rooms_of_sessions(spark, sf, "mac_address").join(names, "building_room").groupBy("mac_address").agg(F.sum(F.col("n") * F.col("names")).alias("c"))
     return entity_index(T.sessions(spark, sf)).join(x, "mac_address", "left").select("mac_address", V.or_zero("c").alias("faculty_count"))
 
 

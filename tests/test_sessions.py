@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -282,3 +283,32 @@ def test_device_pairs_are_not_shuffled(spark):
         assert "other" not in "".join(line for line in above.splitlines() if "Exchange" in line)
     rows = copair_group(s, dims, spark.createDataFrame([("b",)], "mac_address STRING"), min_share=0.5).collect()
     assert [(r.mac_address, r.space_name) for r in rows] == [("b", "North")]
+
+
+def test_sessions_are_counted_before_names_multiply_them(spark, tmp_path):
+    from roamlens.plans.block_queries import QUERIES
+
+    tables = {
+        "events": "SELECT id AS event_id, TIMESTAMP_NTZ '2024-01-01' AS ts, id % 3 AS user_id, 1.0D AS value FROM range(90)",
+        "region": "SELECT id AS r_regionkey, concat('r', id) AS r_name FROM range(5)",
+        "nation": "SELECT id AS n_nationkey, concat('n', id) AS n_name, id % 5 AS n_regionkey FROM range(25)",
+        "supplier": "SELECT id AS s_suppkey, concat('s', id % 40) AS s_name, id % 25 AS s_nationkey FROM range(1000)",
+    }
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    rooms, names = {}, {}
+    for i in range(90):
+        room = (i % 3 * 3 + i % (1 + i % 3 % 7)) % 25
+        rooms[room, str(i % 3)] = rooms.get((room, str(i % 3)), 0) + 1
+    for i in range(0, 1000, 10):
+        names.setdefault(i % 25, []).append(f"s{i % 40}")
+    chain, per_device = {}, {}
+    for (room, device), n in rooms.items():
+        for name in names.get(room, []):
+            chain[f"n{room}", name] = chain.get((f"n{room}", name), 0) + n
+        per_device[device] = per_device.get(device, 0) + n * len(names.get(room, []))
+    for query, want in (("j01_dimension_chain", chain), ("j02_left_outer", per_device)):
+        df = QUERIES[query](spark, str(tmp_path))
+        assert {tuple(r)[:-1] if len(r) > 2 else r[0]: r[-1] for r in df.collect()} == want
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"Aggregate \[[^\]]*space_id", text), text
