@@ -45,3 +45,21 @@ def test_failing_batches_are_halved_to_the_bad_rows(spark):
     short = lf_batch("short", lambda rows: [1] * min(len(rows), 3), ["x"], (1,))
     rows = spark.range(9).select(F.col("id").alias("x")).coalesce(1).select(short.vote.alias("v")).collect()
     assert {r.v for r in rows} == {1}
+
+
+def test_refused_rows_cost_about_a_call_each(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def rule(rows):
+        calls.add(1)
+        if (rows.x > 89).any():
+            raise ValueError("refused")
+        return rows.x % 3
+
+    lf = lf_batch("third", rule, ["y", "x"], (0, 1))
+    df = spark.range(6000).selectExpr("id * 7919 % 6000 AS y", "CASE WHEN id % 50 = 3 THEN NULL ELSE id * 37 % 100 END AS x").coalesce(1)
+    got = df.select("y", "x", lf.vote.alias("v")).collect()
+    assert len(got) == 6000
+    assert all(r.v == (r.x % 3 if r.x is not None and r.x <= 89 and r.x % 3 < 2 else -1) for r in got)
+    refused = sum(r.x is not None and r.x > 89 for r in got)
+    assert calls.value < 2.5 * refused
