@@ -225,3 +225,19 @@ def test_pruned_search_works_on_slices_of_a_batch():
     batch = pa.record_batch({"x": [[float(i)] for i in range(1000)]})
     parts = list(N._slices(iter([batch, batch.slice(0, 0)]), N.TOGETHER // N.MOST_PIVOTS))
     assert max(b.num_rows for b in parts) == 256 and np.concatenate([N._points(b, "x") for b in parts]).ravel().tolist() == list(map(float, range(1000)))
+
+
+def test_an_iteration_is_one_stage(spark):
+    pats = V.patterns(spark.createDataFrame([([c % 3, (c * 7) % 4 - 1, -1],) for c in range(60)], "votes ARRAY<INT>"))
+    stored = LM._stored(pats)
+    stages = set()
+    sc = spark.sparkContext
+    sc.setJobGroup("em", "em")
+    model, reached = LM._em_step(stored, LM._initial(3, 3), 3)
+    for job in sc.statusTracker().getJobIdsForGroup("em"):
+        stages |= set(sc.statusTracker().getJobInfo(job).stageIds)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    tasks = [sc.statusTracker().getStageInfo(s) for s in stages]
+    assert sum(t.numTasks for t in tasks if t and t.numCompletedTasks) == 1
+    both = LM._em_steps(stored, [model, LM._initial(3, 3)], 3)
+    assert LM._moved(both[1][0], model) < 1e-12 and both[0][1] > both[1][1] and abs(both[1][1] - reached) < 1e-9
