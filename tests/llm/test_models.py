@@ -215,3 +215,30 @@ def test_training_lowers_the_loss_and_no_training_texts_are_fine(spark):
     docs = documents(spark, ["some words", None, ""])
     got = A.score_texts(docs, docs.filter("doc_id < 0")).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0), (1, 0, 0, 0.0)]
+
+
+def test_attention_is_trained_on_every_training_text(spark, monkeypatch):
+    texts = ["one two three four five six " * (40 + i) for i in range(60)] + [None, "", "a b " * 12_000]
+    docs = documents(spark, texts)
+    seen = []
+    kept = A.train_on_all
+    monkeypatch.setattr(A, "train_on_all", lambda training, model, subwords: seen.append((kept(training, model, subwords, 5), model, subwords)))
+    monkeypatch.setattr(A, "SAMPLE", 3)  # where the weights start from; not the short texts only, as LONGEST had it
+    got = A.score_texts(docs, docs)
+    (n, model, subwords), = seen
+    sequences = []
+    for t in texts:
+        words = A.words_of((t or "").encode())
+        subwords.learn(set(words))
+        sequences.append(subwords.ids(words))
+    tokens = sum(len(s) + 2 for s in sequences)
+    assert tokens - 5 <= n < tokens  # every token but the first of each shard
+    assert abs(sum(r.score for r in got.collect()) / model.score(sequences).sum() - 1) < 1e-3
+    model.w, again = A.initial_weights(), []
+    worse = model.score(sequences).sum()
+    for parts in (3, 1):  # the same whatever the partitions of the table
+        model.w = A.initial_weights()
+        assert kept(docs.repartition(parts), model, subwords, 5) == n
+        again.append(model.w)
+    assert all((again[0][k] == again[1][k]).all() for k in again[0])
+    assert model.score(sequences).sum() > worse
