@@ -19,7 +19,8 @@ GRAM = 32  # bytes of an anchor; every string of LENGTH bytes has exactly one
 WINDOWS = LENGTH - GRAM + 1  # strings that an anchor can serve
 FLANK = (LENGTH - GRAM) // 2  # a string reaches that far from its anchor to one side at least
 CHUNK = 1 << 15  # string starts looked at at once
-BUCKET = 400_000  # bytes of text whose suffixes are sorted together
+BUCKET = 400_000  # bytes of text that are handed to Python together
+SORTED = 10_000  # bytes of text whose suffixes are sorted together, or all pieces of one key
 CROWD = 2_000  # pieces with one key that are sorted; the windows of larger groups meet by their bytes
 
 _SPOT = np.uint64((1 << 17) - 1)
@@ -52,30 +53,41 @@ def suffix_array(s: Sequence[int]) -> list[int]:
         size[a] = b - a
     before = [-1] * n
     top = n - 1
-    while top >= 0:
-        group = of[sa[top]]
+    while top > 0:  # the last suffix, group 0, points nowhere; as of[-1] it ends every walk
+        x = sa[top]
+        group = of[x]
+        if group == top:  # most groups have one member
+            p = x - 1
+            while of[p] >= group:
+                p = before[p]
+            before[x] = p
+            if p >= 0:
+                old = of[p]
+                last = old + size[old] - 1
+                if last > old:
+                    y, i = sa[last], at[p]
+                    sa[i], at[y] = y, i
+                    sa[last], at[p] = p, last
+                    size[old] -= 1
+                    size[last] = 1
+                    of[p] = last
+            top -= 1
+            continue
         pointed = []
-        members = sa[group : top + 1]
-        if len(members) > 1:
-            members.sort()
-        for x in members:
+        for x in sorted(sa[group : top + 1]):
             p = x - 1
-            while p >= 0 and of[p] >= group:
+            while of[p] >= group:
                 p = before[p]
             before[x] = p
             if p >= 0:
                 pointed.append(p)
-        if len(pointed) == 1:
+        if len(set(pointed)) == len(pointed):
             levels = (pointed,)
         else:
-            times = Counter(pointed)
-            if len(times) == len(pointed):
-                levels = (pointed,)
-            else:
-                by_times: dict[int, list[int]] = {}
-                for p, k in times.items():
-                    by_times.setdefault(k, []).append(p)
-                levels = [by_times[k] for k in sorted(by_times, reverse=True)]
+            by_times: dict[int, list[int]] = {}
+            for p, k in Counter(pointed).items():
+                by_times.setdefault(k, []).append(p)
+            levels = [by_times[k] for k in sorted(by_times, reverse=True)]
         for level in levels:
             moved = {}
             for p in level:
@@ -102,7 +114,7 @@ def suffix_array(s: Sequence[int]) -> list[int]:
     done[n - 1] = 1
     for i in range(n):
         x = out[i] - 1
-        while x >= 0 and not done[x]:
+        while not done[x]:  # done[-1] is the last suffix
             group = of[x]
             out[free[group]] = x
             free[group] += 1
@@ -189,13 +201,16 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated(place: np.ndarray, pieces: list[bytes], starts: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Of the strings of LENGTH bytes in ``pieces``, all but the first occurrence
-    of each: (piece, start). ``place`` orders the pieces' documents."""
-    # one text: the pieces, each closed by a symbol below all bytes, and the least symbol at the end
-    flat = [np.frombuffer(p, np.uint8).astype(np.int64) + 2 for p in pieces]
-    lengths = np.array([len(p) + 1 for p in pieces])
+    of each: (piece, start). ``place`` orders the pieces' documents. Equal pieces
+    are sorted once; what the order says of their strings holds for all of them."""
+    number: dict[bytes, int] = {}
+    which = np.array([number.setdefault(p, len(number)) for p in pieces], np.int64)
+    # one text: the different pieces, each closed by a symbol below all bytes, and the least symbol at the end
+    flat = [np.frombuffer(p, np.uint8).astype(np.int64) + 2 for p in number]
+    lengths = np.array([len(p) + 1 for p in number])
     whole = np.concatenate([x for p in flat for x in (p, [1])] + [np.zeros(1, np.int64)])
     begin = np.cumsum(lengths) - lengths
-    of = np.repeat(np.arange(len(pieces)), lengths)
+    of = np.repeat(np.arange(len(number)), lengths)
     offset = np.arange(len(of)) - begin[of]
     fits = np.append(offset + LENGTH < lengths[of], False)
     order = np.array(suffix_array(whole), np.int64)
@@ -209,28 +224,69 @@ def repeated(place: np.ndarray, pieces: list[bytes], starts: list[int]) -> tuple
     for at in range(1, len(order), 20_000):
         a, b = order[at : at + 20_000], order[at - 1 : at - 1 + 20_000]
         same[at : at + 20_000] = (octets[a[:, None] + ahead] == octets[b[: len(a), None] + ahead]).all(axis=1)
-    group = np.cumsum(~same)
-    piece = of[order]
+    copies = np.bincount(which, minlength=len(number))
+    n = copies[of[order]]
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    order, group = np.repeat(order, n), np.repeat(np.cumsum(~same), n)
+    piece = np.argsort(which, kind="stable")[(np.cumsum(copies) - copies)[of[order]] + nth]
     start = np.array(starts, np.int64)[piece] + offset[order]
     rank = np.lexsort((start, place[piece], group))
     later = np.concatenate([[False], group[rank][1:] == group[rank][:-1]])
     return piece[rank][later], start[rank][later]
 
 
+def can_repeat(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each piece the first string of LENGTH bytes whose hash another string
+    of ``pieces`` has too, and the end of its last one (0, 0: there is none)."""
+    lengths = np.array([len(p) for p in pieces])
+    begin = np.cumsum(lengths) - lengths
+    octets = np.frombuffer(b"".join(pieces), np.uint8)
+    strings = np.maximum(lengths - LENGTH + 1, 0)
+    of = np.repeat(np.arange(len(pieces)), strings)
+    offset = np.arange(len(of)) - np.repeat(np.cumsum(strings) - strings, strings)
+    at = begin[of] + offset
+    hashes = np.empty(len(of), np.uint64)
+    for lead in range(0, len(octets), CHUNK):  # the table of powers is of bounded size
+        a, b = np.searchsorted(at, [lead, lead + CHUNK])
+        part = octets[lead : lead + CHUNK + LENGTH - 1].astype(np.uint64) + np.uint64(1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * _UP[: len(part)], dtype=np.uint64)])
+        here = at[a:b] - lead
+        hashes[a:b] = (sums[here + LENGTH] - sums[here]) * _DOWN[here]
+    _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(times[which] > 1)
+    first, stop = np.full(len(pieces), 1 << 62), np.zeros(len(pieces), np.int64)
+    np.minimum.at(first, of[again], offset[again])
+    np.maximum.at(stop, of[again], offset[again] + LENGTH)
+    return np.where(stop > 0, first, 0), stop
+
+
 def _sorted_bucket(table: pa.Table) -> pa.Table:
+    """Later occurrences of strings in the pieces of a bucket. Strings whose hash
+    no other string has are cut off; what is left is sorted by runs of whole keys."""
+    table = table.sort_by("key")
     key, ords, ties, starts, pieces = (table.column(n).to_pylist() for n in ("key", "ord", "tie", "start", "piece"))
     times = Counter(key)
     kept = [i for i in range(len(key)) if times[key[i]] > 1]
     out = ([], [], [], [])
     if kept:
+        first, stop = (x.tolist() for x in can_repeat([pieces[i] for i in kept]))
         docs = sorted({(ords[i], ties[i]) for i in kept})
         number = {d: k for k, d in enumerate(docs)}
-        place = np.array([number[ords[i], ties[i]] for i in kept])
-        which, start = repeated(place, [pieces[i] for i in kept], [starts[i] for i in kept])
-        for w, a in zip(which.tolist(), start.tolist()):
-            i = kept[w]
-            for c, v in zip(out, (ords[i], ties[i], a, a + LENGTH)):
-                c.append(v)
+        together: list[tuple[int, int, bytes]] = []  # (row, start, text)
+        size = 0
+        for k, (i, a, b) in enumerate(zip(kept, first, stop)):
+            if b:
+                together.append((i, starts[i] + a, pieces[i][a:b]))
+                size += b - a
+            last = k + 1 == len(kept)
+            if together and (last or size >= SORTED and key[kept[k + 1]] != key[i]):
+                place = np.array([number[ords[j], ties[j]] for j, *_ in together])
+                which, start = repeated(place, [t for *_, t in together], [s for _, s, _ in together])
+                for w, s in zip(which.tolist(), start.tolist()):
+                    j = together[w][0]
+                    for c, v in zip(out, (ords[j], ties[j], s, s + LENGTH)):
+                        c.append(v)
+                together, size = [], 0
     return pa.table(
         [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())],
         names=["ord", "tie", "start", "stop"],
@@ -299,9 +355,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Equal strings share an anchor. Runs of strings around one anchor that are
     equal as a whole are settled by aggregates on (anchor, content), however
     many copies there are. Only one copy of each different run of an anchor goes
-    on: its text is sorted, in buckets of bounded size, by ``suffix_array``, and
-    of equal strings, now neighbours, all but the first are removed. Keys with
-    very many different runs are settled by joins on the strings instead.
+    on: what of its text can repeat is sorted, in runs of whole keys, by
+    ``suffix_array``, and of equal strings, now neighbours, all but the first are
+    removed. Keys with very many different runs are settled by joins on the
+    strings instead.
     """
     numbered = docs.select(
         "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), text_bytes().alias("text")

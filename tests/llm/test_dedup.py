@@ -163,3 +163,29 @@ def test_repeats_equal_brute_force(spark, monkeypatch, crowd):
     )
     want = sorted((n, d, *x[:3], hashlib.sha256(x[3]).hexdigest()) for (n, d, *_), x in zip(ordered, plain_repeats([o[3] for o in ordered])))
     assert got == want
+
+
+def test_only_text_that_can_repeat_is_sorted_in_bounded_runs(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(8)
+    text = lambda n: bytes(r.randint(97, 122) for _ in range(n))
+    rows = []
+    for key in range(500):  # two pieces around one flank; they share strings in every other key
+        flank = text(120 if key % 2 else 66)
+        for doc in range(2):
+            rows.append((key, 2 * (key % 7) + doc, doc, 1000 * key, text(20) + flank + text(14)))
+    r.shuffle(rows)
+    fields = zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))
+    table = pa.table([pa.array(c, t) for c, t in fields], names=["key", "ord", "tie", "start", "piece"])
+    sorted_, plain = [], U.suffix_array
+    monkeypatch.setattr(U, "suffix_array", lambda s: sorted_.append(len(s)) or plain(s))
+    got = sorted((x["ord"], x["tie"], x["start"], x["stop"]) for x in U._sorted_bucket(table).to_pylist())
+    seen, want = set(), []
+    for _, ord_, tie, start, piece in sorted(rows, key=lambda x: (x[1], x[2], x[3])):
+        for p in range(len(piece) - U.LENGTH + 1):
+            if piece[p : p + U.LENGTH] in seen:
+                want.append((ord_, tie, start + p, start + p + U.LENGTH))
+            seen.add(piece[p : p + U.LENGTH])
+    assert got == sorted(want) and len(want) >= 250 * 21
+    assert len(sorted_) > 1 and max(sorted_) <= 2 * 10_000 and sum(sorted_) < 0.4 * sum(len(x[4]) for x in rows)
