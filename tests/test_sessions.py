@@ -285,6 +285,14 @@ def test_device_pairs_are_not_shuffled(spark):
     assert [(r.mac_address, r.space_name) for r in rows] == [("b", "North")]
 
 
+def test_packed_sessions_travel_once_however_many_groups(spark):
+    s = sessions(spark, [(d, 1, f"09:{k:02}", "11:00") for k, d in enumerate("abcdefgh")] + [("a", 2, "12:00", "13:00")])
+    for asked in (None, spark.createDataFrame([("b",), ("c",)], "mac_address STRING")):
+        df = copair_pairs(s, asked, group_devices=1)
+        assert "explode" not in plan(df) and "hashpartitioning(block" not in plan(df)
+        assert {(r.target_user, r.other_user) for r in df.collect()} == {(t, "a") for t in ("bcdefgh" if asked is None else "bc")}
+
+
 def test_sessions_are_counted_before_names_multiply_them(spark, tmp_path):
     from roamlens.plans.block_queries import QUERIES
 
