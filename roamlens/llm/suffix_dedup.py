@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
@@ -267,30 +268,36 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
     key, ords, ties, starts, pieces = (table.column(n).to_pylist() for n in ("key", "ord", "tie", "start", "piece"))
     times = Counter(key)
     kept = [i for i in range(len(key)) if times[key[i]] > 1]
-    out = ([], [], [], [])
+    out = [[np.zeros(0, np.int64)] for _ in range(2)]  # document, start
+    docs = sorted({(ords[i], ties[i]) for i in kept})
     if kept:
         first, stop = (x.tolist() for x in can_repeat([pieces[i] for i in kept]))
-        docs = sorted({(ords[i], ties[i]) for i in kept})
         number = {d: k for k, d in enumerate(docs)}
-        together: list[tuple[int, int, bytes]] = []  # (row, start, text)
+        together: list[tuple[int, int, bytes]] = []  # (document, start, text)
         size = 0
         for k, (i, a, b) in enumerate(zip(kept, first, stop)):
             if b:
-                together.append((i, starts[i] + a, pieces[i][a:b]))
+                together.append((number[ords[i], ties[i]], starts[i] + a, pieces[i][a:b]))
                 size += b - a
             last = k + 1 == len(kept)
             if together and (last or size >= SORTED and key[kept[k + 1]] != key[i]):
-                place = np.array([number[ords[j], ties[j]] for j, *_ in together])
+                place = np.array([d for d, *_ in together])
                 which, start = repeated(place, [t for *_, t in together], [s for _, s, _ in together])
-                for w, s in zip(which.tolist(), start.tolist()):
-                    j = together[w][0]
-                    for c, v in zip(out, (ords[j], ties[j], s, s + LENGTH)):
-                        c.append(v)
+                out[0].append(place[which])
+                out[1].append(start)
                 together, size = [], 0
-    return pa.table(
-        [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())],
-        names=["ord", "tie", "start", "stop"],
-    )
+    doc, start = map(np.concatenate, out)
+    ord_, tie = (np.array([d[k] for d in docs], np.int64)[doc] for k in (0, 1))
+    return pa.table([pa.array(ord_), pa.array(tie, pa.int32()), pa.array(start), pa.array(start + LENGTH)], names=["ord", "tie", "start", "stop"])
+
+
+def _sorted_runs(table: pa.Table) -> pa.Table:
+    """The later occurrences in a bucket, joined to runs: a long repeat is one span, not one for each string."""
+    found = _sorted_bucket(table)
+    ord_, tie, start, stop = (c.to_numpy() for c in found.columns)
+    docs, row = np.unique(np.stack([ord_, tie], axis=1), axis=0, return_inverse=True)
+    row, start, stop = joined_spans(row.reshape(-1), start, stop)
+    return pa.table([pa.array(docs[row, 0]), pa.array(docs[row, 1], pa.int32()), pa.array(start), pa.array(stop)], names=found.column_names)
 
 
 def _later_strings(pieces: DataFrame) -> DataFrame:
@@ -304,29 +311,49 @@ def _later_strings(pieces: DataFrame) -> DataFrame:
     )
 
 
+def joined_spans(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, start, stop) of the maximal runs that spans of rows cover, in order;
+    spans that overlap or touch are one run."""
+    order = np.lexsort((start, row))
+    row, start, stop = row[order], start[order], stop[order]
+    lead = row * (int(stop.max(initial=0)) + 1)  # so that the ends of a row are beyond those of the rows before
+    reach = np.maximum.accumulate(stop + lead)
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | ((start + lead)[1:] > reach[:-1])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(row))[: len(first)] - 1
+    return row[first], start[first], (reach - lead)[last]
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
     for batch in batches:
         at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        rows = []
-        for t, spans, copy in zip(at["text"], at["spans"], at["copy"]):
-            text, spans = t.as_py(), spans.as_py() or []
-            if copy.as_py() and len(text) >= LENGTH:
-                spans = [{"start": 0, "stop": len(text)}]
-            kept, end, removed, n = [], 0, 0, 0
-            for a, b in sorted((s["start"], s["stop"]) for s in spans):
-                if a > end or not n:
-                    n += 1
-                    kept.append(text[end:a])
-                    removed += b - a
-                    end = b
-                elif b > end:
-                    removed += b - end
-                    end = b
-            rows.append((len(text), removed, n, b"".join(kept) + text[end:]))
+        size = pc.binary_length(at["text"]).to_numpy(zero_copy_only=False).astype(np.int64)
+        whole = at["copy"].to_numpy(zero_copy_only=False).astype(bool) & (size >= LENGTH)
+        found = pc.list_parent_indices(at["spans"]).to_numpy(zero_copy_only=False).astype(np.int64)
+        spans = at["spans"].flatten()
+        start, stop = (spans.field(n).to_numpy(zero_copy_only=False) for n in ("start", "stop"))
+        others = ~whole[found]
+        copies = np.flatnonzero(whole)
+        row, start, stop = joined_spans(
+            np.concatenate([found[others], copies]),
+            np.concatenate([start[others], np.zeros(len(copies), np.int64)]),
+            np.concatenate([stop[others], size[copies]]),
+        )
+        runs_of = np.bincount(row, minlength=batch.num_rows)
+        gone = np.zeros(batch.num_rows, np.int64)
+        np.add.at(gone, row, stop - start)
+        ends = np.cumsum(runs_of).tolist()
+        start, stop = start.tolist(), stop.tolist()
+        kept = []
+        for t, a, b in zip(at["text"], [0, *ends], ends):
+            text = t.as_py()
+            if b > a:
+                text = b"".join(text[p:q] for p, q in zip([0, *stop[a:b]], [*start[a:b], len(text)]))
+            kept.append(text)
         yield pa.RecordBatch.from_arrays(
-            [at["doc_id"], *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array([r[3] for r in rows], pa.binary())],
-            names,
+            [at["doc_id"], *(pa.array(x, pa.int64()) for x in (size, gone, runs_of)), pa.array(kept, pa.binary())], names
         )
 
 
@@ -380,7 +407,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     total = pieces.agg(F.coalesce(F.sum(F.length("piece")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET))
     sorted_ = pairs.groupBy(F.pmod(F.col("key"), F.lit(buckets)).alias("bucket")).applyInArrow(
-        _sorted_bucket, f"{_PLACE}, start BIGINT, stop BIGINT"
+        _sorted_runs, f"{_PLACE}, start BIGINT, stop BIGINT"
     )
     strings = _later_strings(pieces.join(crowded, "key", "left_semi"))
     spans = spans.unionByName(sorted_).unionByName(strings)

@@ -189,3 +189,32 @@ def test_only_text_that_can_repeat_is_sorted_in_bounded_runs(monkeypatch):
             seen.add(piece[p : p + U.LENGTH])
     assert got == sorted(want) and len(want) >= 250 * 21
     assert len(sorted_) > 1 and max(sorted_) <= 2 * 10_000 and sum(sorted_) < 0.4 * sum(len(x[4]) for x in rows)
+
+
+def test_spans_that_overlap_or_touch_are_one_run_of_their_row():
+    r = random.Random(3)
+    for n in (0, 1, 5, 200):
+        spans = [(r.randint(0, 6), a, a + r.randint(1, 12)) for a in (r.randint(0, 60) for _ in range(n))]
+        row, start, stop = (np.array([s[k] for s in spans], np.int64) for k in range(3))
+        want = []
+        for k in range(7):
+            hit = np.zeros(80, int)
+            for _, a, b in (s for s in spans if s[0] == k):
+                hit[a:b] = 1
+            edge = np.diff(np.concatenate([[0], hit, [0]]))
+            want += zip([k] * 80, np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())
+        assert list(zip(*(x.tolist() for x in U.joined_spans(row, start, stop)))) == want
+
+
+def test_a_long_repeat_is_handed_on_as_one_span():
+    import pyarrow as pa
+
+    r = random.Random(9)
+    text = bytes(r.randint(97, 122) for _ in range(140))
+    rows = [(1, doc, doc, 10 * doc, bytes([65 + doc]) * 5 + text) for doc in range(3)]
+    fields = zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))
+    table = pa.table([pa.array(c, t) for c, t in fields], names=["key", "ord", "tie", "start", "piece"])
+    assert U._sorted_runs(table).to_pylist() == [
+        {"ord": doc, "tie": doc, "start": 10 * doc + 5, "stop": 10 * doc + 145} for doc in (1, 2)
+    ]
+    assert U._sorted_runs(table.slice(0, 1)).num_rows == 0
