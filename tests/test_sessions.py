@@ -293,6 +293,23 @@ def test_packed_sessions_travel_once_however_many_groups(spark):
         assert {(r.target_user, r.other_user) for r in df.collect()} == {(t, "a") for t in ("bcdefgh" if asked is None else "bc")}
 
 
+def test_sessions_are_shuffled_once_for_packing_and_facts(spark, monkeypatch):
+    from roamlens.operators import device_blocks as B
+
+    packed, groups = [], B._groups
+    monkeypatch.setattr(B, "_groups", lambda df, g: packed.append(df) or groups(df, g))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        s = sessions(spark, [(d, 1, f"09:{k:02}", "11:00") for k, d in enumerate("abcdefgh")] + [("a", 2, "12:00", "13:00")])
+        df = copair_pairs(s, group_devices=3)
+        moved = [line for line in plan(packed[0]).splitlines() if "Exchange hashpartitioning" in line]
+        assert len(moved) == 3  # the sessions; their counts by place, then by device, for the facts
+        assert {(r.target_user, r.other_user) for r in df.collect()} == {(t, "a") for t in "bcdefgh"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_sessions_are_counted_before_names_multiply_them(spark, tmp_path):
     from roamlens.plans.block_queries import QUERIES
 
