@@ -63,3 +63,12 @@ def test_refused_rows_cost_about_a_call_each(spark):
     assert all(r.v == (r.x % 3 if r.x is not None and r.x <= 89 and r.x % 3 < 2 else -1) for r in got)
     refused = sum(r.x is not None and r.x > 89 for r in got)
     assert calls.value < 2.5 * refused
+
+
+def test_trials_go_on_from_batch_to_batch(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        test_refused_rows_cost_about_a_call_each(spark)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
