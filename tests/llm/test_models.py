@@ -242,3 +242,28 @@ def test_attention_is_trained_on_every_training_text(spark, monkeypatch):
         again.append(model.w)
     assert all((again[0][k] == again[1][k]).all() for k in again[0])
     assert model.score(sequences).sum() > worse
+
+
+def test_words_seen_of_late_keep_their_ids(monkeypatch):
+    monkeypatch.setattr(A, "CACHED", 100)
+    subwords, asked = A.Subwords(A.MODEL), []
+    subwords.learn({b"often"})
+    encode = subwords.sp.encode
+    monkeypatch.setattr(subwords.sp, "encode", lambda words, **how: asked.extend(words) or encode(words, **how))
+    want = subwords.ids([b"often"]).tolist()
+    for at in range(20):  # more words than are remembered, and one that comes again and again
+        subwords.learn({b"often", *(b"%d" % k for k in range(at * 40, at * 40 + 40))})
+        assert subwords.ids([b"often"]).tolist() == want
+    assert "often" not in asked and len(asked) == 800
+    assert len(subwords.known) + len(subwords.older) <= 200
+
+
+def test_unsafe_exponents_have_their_maximum_taken_off():
+    m = tiny_model()
+    ids = np.random.default_rng(3).integers(3, 3000, 100).astype(np.int32)
+    for name in ("q", "out0", "gate3"):
+        m.w[name] = m.w[name] * 1000
+    assert np.isfinite(m.score([ids])).all()
+    before, after = m.rank[ids[None, :32]], m.rank[ids[None, 1:33]]
+    _, g = m.gradients(before, after, np.ones((1, 32), bool))
+    assert all(np.isfinite(x).all() for x in g.values())
