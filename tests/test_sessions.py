@@ -337,3 +337,29 @@ def test_sessions_are_counted_before_names_multiply_them(spark, tmp_path):
         assert {tuple(r)[:-1] if len(r) > 2 else r[0]: r[-1] for r in df.collect()} == want
         text = df._jdf.queryExecution().optimizedPlan().toString()
         assert re.search(r"Aggregate \[[^\]]*space_id", text), text
+
+
+def test_overlap_join_shuffles_each_session_for_one_direction(spark, tmp_path):
+    from roamlens.plans.block_queries import QUERIES
+
+    spark.sql("""SELECT id AS event_id, timestampadd(SECOND, CAST(id * 37 % 4000 * 10 AS INT), TIMESTAMP_NTZ '2024-01-01') AS ts,
+        IF(id % 31 = 0, NULL, id % 9) AS user_id, IF(id % 5 = 0, 0, id % 90 * 1.0D) AS value FROM range(400)
+        UNION ALL SELECT 1, TIMESTAMP_NTZ '2024-01-01 00:06:10', 1, 1.0D UNION ALL SELECT 1, NULL, 1, 1.0D""").write.parquet(f"{tmp_path}/events.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES["j06_overlap_join"](spark, str(tmp_path))
+        got = sorted(tuple(r) for r in df.collect())
+        text = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        moved = [line for line in text.splitlines() if "Exchange hashpartitioning" in line and "_cell" in line]
+        assert len(moved) == 4 and sum("ReusedExchange" in line for line in moved) == 2, text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    from roamlens.sources import driver_tables as T
+
+    rows = [r for r in T.sessions(spark, str(tmp_path)).collect() if None not in r]
+    want = sorted(
+        (t.mac_address, u.mac_address, t.space_id, t.start_time, u.start_time) for t in rows for u in rows
+        if t.space_id == u.space_id and t.mac_address != u.mac_address and t.start_time < u.end_time and u.start_time < t.end_time
+    )
+    assert got == want and len(want) > 100
