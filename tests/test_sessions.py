@@ -363,3 +363,57 @@ def test_overlap_join_shuffles_each_session_for_one_direction(spark, tmp_path):
         if t.space_id == u.space_id and t.mac_address != u.mac_address and t.start_time < u.end_time and u.start_time < t.end_time
     )
     assert got == want and len(want) > 100
+
+
+@settings(FEW, max_examples=5)
+@given(st.lists(st.tuples(st.sampled_from("abcdefg"), st.sampled_from([1, 2, 3]), st.integers(0, 90), st.sampled_from([-2, 0, 1, 7, 40, 90])), max_size=60))
+def test_pairs_with_a_share_and_groups_are_whole(spark, rows):
+    from roamlens.operators import device_blocks as B
+
+    data = [(d, sp, a, a + n) for d, sp, a, n in rows]
+    s = spark.createDataFrame(data, "mac_address STRING, space_id INT, a INT, b INT").selectExpr(
+        "mac_address", "concat('ap-', space_id) AS sensor_id", "space_id",
+        *[f"timestampadd(MINUTE, {c}, TIMESTAMP_NTZ '2024-01-30 23:30:00') AS {n}" for c, n in (("a", "start_time"), ("b", "end_time"))],
+    )
+    total = {d: sum(r[0] == d for r in data) for d in "abcdefg"}
+    spaces = {d: len({r[1] for r in data if r[0] == d}) for d in "abcdefg"}
+    want = {
+        k: v for k, v in pairs_by_hand(data).items()
+        if v[0] / total[k[0]] >= 0.4 and (spaces[k[1]] > spaces[k[0]] or total[k[1]] > total[k[0]])
+    }
+    kept = B.CHUNK
+    try:
+        B.CHUNK = 3
+        for size in (2, 100):
+            got = copair_pairs(s, min_share=0.4, group_devices=size).collect()
+            assert len(got) == len(want)
+            assert {(r.target_user, r.other_user): (r.overlap_count, r.other_space_count, r.overlap_seconds) for r in got} == want
+    finally:
+        B.CHUNK = kept
+    dims = small_dims(spark, [("A", "office")], [], [("ap-1", "North"), ("ap-1", "South"), ("ap-2", "East"), ("ap-3", "South")])
+    fan = {1: ["North", "South"], 2: ["East"], 3: ["South"]}
+    own, shared, freq = {}, {}, {}
+    for d, sp, a, b in data:
+        own[d] = own.get(d, 0) + b - a
+    met = [
+        (d, e, sp, min(b, y) - max(a, x)) for d, sp, a, b in data for e, sq, x, y in data
+        if sp == sq and d != e and a < y and x < b
+    ]
+    for d, e, sp, both in met:
+        shared[d, e] = shared.get((d, e), 0) + both * len(fan[sp])
+    for d, e, sp, _ in met:
+        if own[d] and shared[d, e] / own[d] >= 0.5:
+            for region in fan[sp]:
+                freq[d, region] = freq.get((d, region), 0) + 1
+    best = {d: max(n for (x, _), n in freq.items() if x == d) for d, _ in freq}
+    got = copair_group(s, dims, min_share=0.5, group_devices=3).collect()
+    assert {r.mac_address: freq[r.mac_address, r.space_name] for r in got} == best
+
+
+def test_groups_of_devices_are_packed_once(spark):
+    from roamlens.operators import device_blocks as B
+
+    packed = spark.range(40).selectExpr("CAST(id % 8 AS STRING) AS mac_address", "id AS x")
+    groups = B._groups(packed, 4)
+    assert groups.is_cached  # each block of a group reads it again
+    assert sum(1 for _ in groups.collect()) == len({g for g, _ in groups.collect()})
